@@ -33,15 +33,20 @@ def register(name: str, sql: str | None):
     return deco
 
 
-def r6(c):
-    """Half-up rounding to 6 places in plain IEEE arithmetic (same expression
-    as the oracle side, so equal doubles round equally)."""
-    return F.floor(c * 1000000.0 + 0.5).cast("double") / 1000000.0
+def r6(c, digits: int = 6):
+    """Half-up rounding in plain IEEE arithmetic (same expression as the
+    oracle side, so equal doubles round equally)."""
+    scale = float(10 ** digits)
+    return F.floor(c * scale + 0.5).cast("double") / scale
+
+
+# Squared errors of prices reach 1e8+; 2 decimals keep 10+ significant digits.
+COARSE = {"mse": 2}
 
 
 def rounded(df: DataFrame) -> DataFrame:
     """Round every double column (comparison form)."""
-    return df.select(*[r6(F.col(f.name)).alias(f.name)
+    return df.select(*[r6(F.col(f.name), COARSE.get(f.name, 6)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 

@@ -26,14 +26,15 @@ def flag(cond: str) -> str:
     return f"(CASE WHEN {cond} THEN 1 ELSE 0 END)"
 
 
-def r6(x: str) -> str:
-    """Round half up to 6 places with plain IEEE arithmetic (the Spark side
-    uses the same expression, so equal inputs give equal outputs)."""
-    return f"(floor(({x}) * 1000000.0 + 0.5) / 1000000.0)"
+def r6(x: str, digits: int = 6) -> str:
+    """Round half up with plain IEEE arithmetic (the Spark side uses the same
+    expression, so equal inputs give equal outputs)."""
+    scale = f"{10 ** digits}.0"
+    return f"(floor(({x}) * {scale} + 0.5) / {scale})"
 
 
 def fix_rounding(sql: str) -> str:
-    """Rewrite every ``round(<expr>, 6)`` into :func:`r6` form."""
+    """Rewrite every ``round(<expr>, d)`` into :func:`r6` form."""
     out, i, key = [], 0, "round("
     while True:
         j = sql.find(key, i)
@@ -55,10 +56,10 @@ def fix_rounding(sql: str) -> str:
                 comma = k
             k += 1
         inner, digits = sql[j + len(key):comma], sql[comma + 1:k - 1].strip()
-        if digits != "6":
+        if not digits.isdigit():
             out.append(sql[i:k])
         else:
-            out.append(sql[i:j] + r6(fix_rounding(inner)))
+            out.append(sql[i:j] + r6(fix_rounding(inner), int(digits)))
         i = k
 
 

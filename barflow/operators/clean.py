@@ -40,8 +40,10 @@ def fill_missing(df: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY)
     """Prices: forward fill, then backward fill of leading gaps; volume: the
     symbol's exact median. Input is laid out; output keeps the layout."""
     specs = {f"_ff_{c}": ("last", F.col(c)) for c in PRICE_COLS}
+    # Per-symbol values come from the input rows (not the filled frame), so
+    # this branch does not re-run the fill join.
+    own = df.where(~F.col("halo"))
     d = with_running(df, specs, layout, key, halo_exact=True)
-    own = d.where(~F.col("halo"))
     stats = own.groupBy(key).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(f"_bf_{c}") for c in PRICE_COLS],
         F.median("volume").alias("_vol_med"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from barflow.operators import clean as cl
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, finish
 from barflow.operators.regime import REGIME_COLUMNS, DEFAULT_REGIME, regime_features
+from barflow.sources.store import cut_lineage
 from barflow.operators.technical import (DEFAULT_TECHNICAL, TECHNICAL_COLUMNS, TechnicalConfig,
                                          technical_features)
 
@@ -52,13 +54,22 @@ def default_groups(layout: Layout = DEFAULT_LAYOUT,
 
 def generate_features(bars: DataFrame, groups: list[FeatureGroup] | None = None,
                       layout: Layout = DEFAULT_LAYOUT, drop_incomplete: bool = True,
-                      raw: bool = False, keep_rn: bool = False) -> DataFrame:
+                      raw: bool = False, keep_rn: bool = False,
+                      materialize: bool = True) -> DataFrame:
     """Clean, apply each generator in order, then drop incomplete rows.
 
     ``raw=True`` cleans a dirty series first with dedupe (needs ``arrival``).
+    ``materialize=True`` writes the cleaned series once (an action) before
+    the feature generators run.
     """
     gs = groups if groups is not None else default_groups(layout)
     d = cl.clean_bars(bars, layout, arrival="arrival" if raw else None)
+    if materialize:
+        # The cleaned, laid-out series is the silver table: writing it once
+        # under the shared checkpoint folder cuts the lineage (executor loss
+        # recomputes from here) and keeps the feature joins from re-running
+        # the cleaner in each of their branches.
+        d = cut_lineage(d, f"silver-{uuid.uuid4().hex}")
     for g in gs:
         d = g(d)
     out = finish(d, keep_rn=keep_rn)

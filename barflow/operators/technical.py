@@ -262,7 +262,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         sm += [Smoother("_pdm_s", "_pdm", 1 - 1.0 / n, 1.0, n, "_pdm_seed"),
                Smoother("_mdm_s", "_mdm", 1 - 1.0 / n, 1.0, n, "_mdm_seed")]
         tmp += ["_pdm_s", "_mdm_s"]
-    df = apply_smoothers(df, sm, key)
+    df = apply_smoothers(df, sm, key, layout.sub_rows)
 
     # Stage E: expressions over smoothed values.
     e: list[Column] = []
@@ -292,7 +292,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         df = df.select("*", full(n, F.avg, "_dx", key).alias("_dx_seed"))
         tmp.append("_dx_seed")
         sm2.append(Smoother("adx", "_dx", 1 - 1.0 / n, 1.0 / n, 2 * n - 1, "_dx_seed"))
-    df = apply_smoothers(df, sm2, key)
+    df = apply_smoothers(df, sm2, key, layout.sub_rows)
 
     # Stage G: flags over second-level values and unbounded running sums.
     fin: list[Column] = []

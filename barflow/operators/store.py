@@ -89,3 +89,40 @@ def catalog(spark: SparkSession, groups: list[FeatureGroup] | None = None) -> Da
 
 def features_by_category(spark: SparkSession) -> DataFrame:
     return catalog(spark).groupBy("generator").agg(F.collect_list("feature").alias("features"))
+
+
+# --- fixed values (row guards of the reference) -------------------------------
+# A symbol needs lookback + horizon + 100 rows, before and after the feature
+# null drop, and at least 150 samples.
+GUARD_EXTRA_ROWS = 100
+MIN_SAMPLES = 150
+
+
+def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("rn",)) -> list[str]:
+    """Numeric columns in schema order (no job)."""
+    from pyspark.sql import types as T
+    num = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+           T.DecimalType)
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, num) and f.name not in exclude]
+
+
+def guard_min_rows(df: DataFrame, min_rows: int, stage: str = "rows", key: str = "symbol") -> DataFrame:
+    """Per symbol: row count and whether it meets ``min_rows``; the rest get a
+    reason instead of an exception (one partial aggregate)."""
+    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    ok = F.col("rows") >= min_rows
+    reason = F.when(~ok, F.format_string(f"{stage}: need %d, got %d", F.lit(min_rows), F.col("rows")))
+    return c.select(key, "rows", ok.alias("eligible"), reason.alias("reason"))
+
+
+def keep_eligible(df: DataFrame, status: DataFrame, key: str = "symbol") -> DataFrame:
+    """Rows of eligible symbols (semi join with the one-row-per-symbol status)."""
+    return df.join(status.where("eligible").select(key), key, "left_semi")
+
+
+def completeness(before: DataFrame, after: DataFrame, key: str = "symbol") -> DataFrame:
+    """Rows per symbol before and after the null drop."""
+    a = before.groupBy(key).agg(F.count(F.lit(1)).alias("rows_before"))
+    b = after.groupBy(key).agg(F.count(F.lit(1)).alias("rows_after"))
+    return a.join(b, key, "left").fillna(0, ["rows_after"]) \
+            .withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))

@@ -406,3 +406,27 @@ _FS_COLS = ["close", "sma_200", "rsi", "adx", "volatility_percentile", "trend_pe
     _FS_COLS, " AND ".join(f"{c} IS NOT NULL" for c in sorted(set(_ALL_FEATURES)))))
 def q_fs_generate(spark, sf):
     return rounded(flagship_features(spark, sf).select("symbol", "date", *_FS_COLS))
+
+
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in sorted(set(_ALL_FEATURES)))
+
+
+@register("filter_complete", f"""WITH RECURSIVE {S.CHAIN}{S.REGIME_FLAGS}
+SELECT symbol, count(*) AS rows_before, count(*) FILTER (WHERE {_COMPLETE}) AS rows_after,
+  count(*) - count(*) FILTER (WHERE {_COMPLETE}) AS rows_dropped
+FROM features2 GROUP BY symbol""")
+def q_filter_complete(spark, sf):
+    from barflow.operators.store import completeness, generate_features
+    bars = daily_bars(spark, sf)
+    full_rows = generate_features(bars, drop_incomplete=False)
+    return completeness(full_rows, full_rows.na.drop("any"))
+
+
+# Reference defaults: lookback 60 + horizon 5 + 100 rows.
+@register("guard_min_rows", S.with_bars(
+    "SELECT symbol, count(*) AS rows, count(*) >= 165 AS eligible, "
+    "CASE WHEN count(*) < 165 THEN format('rows: need 165, got {}', count(*)) END AS reason "
+    "FROM bars GROUP BY symbol"))
+def q_guard_min_rows(spark, sf):
+    from barflow.operators.store import GUARD_EXTRA_ROWS, guard_min_rows
+    return guard_min_rows(daily_bars(spark, sf), 60 + 5 + GUARD_EXTRA_ROWS)

@@ -79,6 +79,7 @@ def lookback(bars: DataFrame, days: int, order: str = "date") -> DataFrame:
 
 
 def strip_zone(df: DataFrame, col: str, zone: str) -> DataFrame:
-    """Wall-clock time in ``zone`` without a zone (``TIMESTAMP_NTZ``)."""
-    local = F.from_utc_timestamp(F.col(col).cast("timestamp"), zone)
-    return df.withColumn(col, local.cast("timestamp_ntz"))
+    """UTC wall-clock ``TIMESTAMP_NTZ`` -> wall clock in ``zone``, still without
+    a zone; independent of the session time zone."""
+    return df.withColumn(col, F.convert_timezone(F.lit("UTC"), F.lit(zone),
+                                                 F.col(col).cast("timestamp_ntz")))

@@ -8,10 +8,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
 from barflow.llm.mixing import mix_sources
+from barflow.llm.packing import pack_pieces, token_pieces
+from barflow.llm.token_counts import token_counts
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +45,11 @@ FROM g
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +83,8 @@ FROM p
 """
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_best_two_fit": (op2_best_two_fit, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_token_counts": (op4_token_counts, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),
 }

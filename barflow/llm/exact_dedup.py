@@ -39,9 +39,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Every row gets the 128-bit digest of its normalised text. The small key
        rows are written once; groups are counted from them with map-side
        partial aggregation, so a group of any size is one row per task.
-    2. The texts of groups with two rows or more are grouped by (digest, bytes)
-       to find digests shared by different texts. Copies collapse before the
-       exchange.
+    2. The texts are grouped by (digest, bytes) to find digests shared by
+       different texts. Copies collapse before the exchange, so each text
+       moves once per task that holds it, at every input size.
     3. Rows of a digest without collision take the group's best row. Rows of
        a colliding digest are grouped by the bytes themselves.
     """
@@ -53,8 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     groups = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("best"))
                      .where("group_size > 1"), "dedup-groups")
-    texts = (keyed.join(groups.select("h"), "h", "left_semi")
-                  .groupBy("h", "norm").agg(F.lit(1).alias("one")))
+    texts = keyed.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("copies"))
     collided = cut(texts.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h"),
                    "dedup-collided")
 

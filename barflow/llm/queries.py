@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
 from barflow.llm.mixing import mix_sources
+from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
 from barflow.llm.token_counts import token_counts
 
@@ -50,6 +51,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "size", "source_size", "target", "taken")
@@ -86,5 +91,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_best_two_fit": (op2_best_two_fit, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op8_ngram_join": (op8_ngram_join, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),
 }

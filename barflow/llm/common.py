@@ -90,3 +90,24 @@ def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column],
     d = d.join(F.broadcast(offsets), "_part")  # one row per shuffle partition
     return (d.select("*", *[(F.col(f"_o_{k}") + F.sum(f"_v_{k}").over(w)).alias(k) for k in sums])
              .drop("_part", *[f"{p}_{k}" for k in sums for p in ("_v", "_o")]))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """64-bit hash of a whole row; rows that are equal in every column share it."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
+
+
+def apply_copies(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, each as often as ``decided(doc_id, carry, copies)`` says.
+
+    ``carry`` is :func:`row_key`. Equal rows share a key: one of them is emitted
+    as often as all of them together were granted."""
+    cols = [F.col(f"_docs.`{c}`") for c in docs.columns]
+    granted = decided.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("carry").alias("_key")) \
+                     .agg(F.sum("copies").alias("_copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docs"),
+                       F.col(id_col).cast("long").alias("_row_id"), row_key(docs).alias("_row_key"))
+    joined = rows.join(granted.hint("merge"), F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")))
+    first = Window.partitionBy("_row_id", "_row_key").orderBy(F.lit(0))
+    once = joined.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*cols)

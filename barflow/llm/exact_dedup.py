@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import SPACE, cut, text_or_empty
+from barflow.llm.common import SPACE, apply_copies, cut, row_key, text_or_empty
 
 
 def without_space(text: Column) -> Column:
@@ -33,8 +33,9 @@ def _best() -> Column:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 normalise: Callable[[Column], Column] = without_space,
-                digest: Callable[[Column], Column] = md5_128) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+                digest: Callable[[Column], Column] = md5_128, carry: Column | None = None) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256`` and,
+    if given, the 64-bit column ``carry``.
 
     1. Every row gets the 128-bit digest of its normalised text. The small key
        rows are written once; groups are counted from them with map-side
@@ -45,10 +46,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     3. Rows of a digest without collision take the group's best row. Rows of
        a colliding digest are grouped by the bytes themselves.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    normed = base.select("doc_id", F.length("text").alias("n_points"), normalise(F.col("text")).alias("norm"))
-    keyed = normed.select("doc_id", "n_points", digest(F.col("norm")).alias("h"), "norm")
-    keys = cut(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", "h",
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"),
+                       (F.lit(None) if carry is None else carry).cast("long").alias("carry"))
+    normed = base.select("doc_id", "carry", F.length("text").alias("n_points"), normalise(F.col("text")).alias("norm"))
+    keyed = normed.select("doc_id", "carry", "n_points", digest(F.col("norm")).alias("h"), "norm")
+    keys = cut(keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "carry", "n_points", "h",
                             F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-keys")
 
     groups = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("best"))
@@ -59,7 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     plain = keys.join(collided, "h", "left_anti").join(groups, "h", "left")
     plain = plain.select(
-        "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        "doc_id", "carry", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
@@ -69,6 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = cut(rest.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), F.min(_best()).alias("best")),
                 "dedup-exact")
     rest = rest.join(exact, ["h", "norm"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long"),
+        "doc_id", "carry", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long"),
         (F.col("best.row") == F.col("row")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
-    return plain.unionByName(rest)
+    out = plain.unionByName(rest)
+    return out.drop("carry") if carry is None else out
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, with all their columns."""
+    found = exact_dedup(docs, id_col, text_col, carry=row_key(docs))
+    return apply_copies(docs, found.where("kept").select("doc_id", "carry", F.lit(1).alias("copies")), id_col)

@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import cut, global_running, hex_digits_for, word_count
+from barflow.llm.common import apply_copies, cut, global_running, hex_digits_for, row_key, word_count
 
 #: Golden-ratio lattice: frac(i * LATTICE_STEP / LATTICE), two neighbouring Fibonacci numbers.
 LATTICE, LATTICE_STEP = 1_134_903_170, 701_408_733
@@ -29,10 +29,11 @@ BUCKETS = 4096
 SLOT_RUN = 65_536
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``row, doc_id, source, size`` with the number of words as size, written once."""
+def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+          carry: Column | None = None) -> DataFrame:
+    """``row, doc_id, carry, source, size`` with the number of words as size, written once."""
     return cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                           F.col(source_col).cast("string").alias("source"),
+                           (F.lit(None) if carry is None else carry).cast("long").alias("carry"), F.col(source_col).cast("string").alias("source"),
                            word_count(F.col(text_col)).alias("size")), "mix-sizes")
 
 
@@ -134,16 +135,18 @@ def shuffled_spans(sizes: DataFrame, rows: int) -> DataFrame:
     base = sums.select(*at, F.coalesce(F.sum("s").over(w), F.lit(0)).alias("base"))
     inner = Window.partitionBy(*at).orderBy("key", F.col("doc_id").isNull(), "doc_id", "size", "row")
     before = F.coalesce(F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.join(base, at).select("row", "doc_id", "source", "size", (F.col("base") + before).alias("start"))
+    return d.join(base, at).select("row", "doc_id", "carry", "source", "size", (F.col("base") + before).alias("start"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3,
-                id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken``.
+                id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+                carry: Column | None = None) -> DataFrame:
+    """One row per document: ``doc_id, source, size, source_size, target, taken`` and, if
+    given, the 64-bit column ``carry``.
 
     ``taken`` counts the words that the schedule's slots take from the
     document, repeats included; never more than ``max_epochs`` times its size."""
-    sizes = sized(docs, id_col, source_col, text_col)
+    sizes = sized(docs, id_col, source_col, text_col, carry)
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     sources = cut(source_targets(sizes, weights, max_epochs), "mix-targets")
     block = block_size(total)
@@ -164,6 +167,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     part = F.greatest(F.least(hi, F.col("part")) - lo, F.lit(0))
     got = parts.join(takes, ["src", "block"]).groupBy("row").agg(
         F.sum((hi - lo) * F.col("whole") + part).cast("long").alias("taken"))
-    return spans.join(got, "row", "left").select(
-        "doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
+    out = spans.join(got, "row", "left").select(
+        "doc_id", "carry", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
         F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.drop("carry") if carry is None else out
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix as whole documents with all their columns: each as often as its
+    words were taken, to the nearest whole number; documents without words stay once."""
+    found = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, carry=row_key(docs))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
+    return apply_copies(docs, found.select("doc_id", "carry", copies.cast("long").alias("copies")), id_col)

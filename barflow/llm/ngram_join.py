@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import cut, ship, text_or_empty
+from barflow.llm.common import apply_copies, cut, row_key, ship, text_or_empty
 from barflow.llm.components import components
 
 #: A side of at most so many (id, digest) rows is broadcast (32 MB); a larger one is joined by a shuffle.
@@ -96,17 +96,20 @@ def _screen_bound(percent: int) -> float:
     return min(1.0, 1.5 * (100 - percent) / 100)
 
 
-def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``row, doc_id, n, digest`` of every document, written once."""
+def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
+    """``row, doc_id, carry, n, digest`` of every document, written once."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingle_hashes(t.as_py(), words) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in got], pa.int64()),
-                                              pa.array([_digest(s) for s in got], pa.binary())], names=["doc_id", "n", "digest"])
+            got = [shingle_hashes(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in got], pa.int64()),
+                                              pa.array([_digest(s) for s in got], pa.binary())],
+                                             names=["doc_id", "carry", "n", "digest"])
 
     ship(docs.sparkSession)
-    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-               .mapInArrow(sets, "doc_id bigint, n bigint, digest binary")
+    return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                           (F.lit(None) if carry is None else carry).cast("long").alias("carry"),
+                           text_or_empty(text_col).alias("text"))
+               .mapInArrow(sets, "doc_id bigint, carry bigint, n bigint, digest binary")
                .withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -266,8 +269,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         "doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    rows = document_sets(docs, words, id_col, text_col)
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id, with all columns."""
+    found = _joined(docs, words, percent, id_col, text_col, row_key(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "carry")).alias("first")
+    kept = found.groupBy("n0", "comp").agg(first).select("first.doc_id", "first.carry", F.lit(1).alias("copies"))
+    return apply_copies(docs, kept, id_col)
+
+
+def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
+    rows = document_sets(docs, words, id_col, text_col, carry)
     classes = cut(rows.where("n > 0").groupBy("digest").agg(
         F.min("row").alias("cls"), F.min("doc_id").alias("least_id"), F.min_by("doc_id", "row").alias("rep"),
         F.first("n").alias("n")), "classes")
@@ -278,7 +290,9 @@ def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     named = cut(named, "class-components")
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = cut(named.join(least, "comp").select("digest", "comp", "component_id"), "class-ids")
-    empty = rows.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"),
-                                       F.col("row").alias("comp"))
-    full = rows.where("n > 0").join(named, "digest").select("row", "doc_id", "n", "component_id", "comp")
+    # Documents without words are each a component of their own.
+    empty = rows.where("n = 0").select("row", "doc_id", "carry", "n", F.col("doc_id").alias("component_id"),
+                                       F.lit(True).alias("n0"), F.col("row").alias("comp"))
+    full = rows.where("n > 0").join(named, "digest").select("row", "doc_id", "carry", "n", "component_id",
+                                                            F.lit(False).alias("n0"), "comp")
     return empty.unionByName(full)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
+from barflow.llm.lang_id import language_id
 from barflow.llm.mixing import mix_sources
 from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
@@ -87,10 +88,15 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_best_two_fit": (op2_best_two_fit, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
     "op8_ngram_join": (op8_ngram_join, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),
+    "op10_language_id": (op10_language_id, None),
 }

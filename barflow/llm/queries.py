@@ -14,6 +14,7 @@ from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
 from barflow.llm.lang_id import language_id
 from barflow.llm.mixing import mix_sources
+from barflow.llm.multi_index import MultiIndex
 from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
 from barflow.llm.token_counts import token_counts
@@ -52,6 +53,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return MultiIndex(vectors, k=20).search(vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -96,6 +102,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_best_two_fit": (op2_best_two_fit, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op7_multi_index": (op7_multi_index, None),
     "op8_ngram_join": (op8_ngram_join, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),
     "op10_language_id": (op10_language_id, None),

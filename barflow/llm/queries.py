@@ -18,6 +18,9 @@ from barflow.llm.multi_index import MultiIndex
 from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
 from barflow.llm.token_counts import token_counts
+from barflow.llm.tool_calls import link_tool_calls
+from barflow.llm.url_lists import judge
+from barflow.llm.weak_labels import quality_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +29,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tool_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stand-in for a log of tool calls: every assistant turn is a call whose arguments are
+    made of its text and that names the previous assistant turn, every user turn behind a
+    first one is the result of the turn before it, and system turns are results of no call."""
+    d = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), turn)
+    size, odd = F.length("text"), F.pmod(F.length("text"), F.lit(7))
+    good = F.struct(F.substring("text", 1, 60).alias("query"), F.pmod(size, F.lit(10)).alias("limit"), (odd > 3).alias("exact"))
+    untyped = F.struct(F.pmod(size, F.lit(10)).cast("string").alias("limit"), F.col("text").alias("query"))
+    lacking = F.struct(F.pmod(size, F.lit(10)).alias("limit"), F.substring("text", 1, 9).alias("note"))
+    arguments = F.when(odd == 0, F.to_json(untyped)).when(odd == 1, F.to_json(lacking)) \
+                 .when(odd == 2, F.substring(F.to_json(good), 1, 30)).otherwise(F.to_json(good))
+    tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("paint")), (F.pmod(size, F.lit(3)) + 1).cast("int"))
+    calls = d.where("role = 'assistant'").select(
+        "conv_id", "turn", ident(F.col("turn")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"),
+        F.when(F.col("turn") > 1, ident(F.col("turn") - 2)).alias("after"))
+    results = d.where("role = 'system' or (role = 'user' and turn > 0)").select(
+        "conv_id", "turn", ident(F.col("turn") - F.when(F.col("role") == "user", 1).otherwise(0)).alias("call_id"),
+        F.col("text").alias("content"))
+    schemas = spark.createDataFrame(
+        [("search", "query", "string", True), ("search", "limit", "integer", False), ("search", "exact", "boolean", False),
+         ("lookup", "query", "string", True), ("lookup", "limit", "number", True), ("lookup", "exact", "boolean", False)],
+        "tool string, name string, type string, required boolean")
+    return calls, results, schemas
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*tool_tables(spark, sf_dir))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -53,6 +86,77 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"))
+
+
+def _digits(text, n: int):
+    """The first ``n`` hex digits of the text's md5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, n), 16, 10).cast("int")
+
+
+def url_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in for dated captures and list changes: a page's day follows from its id, and
+    some of the pages' own URLs, hosts and parent domains are listed and unlisted on days
+    that follow from their md5."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01").cast("date")
+    captures = pages.withColumn("fetched", F.date_add(start, F.pmod(F.col("page_id") * 37, F.lit(700)).cast("int")))
+    place = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    seeds = [("host", place, 3), ("domain", F.regexp_replace(place, r"^[^.]+\.", ""), 5),
+             ("prefix", F.regexp_extract("url", "^[a-z]+://([^/]+/[^/?#]+)", 1), 2)]
+    entries = None
+    for kind, value, share in seeds:
+        e = pages.select(F.lit(kind).alias("kind"), value.alias("value")).where("value <> ''").distinct() \
+            .where(F.pmod(_digits(F.col("value"), 4), F.lit(share)) == 0)
+        entries = e if entries is None else entries.unionByName(e)
+    n = _digits(F.concat("kind", "value"), 6)
+    effect = F.when(F.pmod(n, F.lit(4)) == 0, "allow").otherwise("block")
+    change = lambda action, day: F.struct(F.lit(action).alias("action"), F.date_add(start, day.cast("int")).alias("day"))
+    first, gap = F.pmod(n, F.lit(400)), F.pmod(n, F.lit(150)) + 1
+    changes = entries.select(
+        F.concat(F.lit("list"), F.pmod(n, F.lit(3))).alias("list"), effect.alias("effect"), "kind",
+        F.when(F.col("kind") == "prefix", F.col("value")).otherwise(F.upper("value")).alias("value"),
+        F.explode(F.array(change("add", first), change("remove", first + gap), change("add", first + 2 * gap))).alias("c")) \
+        .select("list", "effect", "kind", "value", "c.action", "c.day")
+    return captures, changes
+
+
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(*url_tables(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 700 AS INTEGER) AS fetched,
+                  regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS place FROM pages),
+v AS (SELECT DISTINCT 'host' AS kind, place AS value, 3 AS share FROM p
+      UNION ALL SELECT DISTINCT 'domain', regexp_replace(place, '^[^.]+\.', ''), 5 FROM p
+      UNION ALL SELECT DISTINCT 'prefix', regexp_extract(url, '^[a-z]+://([^/]+/[^/?#]+)', 1), 2 FROM p),
+e AS (SELECT kind, value, CAST('0x' || substr(md5(kind || value), 1, 6) AS INTEGER) AS n FROM v
+      WHERE value <> '' AND CAST('0x' || substr(md5(value), 1, 4) AS INTEGER) % share = 0),
+i AS (SELECT 'list' || (n % 3) AS list, CASE WHEN n % 4 = 0 THEN 'allow' ELSE 'block' END AS effect, kind, value AS key,
+             n % 400 AS a, n % 150 + 1 AS gap FROM e),
+spans AS (SELECT list, effect, kind, key, DATE '2024-01-01' + CAST(a AS INTEGER) AS f, DATE '2024-01-01' + CAST(a + gap AS INTEGER) AS t FROM i
+          UNION ALL SELECT list, effect, kind, key, DATE '2024-01-01' + CAST(a + 2 * gap AS INTEGER), NULL FROM i),
+c AS (SELECT page_id, fetched, lower(place) AS host,
+             rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)?', 1), '/') AS path FROM p),
+k AS (SELECT page_id, fetched, 'host' AS kind, host AS key, 2 AS place, 1 AS depth FROM c
+      UNION ALL
+      SELECT page_id, fetched, 'domain', array_to_string(list_slice(l, len(l) - n + 1, len(l)), '.'), 3, n
+      FROM (SELECT *, string_split(host, '.') AS l FROM c) d, range(1, 20) r(n) WHERE n <= len(l)
+      UNION ALL
+      SELECT page_id, fetched, 'prefix', host || array_to_string(list_slice(l, 1, n), '/'), 1, n
+      FROM (SELECT *, string_split(path, '/') AS l FROM c) d, range(1, 60) r(n) WHERE n <= len(l)),
+h AS (SELECT k.*, s.list, s.effect FROM k JOIN spans s ON s.kind = k.kind AND s.key = k.key
+      AND s.f <= k.fetched AND (s.t IS NULL OR s.t > k.fetched)),
+m AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n_active,
+             row_number() OVER (PARTITION BY page_id ORDER BY place, depth DESC, effect, list, kind, key) AS r FROM h)
+SELECT c.page_id, c.host, c.fetched, CAST(coalesce(m.n_active, 0) AS BIGINT) AS n_active, m.list, m.kind, m.key,
+       coalesce(m.effect = 'allow', true) AS kept
+FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.r = 1
+"""
+
+
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return MultiIndex(vectors, k=20).search(vectors.where(F.col("vec_id") % 20 == 0))
@@ -99,9 +203,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_tool_calls": (op1_tool_calls, None),
     "op2_best_two_fit": (op2_best_two_fit, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op4_token_counts": (op4_token_counts, None),
+    "op5_weak_labels": (op5_weak_labels, None),
+    "op6_url_lists": (op6_url_lists, OP6_SQL),
     "op7_multi_index": (op7_multi_index, None),
     "op8_ngram_join": (op8_ngram_join, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),

@@ -86,6 +86,11 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _key(s: np.ndarray) -> int:
+    """Half of the digest, as a signed number."""
+    return int.from_bytes(_digest(s)[:8], "little", signed=True)
+
+
 def _most_missing(n: Column, percent: int) -> Column:
     """Shingles of a set of size ``n`` that a linked set may lack."""
     return n - F.floor((n * percent + 99) / 100)
@@ -97,19 +102,20 @@ def _screen_bound(percent: int) -> float:
 
 
 def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
-    """``row, doc_id, carry, n, digest`` of every document, written once."""
+    """``row, doc_id, carry, n, digest, key`` of every document, written once."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [shingle_hashes(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in got], pa.int64()),
-                                              pa.array([_digest(s) for s in got], pa.binary())],
-                                             names=["doc_id", "carry", "n", "digest"])
+                                              pa.array([_digest(s) for s in got], pa.binary()),
+                                              pa.array([_key(s) for s in got], pa.int64())],
+                                             names=["doc_id", "carry", "n", "digest", "key"])
 
     ship(docs.sparkSession)
     return cut(docs.select(F.col(id_col).cast("long").alias("doc_id"),
                            (F.lit(None) if carry is None else carry).cast("long").alias("carry"),
                            text_or_empty(text_col).alias("text"))
-               .mapInArrow(sets, "doc_id bigint, carry bigint, n bigint, digest binary")
+               .mapInArrow(sets, "doc_id bigint, carry bigint, n bigint, digest binary, key bigint")
                .withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
 
@@ -125,7 +131,7 @@ def _screened(docs: DataFrame, classes: DataFrame, words: int, percent: int, tex
                 own = s[s <= bound]
                 if len(own):
                     tokens.append(own)
-                    keys.append(int.from_bytes(_digest(s)[:8], "little", signed=True))
+                    keys.append(_key(s))
             sizes = [len(x) for x in tokens]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(tokens).view(np.int64) if tokens else [], pa.int64()),
@@ -134,8 +140,7 @@ def _screened(docs: DataFrame, classes: DataFrame, words: int, percent: int, tex
     rows = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(low, "t bigint, key bigint")
     own = rows.groupBy("t").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other") \
               .groupBy("key").agg(F.count(F.lit(1)).alias("own"))
-    key = F.conv(F.hex(F.reverse(F.substring("digest", 1, 8))), 16, -10).cast("long")
-    return classes.withColumn("key", key).join(own, "key", "left") \
+    return classes.join(own, "key", "left") \
         .where(F.coalesce("own", F.lit(0)) <= _most_missing(F.col("n"), percent)).drop("key", "own")
 
 
@@ -282,7 +287,7 @@ def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     rows = document_sets(docs, words, id_col, text_col, carry)
     classes = cut(rows.where("n > 0").groupBy("digest").agg(
         F.min("row").alias("cls"), F.min("doc_id").alias("least_id"), F.min_by("doc_id", "row").alias("rep"),
-        F.first("n").alias("n")), "classes")
+        F.first("n").alias("n"), F.first("key").alias("key")), "classes")
     links = class_links(docs, classes, words, percent, id_col, text_col)
     comp = components(links)
     named = classes.join(comp, classes["cls"] == comp["node"], "left").select(

@@ -13,6 +13,7 @@ result. Only id and text are read, so other columns may have any name.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ STEP_BYTES = 4_000_000
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 
+def byte_characters() -> list[str]:
+    """The printable character that byte-level BPE writes for each byte: the byte's own
+    Latin-1 character if it is visible, else the next one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)]
+
+
 class WordEncoder:
     """Token ids of texts for a tokenizer that drops white space.
 
@@ -45,7 +54,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.end_id, self.kept = end_id, kept
+        self.signs = {c: self.tokenizer.encode(chr(c), add_special_tokens=False).ids for c in b".,"}
+        self.chars = byte_characters()
         self._clear()
 
     def _clear(self) -> None:
@@ -68,9 +80,12 @@ class WordEncoder:
     def _encode_pending(self) -> None:
         if not self.pending:
             return
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.pending],
+        ids = list(map(self._letters, self.pending))
+        rest = [i for i, x in enumerate(ids) if x is None]
+        got = self.tokenizer.encode_batch_fast([self.pending[i].decode("utf-8", "replace") for i in rest],
                                                add_special_tokens=False)
-        ids = [e.ids for e in got]
+        for i, e in zip(rest, got, strict=True):
+            ids[i] = e.ids
         counts = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         at = len(self.flat)
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32,
@@ -79,6 +94,22 @@ class WordEncoder:
         self.counts = np.concatenate([self.counts, counts])
         self.pending = []
 
+    def _letters(self, word: bytes) -> list[int] | None:
+        """Ids of a word of letters, with one full stop or comma behind it or none: normalising
+        leaves such a word as it is (ASCII capitals fold) and it is one pre-token, so the
+        library's model alone gives its ids. None for any other word."""
+        sign = self.signs.get(word[-1])
+        if sign is not None:
+            word = word[:-1]
+        if word.isalpha():
+            plain = word.lower().decode()
+        else:
+            text = word.decode("utf-8", "replace")
+            if not text.isalpha() or text != text.lower() or not unicodedata.is_normalized("NFC", text):
+                return None
+            plain = "".join([self.chars[b] for b in word])
+        return [t.id for t in self.model.tokenize(plain)] + (sign or [])
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the position where each text's ids begin (one more at the end)."""
         if len(self.numbers) > self.kept:

@@ -35,8 +35,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400
 SEGMENT = 256
 STEP_CHARS = 2_000_000
 UNDETERMINED = "und"
-#: Classes of characters: none, space, a letter outside all samples, the join between sample texts.
-PAD, GAP, OTHER, JOIN, FIRST = 0, 1, 2, 3, 4
+#: Classes of characters: space, a letter outside all samples, the join between sample texts.
+GAP, OTHER, JOIN, FIRST = 0, 1, 2, 3
 
 
 class Models:
@@ -67,6 +67,7 @@ class Models:
         c = self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         gap = c == GAP
         keep = ~gap
+        keep[:1] = True
         keep[1:] |= ~gap[:-1]
         return c[keep], not gap.all()
 
@@ -131,14 +132,17 @@ def _automaton(text: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    fresh = np.zeros(width, dtype=np.int32)
+    # One more state follows a letter that no labelled text has: such a letter is a phrase of
+    # its own, so whatever comes next begins another one.
+    alone = len(nxt) * width
+    fresh = np.full(width, alone, dtype=np.int32)
     for c, s in nxt[0].items():
         fresh[c] = s * width
-    table = np.tile(~fresh, (len(nxt), 1))
+    table = np.tile(~fresh, (len(nxt) + 1, 1))
+    table[0] = fresh
     for s, row in enumerate(nxt):
         for c, to in row.items():
             table[s, c] = to * width
-    table[:, JOIN] = ~np.int32(0)
     return table.astype(np.int32).ravel()
 
 

@@ -21,11 +21,6 @@ def series_window(key: str = KEY) -> Window:
     return Window.partitionBy(key, "blk").orderBy("sb", "rn")
 
 
-def sub_block_window(key: str = KEY, sb_col: str = "sb") -> Window:
-    """Ordered window over one scan sub-block (same physical order as above)."""
-    return Window.partitionBy(key, "blk", sb_col).orderBy("rn")
-
-
 def trailing(n: int, key: str = KEY) -> Window:
     """The current row and the ``n - 1`` rows before it."""
     return series_window(key).rowsBetween(-(n - 1), 0)

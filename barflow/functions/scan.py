@@ -6,16 +6,14 @@ affine recurrence. Inside a scan sub-block of ``L`` rows (``sb = rn div L``,
 
     loc[k] = q**k * sum_{j <= k} w[j] * q**(-j),   w = s at start, a*x after
 
-which is a plain running ``sum`` over ``(key, blk, sb)``. Sub-block ``s``
-then takes the previous sub-block's end value ``E`` as carry:
-``y = loc + q**(k+1) * E``. ``E`` itself lacks a carry of weight ``q**L``;
-``L`` is chosen so that ``q**L < e**-37`` (below double rounding) while
-``q**-L`` stays far from overflow, so the result equals the sequential
-recursion to double precision. Nested smoothers need ``2 * L`` rows of
-history each, which the block halo supplies.
-
-All scans with the default ``L`` share the partitioning and ordering of
-:func:`barflow.functions.frames.series_window`, so they add no sort.
+which is a plain running ``sum`` over ``(key, blk, sb)``. The carry into a
+sub-block is the exact value at the end of the one before it,
+``E[s] = loc_end[s] + q**L * E[s-1]``. The end values form a small table (one
+row per ``L`` rows); each ``E`` is folded there over as many predecessors as
+double precision can represent at all, across block borders, and comes back as
+one array per block joined on the big side's own ``(key, blk)``. So a value
+that has decayed far (a halted symbol) keeps its digits, and results do not
+depend on the block size. Halo rows take no part.
 """
 
 from __future__ import annotations
@@ -26,13 +24,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.functions.frames import KEY, series_window
-from barflow.operators.layout import SUB_ROWS
+from barflow.functions.frames import KEY
+from barflow.operators.layout import DEFAULT_LAYOUT, SUB_ROWS, Layout, written
 
-# A carry weight below e**-37 (~8.5e-17) is under double rounding.
-_NEGLIGIBLE = 37.0
 # Keep q**-k below e**650 (double overflows near e**709).
 _OVERFLOW = 650.0
+# Weights below e**-746 are zero in double precision.
+_VANISHED = 746.0
 
 
 @dataclass(frozen=True)
@@ -66,54 +64,71 @@ def wilder_mean(name: str, x: str, n: int, start: int = 0) -> Smoother:
 
 
 def sub_rows_for(q: float, default: int = SUB_ROWS) -> int:
-    """Sub-block length giving a negligible carry weight and no overflow."""
+    """Largest halving of the default sub-block whose weights do not overflow."""
     if not 0.0 < q < 1.0:
         raise ValueError("smoother needs 0 < q < 1")
-    decay = -math.log(q)
-    if default * decay < _NEGLIGIBLE:
-        return int(math.ceil(_NEGLIGIBLE / decay))
-    if default * decay > _OVERFLOW:
-        return max(1, int(_OVERFLOW // decay))
-    return default
+    rows = default
+    while rows * -math.log(q) > _OVERFLOW and rows % 2 == 0:
+        rows //= 2
+    return rows
+
+
+def fold_rows(q: float, rows: int) -> int:
+    """Sub-blocks back after which a carry has vanished in double precision."""
+    return int(math.ceil(_VANISHED / (rows * -math.log(q)))) + 1
 
 
 def apply_smoothers(df: DataFrame, smoothers: list[Smoother], key: str = KEY,
-                    sub_rows: int = SUB_ROWS) -> DataFrame:
-    """Add one column per smoother (all evaluated in the same three window passes)."""
+                    layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """Add one column per smoother (all evaluated in the same window pass).
+
+    Values on halo rows are NULL."""
     if not smoothers:
         return df
     rn = F.col("rn")
-    terms, sums, ends, outs, tmp = [], [], [], [], []
-    extra_sb: dict[int, str] = {}
+    by_rows: dict[int, list[Smoother]] = {}
     for s in smoothers:
-        L = sub_rows_for(s.q, sub_rows)
-        if L == sub_rows:
-            sb, k = F.col("sb"), rn - F.col("sb") * L
-            wsb = Window.partitionBy(key, "blk", "sb").orderBy("rn")
-        else:
-            col = extra_sb.setdefault(L, f"_sb{L}")
-            sb, k = F.col(col), rn - F.col(col) * L
-            wsb = Window.partitionBy(key, "blk", col).orderBy("rn")
-        seed = F.col(s.seed or s.x)
-        w = (F.when(rn == s.start, seed)
-              .when(rn > s.start, F.lit(s.a) * F.col(s.x))
-              .otherwise(F.lit(0.0)))
-        t, loc, e = f"_t_{s.name}", f"_l_{s.name}", f"_e_{s.name}"
-        tmp += [t, loc, e]
-        terms.append((w * F.pow(F.lit(s.q), -k.cast("double"))).alias(t))
-        run = wsb.rowsBetween(Window.unboundedPreceding, 0)
-        sums.append((F.pow(F.lit(s.q), k.cast("double")) * F.sum(t).over(run)).alias(loc))
-        prev = series_window(key).rowsBetween(Window.unboundedPreceding, -1)
-        ends.append(F.last(F.when(k == L - 1, F.col(loc)), ignorenulls=True).over(prev).alias(e))
-        y = F.col(loc) + F.coalesce(F.col(e), F.lit(0.0)) * F.pow(F.lit(s.q), (k + 1).cast("double"))
-        before = F.lit(s.before).cast("double") if s.before is not None else F.lit(None).cast("double")
-        outs.append(F.when(rn >= s.start + s.warmup, y)
-                     .when(rn < s.start, before)
-                     .otherwise(F.lit(None).cast("double")).alias(s.name))
-    for L, col in extra_sb.items():
-        df = df.withColumn(col, F.floor(rn / L).cast("long"))
-    df = df.select("*", *terms)
-    df = df.select("*", *sums)
-    df = df.select("*", *ends)
-    df = df.select("*", *outs)
-    return df.drop(*tmp, *extra_sb.values())
+        by_rows.setdefault(sub_rows_for(s.q, layout.sub_rows), []).append(s)
+    for rows, group in by_rows.items():
+        sb = F.floor(rn / rows).cast("long")
+        own = rows != layout.sub_rows
+        if own:
+            df = df.withColumn("_sb", sb)
+        at = "_sb" if own else "sb"
+        k = rn - F.col(at) * rows
+        inner = Window.partitionBy(key, "blk", at).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+        terms, locs = [], []
+        for s in group:
+            w = (F.when(rn == s.start, F.col(s.seed or s.x))
+                  .when(rn > s.start, F.lit(s.a) * F.col(s.x))
+                  .otherwise(F.lit(0.0)))
+            terms.append((w * F.pow(F.lit(s.q), -k.cast("double"))).alias(f"_t_{s.name}"))
+            locs.append((F.pow(F.lit(s.q), k.cast("double")) * F.sum(f"_t_{s.name}").over(inner)).alias(f"_l_{s.name}"))
+        d = written(df.select("*", *terms).select("*", *locs).drop(*[f"_t_{s.name}" for s in group]), layout, "scan")
+
+        # End values of the sub-blocks, folded, as the carry into the next sub-block.
+        ends = d.where(~F.col("halo") & (k == rows - 1)).select(
+            key, F.col(at).alias("_s"), *[F.coalesce(f"_l_{s.name}", F.lit(0.0)).alias(f"_l_{s.name}") for s in group])
+
+        def folded(s: Smoother) -> Column:
+            past = Window.partitionBy(key).orderBy("_s").rowsBetween(-(fold_rows(s.q, rows) - 1), 0)
+            step = s.q ** rows
+            return F.aggregate(F.collect_list(f"_l_{s.name}").over(past), F.lit(0.0), lambda e, x: e * step + x)
+
+        per_block = layout.block_rows // rows
+        carry = ends.select(key, (F.col("_s") + 1).alias("_s"), *[folded(s).alias(f"_e_{s.name}") for s in group])
+        carry = carry.withColumn("blk", F.floor(F.col("_s") / per_block).cast("long")) \
+                     .groupBy(key, "blk").agg(F.map_from_entries(F.collect_list(F.struct(
+                         "_s", F.struct(*[f"_e_{s.name}" for s in group])))).alias("_carry"))
+        d = d.join(carry, [key, "blk"], "left")
+        outs = []
+        for s in group:
+            e = F.coalesce(F.try_element_at(F.col("_carry"), F.col(at))[f"_e_{s.name}"], F.lit(0.0))
+            y = F.col(f"_l_{s.name}") + e * F.pow(F.lit(s.q), (k + 1).cast("double"))
+            before = F.lit(s.before).cast("double") if s.before is not None else F.lit(None).cast("double")
+            outs.append(F.when(F.col("halo"), F.lit(None).cast("double"))
+                         .when(rn >= s.start + s.warmup, y)
+                         .when(rn < s.start, before)
+                         .otherwise(F.lit(None).cast("double")).alias(s.name))
+        df = d.select("*", *outs).drop("_carry", "_sb", *[f"_l_{s.name}" for s in group])
+    return df

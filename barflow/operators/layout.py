@@ -11,8 +11,8 @@ and one symbol may hold a third of all rows. Instead:
 2. :func:`block_layout` cuts each series into blocks of ``block_rows`` rows
    (``home = rn div block_rows``). The last ``halo_rows`` rows of a block are
    copied into the next block as read-only history (``halo = true``), so any
-   trailing window or recursion of depth ``<= halo_rows`` is exact for the
-   block's own rows. Windows are partitioned by ``(key, blk)``.
+   trailing window of at most ``halo_rows`` rows is exact for the block's own
+   rows; operators with longer windows raise (:meth:`Layout.need`). Windows are partitioned by ``(key, blk)``.
 3. :func:`with_running` adds exact running aggregates with unbounded memory
    (running sums, last non-null value, latest event position): the value
    inside the partition plus a carry from a small per-block summary table
@@ -20,8 +20,7 @@ and one symbol may hold a third of all rows. Instead:
 4. :func:`finish` drops halo copies and layout columns.
 
 Defaults: ``SUB_ROWS = 512`` rows per scan sub-block (see
-:mod:`barflow.functions.scan`), ``HALO_ROWS = 3 * SUB_ROWS`` (two nested
-recursions plus a 300-row trailing window) and ``BLOCK_ROWS = 32 * SUB_ROWS``
+:mod:`barflow.functions.scan`), ``HALO_ROWS = 3 * SUB_ROWS`` and ``BLOCK_ROWS = 32 * SUB_ROWS``
 (halo copies add at most 9.4 % rows, and only for series longer than a block).
 """
 
@@ -31,14 +30,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barflow.functions.frames import KEY, series_window
+from barflow.sources.store import cut_lineage
 
 SUB_ROWS = 512
 HALO_ROWS = 3 * SUB_ROWS
 BLOCK_ROWS = 32 * SUB_ROWS
 
-LAYOUT_COLS = ("blk", "home", "sb", "halo")
+LAYOUT_COLS = ("blk", "home", "sb", "halo", "n_rows")
 
 
 @dataclass(frozen=True)
@@ -46,34 +47,74 @@ class Layout:
     block_rows: int = BLOCK_ROWS
     halo_rows: int = HALO_ROWS
     sub_rows: int = SUB_ROWS
+    #: Write rows to the shared checkpoint folder before a second pass reads them
+    #: (counts then numbers, block ends then carries), so that plans stay linear
+    #: and no pass is computed twice.
+    materialize: bool = True
 
     def __post_init__(self):
         if self.halo_rows > self.block_rows:
             raise ValueError("halo_rows must not exceed block_rows")
-        if self.halo_rows < 2 * self.sub_rows:
-            raise ValueError("halo_rows must cover two scan sub-blocks")
+        if self.block_rows % self.sub_rows:
+            raise ValueError("block_rows must be a multiple of sub_rows")
+
+    def covers(self, rows: int) -> "Layout":
+        """This layout, or one with larger halo (and blocks) if ``rows`` of history do not fit."""
+        if rows <= self.halo_rows:
+            return self
+        halo = -(-rows // self.sub_rows) * self.sub_rows
+        block = max(self.block_rows, -(-4 * halo // self.sub_rows) * self.sub_rows)
+        return Layout(block, halo, self.sub_rows, self.materialize)
+
+    def need(self, rows: int, what: str) -> None:
+        """Raise if a trailing window of ``rows`` rows does not fit the halo: results at
+        block edges would differ from those of one whole series."""
+        if rows > self.halo_rows:
+            raise ValueError(f"{what} needs {rows} rows of history, the layout's halo has {self.halo_rows}; "
+                             "lay the series out with Layout.covers")
 
 
 DEFAULT_LAYOUT = Layout()
 
 
-def default_bucket(order_col: str) -> Column:
-    """Calendar year of the order column: bounds rows per bucket for bar data."""
-    return F.year(F.col(order_col))
+def written(df: DataFrame, layout: Layout, name: str) -> DataFrame:
+    """``df`` written once and read back, if the layout says so."""
+    return cut_lineage(df, name) if layout.materialize else df
+
+
+def default_bucket(df: DataFrame, order_col: str) -> Column:
+    """Calendar bucket that bounds the rows of one numbering task: the year for
+    daily bars (DATE), the day for anything finer (timestamps, intraday bars)."""
+    fine = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
+    return F.to_date(F.col(order_col)) if fine else F.year(F.col(order_col))
+
+
+def keyed(df: DataFrame, key: str = KEY, order: str = "date") -> DataFrame:
+    """Rows that belong to a series: key and order present."""
+    return df.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+
+
+def unkeyed(df: DataFrame, key: str = KEY, order: str = "date") -> DataFrame:
+    """Rows without key or order; they have no place in any series and are
+    counted by :func:`barflow.operators.quality.quality_report`."""
+    return df.where(F.col(key).isNull() | F.col(order).isNull())
 
 
 def number_rows(df: DataFrame, key: str = KEY, order: str = "date",
                 bucket: Column | None = None) -> DataFrame:
-    """Add ``rn``: 0-based position of each row within ``key`` by ``order``.
+    """Add ``rn``: 0-based position of each row within ``key`` by ``order``, and
+    ``n_rows``: rows of the key.
 
-    ``(key, order)`` must be unique. Work is split by ``(key, bucket)``; the
-    only per-key step runs on the bucket-count table (one row per bucket).
+    ``(key, order)`` must be unique; rows without key or order are left out
+    (see :func:`unkeyed`). Work is split by ``(key, bucket)``; the only per-key
+    step runs on the bucket-count table (one row per bucket).
     """
-    bkt = bucket if bucket is not None else default_bucket(order)
-    d = df.withColumn("_bkt", bkt)
+    bkt = bucket if bucket is not None else default_bucket(df, order)
+    d = keyed(df, key, order).withColumn("_bkt", bkt)
     counts = d.groupBy(key, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_bkt",
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_bkt", F.sum("_n").over(whole).alias("n_rows"),
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     d = d.join(offsets, [key, "_bkt"], "inner")
     local = F.row_number().over(Window.partitionBy(key, "_bkt").orderBy(order))
@@ -94,9 +135,9 @@ def block_layout(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
 
 def layout_series(df: DataFrame, key: str = KEY, order: str = "date",
                   layout: Layout = DEFAULT_LAYOUT, bucket: Column | None = None) -> DataFrame:
-    """``number_rows`` then ``block_layout`` (skips numbering if ``rn`` exists)."""
-    if "rn" not in df.columns:
-        df = number_rows(df, key, order, bucket)
+    """``number_rows`` then ``block_layout`` (skips numbering if ``rn`` and ``n_rows`` exist)."""
+    if "rn" not in df.columns or "n_rows" not in df.columns:
+        df = number_rows(written(df.drop("rn"), layout, "series"), key, order, bucket)
     return block_layout(df, layout)
 
 
@@ -138,7 +179,7 @@ def with_running(df: DataFrame, specs: dict[str, tuple[str, Column]],
         if kind not in _KINDS:
             raise ValueError(f"unknown running kind {kind!r}")
     b, h = layout.block_rows, layout.halo_rows
-    d = df.select("*", *[e.alias(f"_x_{n}") for n, (_, e) in specs.items()])
+    d = written(df.select("*", *[e.alias(f"_x_{n}") for n, (_, e) in specs.items()]), layout, "running")
     own = d.where(~F.col("halo"))
     in_head = (F.col("rn") - F.col("home") * b) < (b - h)
 

@@ -53,6 +53,11 @@ REGIME_COLUMNS: list[tuple[str, str]] = [
 ]
 
 
+def regime_history(cfg: RegimeConfig = DEFAULT_REGIME) -> int:
+    """Rows before a row that its trailing windows read (nested windows add up)."""
+    return max(cfg.volatility_window + 1 + cfg.volatility_rank_window, cfg.volume_rank_window, cfg.trend_long + 1)
+
+
 def regime_bin(p: Column, cfg: RegimeConfig = DEFAULT_REGIME) -> Column:
     """Right-closed bins of a percentile in (0, 1] -> 0.0 / 1.0 / 2.0 (NULL stays NULL)."""
     return (F.when(p.isNull(), F.lit(None).cast("double"))
@@ -64,6 +69,7 @@ def regime_bin(p: Column, cfg: RegimeConfig = DEFAULT_REGIME) -> Column:
 def regime_features(df: DataFrame, cfg: RegimeConfig = DEFAULT_REGIME,
                     layout: Layout = DEFAULT_LAYOUT, key: str = KEY) -> DataFrame:
     """Add the 15 regime columns to laid-out bars."""
+    layout.need(regime_history(cfg), "regime_features")
     tmp: list[str] = []
     a: list[Column] = []
     if "returns" not in df.columns:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 
 from barflow.operators import clean as cl
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, finish
-from barflow.operators.regime import REGIME_COLUMNS, DEFAULT_REGIME, regime_features
+from barflow.operators.regime import DEFAULT_REGIME, REGIME_COLUMNS, regime_features, regime_history
 from barflow.sources.store import cut_lineage
 from barflow.operators.technical import (DEFAULT_TECHNICAL, TECHNICAL_COLUMNS, TechnicalConfig,
-                                         technical_features)
+                                         technical_features, technical_history)
 
 
 @dataclass(frozen=True)
@@ -62,6 +61,8 @@ def generate_features(bars: DataFrame, groups: list[FeatureGroup] | None = None,
     ``materialize=True`` writes the cleaned series once (an action) before
     the feature generators run.
     """
+    if groups is None:
+        layout = layout.covers(max(technical_history(), regime_history()))
     gs = groups if groups is not None else default_groups(layout)
     d = cl.clean_bars(bars, layout, arrival="arrival" if raw else None)
     if materialize:
@@ -69,7 +70,7 @@ def generate_features(bars: DataFrame, groups: list[FeatureGroup] | None = None,
         # under the shared checkpoint folder cuts the lineage (executor loss
         # recomputes from here) and keeps the feature joins from re-running
         # the cleaner in each of their branches.
-        d = cut_lineage(d, f"silver-{uuid.uuid4().hex}")
+        d = cut_lineage(d, "silver")
     for g in gs:
         d = g(d)
     out = finish(d, keep_rn=keep_rn)

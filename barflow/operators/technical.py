@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.functions.frames import KEY, div, flag, full, lag, pct_rank_last, trailing
+from barflow.functions.frames import KEY, div, flag, full, lag, trailing
 from barflow.functions.scan import Smoother, apply_smoothers, ema, wilder_mean
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, with_running
 
@@ -113,6 +113,13 @@ def technical_columns(cfg: TechnicalConfig = DEFAULT_TECHNICAL) -> list[str]:
     return [c for g in cfg.groups for c, _ in TECHNICAL_COLUMNS[g]]
 
 
+def technical_history(cfg: TechnicalConfig = DEFAULT_TECHNICAL) -> int:
+    """Rows before a row that its trailing windows read (nested windows add up)."""
+    return max(*cfg.sma_periods, *cfg.roc_periods, *cfg.momentum_periods, cfg.stoch_window + cfg.stoch_smooth, cfg.bb_period,
+               cfg.atr_period + 1, max(cfg.volatility_windows) + 1, cfg.volume_window, cfg.mfi_window + 1,
+               cfg.aroon_window + 1, 2 * cfg.adx_period + 1)
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -120,6 +127,7 @@ def _c(name: str) -> Column:
 def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
                        layout: Layout = DEFAULT_LAYOUT, key: str = KEY) -> DataFrame:
     """Add the indicator columns of ``cfg.groups`` to laid-out bars."""
+    layout.need(technical_history(cfg), "technical_features")
     g = set(cfg.groups)
     close, high, low, open_, vol = _c("close"), _c("high"), _c("low"), _c("open"), _c("volume")
     tmp: list[str] = []
@@ -262,7 +270,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         sm += [Smoother("_pdm_s", "_pdm", 1 - 1.0 / n, 1.0, n, "_pdm_seed"),
                Smoother("_mdm_s", "_mdm", 1 - 1.0 / n, 1.0, n, "_mdm_seed")]
         tmp += ["_pdm_s", "_mdm_s"]
-    df = apply_smoothers(df, sm, key, layout.sub_rows)
+    df = apply_smoothers(df, sm, key, layout)
 
     # Stage E: expressions over smoothed values.
     e: list[Column] = []
@@ -292,7 +300,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         df = df.select("*", full(n, F.avg, "_dx", key).alias("_dx_seed"))
         tmp.append("_dx_seed")
         sm2.append(Smoother("adx", "_dx", 1 - 1.0 / n, 1.0 / n, 2 * n - 1, "_dx_seed"))
-    df = apply_smoothers(df, sm2, key, layout.sub_rows)
+    df = apply_smoothers(df, sm2, key, layout)
 
     # Stage G: flags over second-level values and unbounded running sums.
     fin: list[Column] = []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,33 @@ def read_silver(spark: SparkSession, path: str, symbols: list[str] | None = None
     return df if symbols is None else df.where(F.col("symbol").isin(symbols))
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` as Parquet under the shared checkpoint folder and
-    read it back: a lineage cut that survives executor loss."""
+    read it back: a lineage cut that survives executor loss. Every call writes
+    a folder of its own; :func:`release` removes them."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system layer (local or shared)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut_lineage` has written for this
+    application; call it when the frames read from them are done with."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def pipeline_status(df: DataFrame, key: str = "symbol", order: str = "date") -> DataFrame:

@@ -56,16 +56,101 @@ def test_features_do_not_depend_on_block_size(spark):
         assert np.allclose(x[m], y[m], rtol=1e-12, atol=1e-9), c
 
 
-def test_smoothers_add_no_exchange(spark):
+def plan_of(df):
     import contextlib
     import io
-    from barflow.operators.technical import TechnicalConfig
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_feature_plans_stay_flat(spark):
     d = layout_series(daily_bars(spark, SF001))
-    base = io.StringIO()
-    with contextlib.redirect_stdout(base):
-        finish(technical_features(d, TechnicalConfig(groups=("patterns",)))).explain()
-    full_ = io.StringIO()
-    with contextlib.redirect_stdout(full_):
-        finish(technical_features(d, TechnicalConfig(groups=("moving_averages", "momentum")))).explain()
-    # EMA/RSI/MACD scans reuse the (symbol, blk) exchange of the plain windows
-    assert full_.getvalue().count("Exchange hashpartitioning") == base.getvalue().count("Exchange hashpartitioning")
+    plan = plan_of(finish(regime_features(technical_features(d))))
+    # Every second pass reads written rows, so the ticks are gone from the plan
+    # and exchanges do not multiply.
+    assert "l_shipdate" not in plan
+    assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def naive_rsi(close, n=14):
+    up = dn = None
+    out = []
+    for i, c in enumerate(close):
+        step = c - close[i - 1] if i else 0.0
+        u, v = max(step, 0.0), max(-step, 0.0)
+        up, dn = (u, v) if up is None else (up + (u - up) / n, dn + (v - dn) / n)
+        out.append(None if i < n - 1 else 100.0 if dn == 0 else 100 - 100 / (1 + up / dn))
+    return out
+
+
+def series(spark, close, start="2000-01-01"):
+    rows = [("A", i, float(c)) for i, c in enumerate(close)]
+    d = spark.createDataFrame(rows, "symbol string, i int, close double")
+    return d.select("symbol", F.date_add(F.lit(start).cast("date"), F.col("i")).alias("date"), F.col("close").alias("open"),
+                    (F.col("close") + 1).alias("high"), (F.col("close") - 1).alias("low"), "close",
+                    F.lit(10.0).alias("volume"))
+
+
+def test_halted_symbol_keeps_its_rsi_across_sub_blocks_and_blocks(spark):
+    r = np.random.default_rng(0)
+    close = np.concatenate([100 + r.normal(size=100).cumsum(), np.zeros(4000)])
+    close[100:] = close[99]
+    exp = naive_rsi(close)
+    for layout in (Layout(), SMALL):
+        d = technical_features(layout_series(series(spark, close), layout=layout), layout=layout)
+        got = [x.rsi for x in finish(d).orderBy("date").select("rsi").collect()]
+        assert np.allclose(np.array(got[13:], float), np.array(exp[13:], float), rtol=1e-9)
+        adx = [x.adx for x in finish(d).orderBy("date").select("adx").collect()]
+        assert adx[-1] > 1 and len(set(np.round(adx[3000:], 9))) > 0
+
+
+def test_long_periods_need_a_large_halo(spark):
+    from barflow.operators.technical import TechnicalConfig, technical_history
+    import pandas as pd
+    import pytest
+    cfg = TechnicalConfig(sma_periods=(10, 20, 50, 200, 2000), ema_periods=(12, 26, 200), groups=("moving_averages",))
+    r = np.random.default_rng(1)
+    close = 100 + r.normal(size=9000).cumsum()
+    bars = series(spark, close)
+    with pytest.raises(ValueError, match="halo"):
+        technical_features(layout_series(bars), cfg)
+    layout = SMALL.covers(technical_history(cfg))
+    d = finish(technical_features(layout_series(bars, layout=layout), cfg, layout)).orderBy("date").toPandas()
+    c = pd.Series(close)
+    assert np.allclose(d["sma_2000"].values, c.rolling(2000).mean().values, equal_nan=True)
+    assert np.allclose(d["ema_200"].values, c.ewm(span=200, adjust=False, min_periods=200).mean().values, equal_nan=True, rtol=1e-12)
+
+
+def test_written_tables_are_released(spark):
+    import os
+    from barflow.operators.store import generate_features
+    from barflow.session import ensure_checkpoint_dir
+    from barflow.sources.store import release
+    n = generate_features(daily_bars(spark, SF001)).count()
+    assert n > 0 and release(spark) > 0
+    folder = ensure_checkpoint_dir(spark).replace("file:", "") + "/tables"
+    assert os.listdir(folder) == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+    from barflow.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from barflow.functions.frames import KEY, div, lag
 from barflow.operators.layout import (DEFAULT_LAYOUT, Layout, attach_per_key, layout_series,
-                                      with_running)
+                                      with_running, written)
+from barflow.sources.store import cut_lineage
 
 PRICE_COLS = ["open", "high", "low", "close"]
 
@@ -36,17 +37,54 @@ def dedupe_last(raw: DataFrame, key: str = KEY, order: str = "date",
     return raw.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+#: Buckets a value range is cut into, and rows that one ranking group may hold.
+MEDIAN_BUCKETS, MEDIAN_ROWS = 1024, 100_000
+
+
+def exact_median(df: DataFrame, col: str, key: str = KEY, buckets: int = MEDIAN_BUCKETS,
+                 most: int = MEDIAN_ROWS) -> DataFrame:
+    """``(key, median)``: exact median of the non-null values of each key.
+
+    No task holds a key's values. Each round cuts the range that must hold the
+    two middle ranks into equal buckets, counts them (a partial aggregate) and
+    keeps only the rows of the buckets that the ranks fall into, until those
+    are few or of one value; only then are rows ranked."""
+    d = df.select(key, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & F.col(key).isNotNull())
+    s = d.groupBy(key).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    both = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
+    # (key, which of the two ranks, rank among the rows in [lo, hi], their number)
+    state = cut_lineage(s.select(key, F.posexplode(both).alias("side", "rank"), "n", "lo", "hi"), "median")
+    while state.where((F.col("n") > most) & (F.col("lo") < F.col("hi"))).limit(1).count():
+        at = d.join(state, key).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        width = (F.col("hi") - F.col("lo")) / buckets
+        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(0)
+        counts = at.groupBy(key, "side", "rank", b.alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        w = Window.partitionBy(key, "side").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+        upto = counts.withColumn("upto", F.sum("c").over(w))
+        state = cut_lineage(upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+                            .select(key, "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"),
+                                    F.col("c").alias("n"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")), "median")
+    at = d.join(state, key).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    few = at.where("lo < hi").withColumn("r", F.row_number().over(Window.partitionBy(key, "side").orderBy("v")) - 1) \
+            .where("r = rank").select(key, "side", "v")
+    one = state.where("lo = hi").select(key, "side", F.col("lo").alias("v"))
+    return few.unionByName(one).groupBy(key).agg(F.avg("v").alias("median"))
+
+
 def fill_missing(df: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY) -> DataFrame:
     """Prices: forward fill, then backward fill of leading gaps; volume: the
     symbol's exact median. Input is laid out; output keeps the layout."""
     specs = {f"_ff_{c}": ("last", F.col(c)) for c in PRICE_COLS}
     # Per-symbol values come from the input rows (not the filled frame), so
     # this branch does not re-run the fill join.
+    df = written(df, layout, "fill")
     own = df.where(~F.col("halo"))
     d = with_running(df, specs, layout, key, halo_exact=True)
     stats = own.groupBy(key).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(f"_bf_{c}") for c in PRICE_COLS],
-        F.median("volume").alias("_vol_med"))
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rn"))).alias(f"_bf_{c}") for c in PRICE_COLS])
+    median = exact_median(own, "volume", key).withColumnRenamed("median", "_vol_med")
+    stats = stats.join(median, key, "left")
     d = attach_per_key(d, stats, key)
     out = [F.coalesce(F.col(f"_ff_{c}"), F.col(f"_bf_{c}")).alias(c) for c in PRICE_COLS]
     out.append(F.coalesce(F.col("volume"), F.col("_vol_med")).alias("volume"))

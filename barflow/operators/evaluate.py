@@ -41,14 +41,3 @@ def best_models(metric_table: DataFrame, by: tuple[str, ...] = ("symbol",)) -> D
     w = Window.partitionBy(*by, "metric").orderBy(score.asc_nulls_last(), F.col("model"))
     return (long.withColumn("_r", F.row_number().over(w)).where("_r = 1")
                 .select(*by, "metric", F.col("model").alias("best_model"), "value"))
-
-
-def directional_accuracy(preds: DataFrame, by: tuple[str, ...] = ("symbol", "model"),
-                         key: str = "symbol", order: str = "date") -> DataFrame:
-    """Share (x100) of bars where the predicted move from the previous actual
-    has the sign of the actual move."""
-    w = Window.partitionBy(key, "model").orderBy(order)
-    prev = F.lag("y").over(w)
-    hit = (F.signum(F.col("y") - prev) == F.signum(F.col("yhat") - prev)).cast("double")
-    d = preds.select("*", hit.alias("_hit"))
-    return d.groupBy(*by).agg((F.avg("_hit") * 100.0).alias("directional_accuracy"))

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barflow.functions.frames import div
+
 # --- fixed values (model settings of the reference) ---------------------------
 # Random forest: 200 trees, depth 15, min samples per leaf 2, sqrt features, seed 42.
 # Boosted trees: 200 rounds, depth 7, learning rate 0.01, 0.8 row and column sampling.
@@ -63,12 +64,12 @@ def predict(model, samples: DataFrame, name: str) -> DataFrame:
 
 
 def history(preds: DataFrame) -> DataFrame:
-    """R2 per model and split (train / val / test) with ``RegressionEvaluator``
-    semantics, as one grouped aggregate."""
+    """R2 per model and split (train / val / test) as one grouped aggregate;
+    NULL where the labels of a split are constant."""
     err = F.col("y") - F.col("yhat")
     agg = preds.groupBy("model", "split").agg(
         F.sum(err * err).alias("_sse"), (F.count(F.lit(1)) * F.var_pop("y")).alias("_sst"))
-    return agg.select("model", "split", (1 - F.col("_sse") / F.col("_sst")).alias("r2"))
+    return agg.select("model", "split", (1 - div(F.col("_sse"), F.col("_sst"))).alias("r2"))
 
 
 def gbt_rounds(model, samples: DataFrame, split: str = "val") -> DataFrame:
@@ -90,7 +91,3 @@ def importances(spark: SparkSession, model, cols: list[str], lookback: int) -> D
     df = spark.createDataFrame(rows, "feature string, lag int, importance double")
     return (df.groupBy("feature").agg(F.sum("importance").alias("importance"))
               .orderBy(F.col("importance").desc()))
-
-
-def evaluator_r2(preds: DataFrame) -> float:
-    return RegressionEvaluator(labelCol="y", predictionCol="yhat", metricName="r2").evaluate(preds)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.frames import KEY, div, series_window
-from barflow.operators.layout import DEFAULT_LAYOUT, Layout, finish, layout_series, with_running
+from barflow.operators.layout import DEFAULT_LAYOUT, Layout, finish, layout_series, unkeyed, with_running
 
 REQUIRED = ["open", "high", "low", "close", "volume"]
 
@@ -28,7 +28,7 @@ def missing_columns(df: DataFrame, required: list[str] = REQUIRED) -> list[str]:
 def _moves_and_gaps(bars: DataFrame, layout: Layout, key: str, order: str) -> DataFrame:
     """Per row: change against the last non-null close before it (pandas
     ``pct_change`` pads missing values) and the day gap to the previous bar."""
-    d = layout_series(bars, key, order, layout)
+    d = layout_series(bars, key, order, layout).drop("n_rows")
     d = with_running(d, {"_pad": ("last", F.col("close"))}, layout, key, halo_exact=True)
     w = series_window(key)
     prev = F.lag("_pad", 1).over(w)
@@ -58,9 +58,13 @@ def quality_report(bars: DataFrame, symbols: DataFrame | None = None,
     """One row per symbol: counts per rule and the verdict ``passed``.
 
     ``symbols`` (one column ``symbol``) lists the requested symbols; those
-    without rows appear with ``rows = 0`` and fail ``dq_empty``.
+    without rows appear with ``rows = 0`` and fail ``dq_empty``. Rows without
+    symbol or date have no place in a series, but every other rule counts
+    them; ``missing_keys`` counts them and any fails the symbol (rows without
+    symbol form the NULL symbol).
     """
     d = _moves_and_gaps(bars, layout, key, order)
+    d = d.unionByName(unkeyed(bars, key, order), allowMissingColumns=True)
     n = F.count(F.lit(1))
     null_share = F.greatest(*[F.avg(F.col(c).isNull().cast("double")) for c in REQUIRED])
     rep = d.groupBy(key).agg(
@@ -69,13 +73,15 @@ def quality_report(bars: DataFrame, symbols: DataFrame | None = None,
         F.count_if(F.col("close") <= 0).alias("nonpositive_close"),
         F.count_if(F.col("volume") < 0).alias("negative_volume"),
         F.count_if(F.abs("change") > BIG_MOVE).alias("big_moves"),
-        F.count_if(F.col("gap_days") > MAX_GAP_DAYS).alias("date_gaps"))
+        F.count_if(F.col("gap_days") > MAX_GAP_DAYS).alias("date_gaps"),
+        F.count_if(F.col(key).isNull() | F.col(order).isNull()).alias("missing_keys"))
     if symbols is not None:
         rep = symbols.select(key).distinct().join(rep, key, "left")
-        rep = rep.fillna(0, ["rows", "nonpositive_close", "negative_volume", "big_moves", "date_gaps"])
+        rep = rep.fillna(0, ["rows", "nonpositive_close", "negative_volume", "big_moves", "date_gaps", "missing_keys"])
     empty = F.col("rows") == 0
     passed = (~empty & (F.coalesce(F.col("max_null_share"), F.lit(0.0)) <= MAX_NULL_SHARE)
-              & (F.col("nonpositive_close") == 0) & (F.col("negative_volume") == 0))
+              & (F.col("nonpositive_close") == 0) & (F.col("negative_volume") == 0)
+              & (F.col("missing_keys") == 0))
     return rep.select("*", empty.alias("empty"),
                       (F.col("max_null_share") > MAX_NULL_SHARE).alias("too_many_nulls"),
                       passed.alias("passed"))

@@ -88,10 +88,6 @@ def catalog(spark: SparkSession, groups: list[FeatureGroup] | None = None) -> Da
               "requires array<string>")
 
 
-def features_by_category(spark: SparkSession) -> DataFrame:
-    return catalog(spark).groupBy("generator").agg(F.collect_list("feature").alias("features"))
-
-
 # --- fixed values (row guards of the reference) -------------------------------
 # A symbol needs lookback + horizon + 100 rows, before and after the feature
 # null drop, and at least 150 samples.

@@ -7,8 +7,8 @@ returns a DataFrame. Double outputs are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from barflow.operators.layout import DEFAULT_LAYOUT, finish, layout_series
 from barflow.operators.regime import regime_features
 from barflow.operators.technical import TechnicalConfig, technical_features
 from barflow.plans import sql as S
-from barflow.sources.bars import bars_from_ticks, lookback, select_bars
+from barflow.sources.bars import BAR_COLUMNS, bars_from_ticks, lookback, read_bars, select_bars
 from barflow.sources.ticks import event_ticks, lineitem_ticks, orders_raw_bars, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -91,7 +91,20 @@ def q_src_bars_from_ticks(spark, sf):
     f"SELECT {_BAR_COLS} FROM bars WHERE symbol IN ('AF', 'NO', 'RF') "
     "AND date >= DATE '1996-01-01' AND date < DATE '2000-01-01'"))
 def q_src_bars(spark, sf):
-    return rounded(select_bars(daily_bars(spark, sf), ["AF", "NO", "RF"], "1996-01-01", "2000-01-01"))
+    ticks = lineitem_ticks(table(spark, sf, "lineitem"))
+    bars = bars_from_ticks(ticks, "1d", symbols=["AF", "NO", "RF"], start="1996-01-01", end="2000-01-01")
+    return rounded(select_bars(bars))
+
+
+@register("src_bars_files", S.with_bars(
+    f"SELECT {_BAR_COLS} FROM bars WHERE symbol IN ('AF', 'NO', 'RF') "
+    "AND date >= DATE '1996-01-01' AND date < DATE '2000-01-01'"))
+def q_src_bars_files(spark, sf):
+    """Bars stored as files and read back for some symbols and a range."""
+    from barflow.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    daily_bars(spark, sf).select(*BAR_COLUMNS).write.parquet(path)
+    return rounded(read_bars(spark, path, ["AF", "NO", "RF"], "1996-01-01", "2000-01-01"))
 
 
 _HOURLY_SQL = """SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts,

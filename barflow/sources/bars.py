@@ -33,13 +33,41 @@ def bar_time(ts: Column, interval: str) -> Column:
     return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
-def bars_from_ticks(ticks: DataFrame, interval: str = "1d", order: str = "date") -> DataFrame:
+#: Decimal digits of ``seq`` inside the order key; ``ts`` in microseconds takes the others.
+SEQ_DIGITS = 20
+
+
+def order_key(ts: Column, seq: Column | None = None) -> Column:
+    """``(ts, seq)`` as one fixed-width value, which a hash aggregate can keep
+    in its buffer (a struct would force a sort of all ticks). ``seq`` is an
+    integer of at most ``SEQ_DIGITS`` digits, not negative; without it ``ts``
+    alone is the key."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    if seq is None:
+        return micros
+    scale = F.lit("1" + "0" * SEQ_DIGITS).cast(f"decimal({SEQ_DIGITS + 1},0)")
+    return (micros.cast("decimal(17,0)") * scale + seq.cast(f"decimal({SEQ_DIGITS},0)")).cast("decimal(38,0)")
+
+
+def bars_from_ticks(ticks: DataFrame, interval: str = "1d", order: str = "date", symbols: list[str] | None = None,
+                    start: dt.date | str | None = None, end: dt.date | str | None = None) -> DataFrame:
     """OHLCV bars per ``(symbol, bar)``: open/close are the prices of the
     first/last trade by ``(ts, seq)``, high/low the extremes, volume the
     summed size. One hash exchange on ``(symbol, bar)`` after a map-side
-    partial aggregate, so a hot symbol is pre-aggregated before it moves."""
-    t = ticks.select("symbol", bar_time(F.col("ts"), interval).alias(order), "price", "size",
-                     F.struct("ts", "seq").alias("_o"))
+    partial hash aggregate, so a hot symbol is pre-aggregated before it moves.
+
+    ``symbols`` and the days ``start <= day < end`` are applied to the raw
+    columns, so that the scan can skip files and row groups."""
+    t = ticks
+    if symbols is not None:
+        t = t.where(F.col("symbol").isin(list(symbols)))
+    ts_type = t.schema["ts"].dataType.simpleString()
+    if start is not None:
+        t = t.where(F.col("ts") >= F.lit(str(start)).cast(ts_type))
+    if end is not None:
+        t = t.where(F.col("ts") < F.lit(str(end)).cast(ts_type))
+    seq = F.col("seq") if "seq" in t.columns else None
+    t = t.select("symbol", bar_time(F.col("ts"), interval).alias(order), "price", "size", order_key(F.col("ts"), seq).alias("_o"))
     return (t.groupBy("symbol", order)
              .agg(F.min_by("price", "_o").alias("open"), F.max("price").alias("high"),
                   F.min("price").alias("low"), F.max_by("price", "_o").alias("close"),

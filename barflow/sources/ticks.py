@@ -3,7 +3,7 @@
 They only rename and project columns; no job work happens here.
 
 * ``TICKS``: ``symbol string, ts timestamp_ntz, price double, size double,
-  seq <orderable>`` -- ``seq`` orders trades inside a timestamp.
+  seq <integer>`` -- ``seq`` (at most 20 digits, optional) orders trades inside a timestamp.
 * ``RAW_BARS``: ``symbol, date, open, high, low, close, volume`` plus an
   ``arrival`` column (later arrival wins on duplicate dates).
 """
@@ -21,22 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lineitem_ticks(lineitem: DataFrame) -> DataFrame:
     """One trade per line item: symbol = return flag || line status,
     price = extended price / quantity, size = quantity. ``(l_orderkey,
-    l_linenumber)`` repeats in the data, so ``seq`` is the full row key."""
+    l_linenumber)`` repeats in the data, so ``seq`` is order, line and part
+    key in one number (10, 1 and 9 digits)."""
     return lineitem.select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.col("l_quantity").alias("size"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                 "l_quantity", "l_extendedprice").alias("seq"))
+        (F.col("l_orderkey").cast("decimal(10,0)") * F.lit(10_000_000_000)
+         + (F.col("l_linenumber").cast("long") * F.lit(1_000_000_000) + F.col("l_partkey"))).cast("decimal(20,0)").alias("seq"))
 
 
 def event_ticks(events: DataFrame) -> DataFrame:
     """One trade per event: symbol = event type, price = value, size = 1.
-    ``ts`` is unique inside a type, so it is its own sequence."""
+    ``event_id`` orders events of the same time."""
     return events.select(F.col("event_type").alias("symbol"), "ts",
-                         F.col("value").alias("price"), F.lit(1.0).alias("size"),
-                         F.col("ts").alias("seq"))
+                         F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("seq"))
 
 
 def orders_raw_bars(orders: DataFrame, null_every: int | None = 17) -> DataFrame:

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
+from barflow.sources.store import remove
 from barflow.sources.ticks import event_ticks
 
 EVENTS_SCHEMA = T.StructType([
@@ -22,66 +24,90 @@ EVENTS_SCHEMA = T.StructType([
 
 def tick_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet") -> DataFrame:
     """Event files as a tick stream; ``ts`` becomes a zoned timestamp
-    (session zone) because a watermark on ``TIMESTAMP_NTZ`` is rejected."""
+    (session zone) because a watermark on ``TIMESTAMP_NTZ`` is rejected.
+    ``seq`` orders ticks of the same time."""
     raw = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
                 .option("maxFilesPerTrigger", 64).parquet(folder))
-    t = event_ticks(raw)
-    return t.withColumn("ts", F.col("ts").cast("timestamp")).drop("seq")
+    return event_ticks(raw).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def live_bars(ticks: DataFrame, interval: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
     """Windowed bars; a bar is emitted once the watermark passes its end and
-    ticks later than the watermark are dropped."""
+    ticks later than the watermark are dropped. Open and close follow
+    ``(ts, seq)``, as in the batch bars."""
+    order = F.struct("ts", "seq")
     return (ticks.withWatermark("ts", watermark)
                  .groupBy(F.window("ts", interval).alias("w"), "symbol")
-                 .agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"),
-                      F.min("price").alias("low"), F.max_by("price", "ts").alias("close"),
+                 .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"),
+                      F.min("price").alias("low"), F.max_by("price", order).alias("close"),
                       F.sum("size").alias("volume"))
                  .select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"),
                          "open", "high", "low", "close", "volume"))
 
 
+BARS_OUT = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+QUOTES_OUT = "symbol string, last_ts timestamp_ntz, current_price double, n_ticks bigint"
+
+
 def run_live_bars(spark: SparkSession, folder: str, out: str, checkpoint: str,
                   interval: str = "1 hour", watermark: str = "1 hour",
-                  available_now: bool = True) -> DataFrame:
-    """Append closed bars to Parquet at ``out``; returns the table read back."""
+                  available_now: bool = True) -> DataFrame | StreamingQuery:
+    """Append closed bars to Parquet at ``out``. With ``available_now`` all
+    data at hand are processed and the table is returned; otherwise the
+    handle of the running query is, to watch or stop it."""
     q = (live_bars(tick_stream(spark, folder), interval, watermark)
          .writeStream.outputMode("append").format("parquet")
          .option("checkpointLocation", checkpoint))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    handle = q.start(out)
-    if available_now:
-        handle.awaitTermination()
-    return spark.read.schema("symbol string, ts timestamp_ntz, open double, high double, low double, "
-                             "close double, volume double").parquet(out)
+    if not available_now:
+        return q.trigger(processingTime="10 seconds").start(out)
+    q.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(BARS_OUT).parquet(out)
 
 
 def run_latest_quotes(spark: SparkSession, folder: str, out: str, checkpoint: str,
-                      available_now: bool = True) -> DataFrame:
-    """Latest quote per symbol, kept up to date: the streaming aggregate's
-    state is one row per symbol; each micro-batch rewrites the quote table
-    (update mode through ``foreachBatch``, idempotent per batch id)."""
+                      available_now: bool = True) -> DataFrame | StreamingQuery:
+    """Latest quote per symbol, kept up to date.
+
+    The streaming aggregate's state holds one row per symbol, and every batch
+    writes all of it (complete mode) to a folder of its own; no batch reads or
+    overwrites an earlier table, so a crash leaves the last complete one and a
+    lost table is rebuilt by the next batch. Folders before the last complete
+    one are removed. Returns the table, or the query's handle if it runs on."""
     ticks = tick_stream(spark, folder)
+    order = F.struct("ts", "seq")
     quotes = ticks.groupBy("symbol").agg(
-        F.max("ts").alias("last_ts"), F.max_by("price", "ts").alias("current_price"),
+        F.max("ts").alias("last_ts"), F.max_by("price", order).alias("current_price"),
         F.count(F.lit(1)).alias("n_ticks"))
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        cur = batch.select("symbol", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"),
-                           "current_price", "n_ticks")
-        try:
-            old = spark.read.parquet(out)
-            merged = (old.join(cur.select("symbol"), "symbol", "left_anti").unionByName(cur))
-        except Exception:  # first batch: no table yet
-            merged = cur
-        staged = f"{out}.b{batch_id}"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(out)
-
-    q = (quotes.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
-    handle = q.start()
-    if available_now:
-        handle.awaitTermination()
-    return spark.read.parquet(out)
+    def store(batch: DataFrame, batch_id: int) -> None:
+        done = complete_batches(spark, out)
+        (batch.select("symbol", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "current_price", "n_ticks")
+              .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+        for old in [b for b in done if b < batch_id][:-1]:
+            remove(spark, f"{out}/batch={old}")
+
+    q = quotes.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint)
+    if not available_now:
+        return q.trigger(processingTime="10 seconds").start()
+    q.trigger(availableNow=True).start().awaitTermination()
+    return read_quotes(spark, out)
+
+
+def complete_batches(spark: SparkSession, out: str) -> list[int]:
+    """Batches whose table was written to the end, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    ids = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [i for i in ids if fs.exists(make(f"{out}/batch={i}/_SUCCESS"))]
+
+
+def read_quotes(spark: SparkSession, out: str) -> DataFrame:
+    """The quote table of the last complete batch; empty before the first."""
+    done = complete_batches(spark, out)
+    if not done:
+        return spark.createDataFrame([], QUOTES_OUT)
+    return spark.read.schema(QUOTES_OUT).parquet(f"{out}/batch={done[-1]}")

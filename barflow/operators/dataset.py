@@ -51,9 +51,7 @@ def fit_minmax(df: DataFrame, cols: list[str], fit_on: str = "train", train: flo
     symbol's rows; ``"all"`` fits on every row (the reference's behaviour,
     which lets test rows shape the scale)."""
     if fit_on == "train":
-        n = df.where(~F.col("halo")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        own = attach_per_key(df, n, key).where(~F.col("halo"))
-        own = own.where(F.col("rn") < F.floor(F.col("_n") * train))
+        own = df.where(~F.col("halo") & (F.col("rn") < F.floor(F.col("n_rows") * train)))
     elif fit_on == "all":
         own = df.where(~F.col("halo"))
     else:
@@ -99,17 +97,18 @@ def sequences(df: DataFrame, cols: list[str], target: str, lookback: int = LOOKB
         raise ValueError("lookback + horizon must fit in the layout halo")
     w = series_window(key)
     frame = w.rowsBetween(-(lookback + horizon - 1), -horizon)
-    win = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(frame)
+    # One array per row, then arrays of arrays: the window is built last and
+    # nothing wide goes through a join (``n_rows`` comes with the layout).
+    d = df.select(key, order, "rn", "n_rows", "halo", "blk", "home", "sb", F.col(target).alias("_target"),
+                  F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
     i = F.col("rn") - (horizon - 1)
-    d = df.select("*", win.alias("window"), F.lag(order, horizon - 1).over(w).alias("_sdate"),
-                  i.alias("_i"))
+    d = d.select("*", F.collect_list("_x").over(frame).alias("window"),
+                 F.lag(order, horizon - 1).over(w).alias("_sdate"), i.alias("_i"))
     d = d.where((F.col("_i") >= lookback) & (F.size("window") == lookback))
-    n = df.where(~F.col("halo")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    d = attach_per_key(d, n, key)
-    n_samples = F.col("_n") - lookback - horizon + (0 if drop_last else 1)
-    d = finish(d.where(F.col("_i") - lookback < n_samples))
+    n_samples = F.col("n_rows") - lookback - horizon + (0 if drop_last else 1)
+    d = d.where((F.col("_i") - lookback < n_samples) & ~F.col("halo"))
     return d.select(key, F.col("_sdate").alias(order), (F.col("_i") - lookback).alias("idx"),
-                    n_samples.cast("long").alias("n_samples"), "window", F.col(target).alias("label"))
+                    n_samples.cast("long").alias("n_samples"), "window", F.col("_target").alias("label"))
 
 
 def flatten_window(samples: DataFrame, col: str = "window", vector: bool = True) -> DataFrame:
@@ -127,15 +126,29 @@ def split_samples(samples: DataFrame, train: float = TRAIN_SPLIT, val: float = V
 
 
 def walk_forward(samples: DataFrame, n_splits: int = N_SPLITS, gap: int = GAP,
-                 key: str = KEY) -> DataFrame:
+                 key: str = KEY, order: str = "date") -> DataFrame:
     """Expanding-window folds: fold ``k`` tests the ``k``-th of ``n_splits``
     equal tail slices (size ``n // (n_splits + 1)``) and trains on all rows
     ending ``gap`` rows before the test slice. Output: one row per
-    ``(sample, fold)`` membership with ``role`` train/test."""
+    ``(sample, fold)`` membership with ``role`` train/test, on the samples'
+    keys alone (``key, order, idx, n_samples``); windows are not copied, see
+    :func:`fold_samples`."""
     n = F.col("n_samples")
     size = F.floor(n / (n_splits + 1))
-    d = samples.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    test_start = n - (n_splits - F.col("fold")) * size
-    role = (F.when((F.col("idx") >= test_start) & (F.col("idx") < test_start + size), "test")
-             .when(F.col("idx") < test_start - gap, "train"))
-    return d.withColumn("role", role).where(F.col("role").isNotNull())
+    d = samples.select(key, order, "idx", "n_samples") \
+               .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    return d.withColumn("role", _fold_role(n, F.col("idx"), F.col("fold"), size, n_splits, gap)) \
+            .where(F.col("role").isNotNull())
+
+
+def _fold_role(n: Column, idx: Column, fold: Column, size: Column, n_splits: int, gap: int) -> Column:
+    test_start = n - (F.lit(n_splits) - fold) * size
+    return (F.when((idx >= test_start) & (idx < test_start + size), "test")
+             .when(idx < test_start - gap, "train"))
+
+
+def fold_samples(samples: DataFrame, fold: int, n_splits: int = N_SPLITS, gap: int = GAP) -> DataFrame:
+    """The samples of one fold with their ``role``: a filter, no copy and no join."""
+    n = F.col("n_samples")
+    role = _fold_role(n, F.col("idx"), F.lit(fold), F.floor(n / (n_splits + 1)), n_splits, gap)
+    return samples.withColumn("role", role).where(F.col("role").isNotNull())

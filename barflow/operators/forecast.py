@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.functions.frames import div
+from barflow.functions.frames import div, lag
 from barflow.operators.evaluate import metrics
+from barflow.operators.layout import finish, layout_series
 
 # --- fixed values ------------------------------------------------------------
 # 95 % interval: mean +- 1.96 standard deviations across models.
@@ -20,6 +21,9 @@ Z95 = 1.96
 BUY_PCT = 2.0
 SELL_PCT = -2.0
 
+#: Steps of a path that one numbering task holds.
+STEPS_A_TASK = 10_000
+
 
 def intervals(path: DataFrame, z: float = Z95) -> DataFrame:
     return path.select("*", (F.col("prediction") - z * F.col("std")).alias("lower"),
@@ -34,10 +38,10 @@ def change_from_last(path: DataFrame, last: DataFrame) -> DataFrame:
 
 def summary(path: DataFrame, last: DataFrame) -> DataFrame:
     """Per symbol: last known price, final prediction and its change, range,
-    volatility (100 x sample std of step-to-step returns of the path)."""
-    w = Window.partitionBy("symbol").orderBy("step")
-    step_ret = div(F.col("prediction"), F.lag("prediction").over(w)) - 1
-    d = path.select("symbol", "step", "prediction", step_ret.alias("_r"))
+    volatility (100 x sample std of step-to-step returns of the path). The
+    step before comes through the block layout, so no task holds a whole path."""
+    d = layout_series(path.select("symbol", "step", "prediction"), order="step", bucket=F.floor(F.col("step") / STEPS_A_TASK))
+    d = finish(d.select("*", (div(F.col("prediction"), lag("prediction")) - 1).alias("_r")))
     agg = d.groupBy("symbol").agg(
         F.max_by("prediction", "step").alias("final_prediction"),
         F.min("prediction").alias("min_price"), F.max("prediction").alias("max_price"),

@@ -168,7 +168,7 @@ def _quality(spark, sf):
 
 @register("dq_report", _QUALITY_SQL)
 def q_dq_report(spark, sf):
-    return _quality(spark, sf).drop("empty", "too_many_nulls", "passed")
+    return _quality(spark, sf).drop("empty", "too_many_nulls", "missing_keys", "passed")
 
 
 @register("dq_null_ratio", f"SELECT symbol, max_null_share, max_null_share > 0.1 AS too_many_nulls FROM ({_QUALITY_SQL})")

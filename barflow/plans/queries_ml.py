@@ -15,6 +15,7 @@ from barflow.operators import forecast as fc
 from barflow.operators.layout import attach_per_key, finish, layout_series
 from barflow.plans import sql as S
 from barflow.plans.queries import daily_bars, register, rounded
+from barflow.sources.store import cut_lineage
 from barflow.sources.ticks import table
 
 DS_COLS = ["close", "volume", "returns", "sma_10"]
@@ -158,9 +159,9 @@ def pseudo_predictions(spark: SparkSession, sf: str) -> DataFrame:
                    for n in (10, 20)])
     d = finish(d).select("symbol", "date", F.col("close").alias("y"), "lag1", "sma10", "sma20").na.drop()
     d = ds.renumber(d)
-    n = d.where(~F.col("halo")).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    d = attach_per_key(d, n)
-    d = finish(d.withColumn("split", ds._row_split(F.col("_n"), F.col("rn"), ds.TRAIN_SPLIT, ds.VAL_SPLIT)))
+    d = finish(d.withColumn("split", ds._row_split(F.col("n_rows"), F.col("rn"), ds.TRAIN_SPLIT, ds.VAL_SPLIT)))
+    # Ensembles, metrics and paths each read the predictions more than once.
+    d = cut_lineage(d, "predictions")
     return d.select("symbol", "date", "split", "y",
                     F.expr("stack(3, 'lag1', lag1, 'sma10', sma10, 'sma20', sma20) AS (model, yhat)"))
 
@@ -194,8 +195,8 @@ met AS (SELECT symbol, model, avg((y - yhat) * (y - yhat)) AS mse, sqrt(avg((y -
 
 def _preds_and_ensemble(spark, sf):
     p = pseudo_predictions(spark, sf)
-    w = en.learn_weights(p, "val")
-    e = en.combine(p, w)
+    w = cut_lineage(en.learn_weights(p, "val"), "weights")
+    e = cut_lineage(en.combine(p, w), "ensemble")
     return p, w, e
 
 
@@ -253,15 +254,17 @@ def q_eval_best_model(spark, sf):
 # --- forecast tables on the test-split path ------------------------------------------------
 
 def _path(spark, sf):
-    p, _, e = _preds_and_ensemble(spark, sf)
-    unc = en.uncertainty(p).select("symbol", "date", "std")
-    test = e.where(F.col("split") == "test").join(unc, ["symbol", "date"])
-    from pyspark.sql import Window
-    step = F.row_number().over(Window.partitionBy("symbol").orderBy("date"))
-    path = test.select("symbol", step.alias("step"), "date", F.col("yhat").alias("prediction"), "std")
+    """Test-split path of the ensemble with the spread of its models: one
+    aggregate gives both, and steps are positions of the block layout."""
+    p, w, e = _preds_and_ensemble(spark, sf)
+    test = p.where(F.col("split") == "test").join(w.select("symbol", "model", "weight"), ["symbol", "model"], "left")
+    bars = test.groupBy("symbol", "date").agg(F.sum(F.col("weight") * F.col("yhat")).alias("prediction"),
+                                              F.stddev_pop("yhat").alias("std"))
+    path = finish(layout_series(bars), keep_rn=True)
+    path = cut_lineage(path.select("symbol", (F.col("rn") + 1).cast("int").alias("step"), "date", "prediction", "std"), "path")
     last = (p.where(F.col("split") != "test").where(F.col("model") == "lag1")
               .groupBy("symbol").agg(F.max_by("y", "date").alias("last_known_price")))
-    return p, e, path, last
+    return p, e, path, cut_lineage(last, "last-price")
 
 
 _PATH_SQL = _PRED_SQL + """,
@@ -308,13 +311,15 @@ def q_fc_summary(spark, sf):
 SELECT f.symbol, CASE WHEN predicted_change > 2.0 THEN 'BUY' WHEN predicted_change < -2.0 THEN 'SELL' ELSE 'HOLD' END AS action,
   round(a.agreement, 6) AS confidence,
   CASE WHEN a.agreement >= 0.99 THEN 'High' WHEN a.agreement >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence_level,
-  round(predicted_change, 6) AS trend_strength FROM fsum f LEFT JOIN agree a USING (symbol)""")
+  round(predicted_change, 6) AS trend_strength,
+  printf('Predicted change %.2f%% over %d steps', predicted_change, n_steps) AS reason
+FROM fsum f LEFT JOIN agree a USING (symbol)""")
 def q_fc_recommendation(spark, sf):
     p, e, path, last = _path(spark, sf)
     allp = en.individual(p, e).where(F.col("split") == "test")
     final = allp.groupBy("symbol", "model").agg(F.max_by("yhat", "date").alias("final_prediction"))
     rec = fc.recommend(fc.summary(path, last), fc.model_agreement(final, last))
-    return rounded(rec.drop("reason"))
+    return rounded(rec)
 
 
 @register("bt_backtest", f"""WITH {_PRED_SQL},

@@ -54,3 +54,19 @@ def orders_raw_bars(orders: DataFrame, null_every: int | None = 17) -> DataFrame
         F.when(F.col("o_orderkey") % 13 == 0, F.lit(None).cast("double"))
          .otherwise(F.col("o_custkey").cast("double")).alias("volume"),
         F.col("o_orderkey").alias("arrival"))
+
+
+def dirty_bars(orders: DataFrame) -> DataFrame:
+    """A series that breaks every quality rule: symbol = order priority and
+    customer key mod 40, with NULL dates (every 211th order), NULL and negative
+    closes (17th, 101st), negative volumes (103rd) and, for the lowest priority,
+    many NULL volumes; long gaps and repeated dates occur by themselves."""
+    k = F.col("o_orderkey")
+    close = F.when(k % 17 == 0, None).when(k % 101 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    cust = F.col("o_custkey").cast("double")
+    volume = (F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_custkey") % 3 == 0), None)
+               .when(k % 103 == 0, -cust).otherwise(cust))
+    return orders.select(
+        F.concat(F.col("o_orderpriority"), F.lit("-"), F.col("o_custkey") % 40).alias("symbol"),
+        F.when(k % 211 != 0, F.to_date("o_orderdate")).alias("date"),
+        close.alias("open"), close.alias("high"), close.alias("low"), close.alias("close"), volume.alias("volume"), k.alias("arrival"))

@@ -35,6 +35,7 @@ class TrainingRun:
     lookback: int
     horizon: int
     target: str
+    rows: DataFrame
     guards: DataFrame
     stats: DataFrame
     samples: DataFrame | None
@@ -113,7 +114,7 @@ def train(bars: DataFrame, specs: list[ml.ModelSpec] | None = None, target: str
     weights = cut_lineage(en.learn_weights(preds, "val"), "weights")
     ens = en.combine(preds, weights, missing="equal")
     everything = cut_lineage(en.individual(preds, ens), "predictions")
-    return TrainingRun(columns, lookback, horizon, target, guards, stats, samples, models, {s.name: s.kind for s in specs},
+    return TrainingRun(columns, lookback, horizon, target, rows, guards, stats, samples, models, {s.name: s.kind for s in specs},
                        everything, weights, ev.metrics(everything), ml.history(everything), seconds)
 
 

@@ -17,7 +17,6 @@ from barflow.operators.store import guard_min_rows
 from barflow.plans import sql as S
 from barflow.plans.queries import _COMPLETE, daily_bars, flagship_features, r6, register, rounded
 from barflow.session import ensure_checkpoint_dir
-from barflow.sources.store import cut_lineage
 from barflow.sources.ticks import dirty_bars, table
 
 # --- dirty series: every rule has rows that break it ---------------------------------
@@ -196,8 +195,7 @@ def _forecast(spark, sf, steps):
     run = tr.train(daily_bars(spark, sf), SMALL_SPECS)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
     tr.save_run(run, path)
-    rows = cut_lineage(flagship_features(spark, sf), "rows")
-    return tr.forecast_tables(tr.load_run(spark, path), rows, steps)
+    return tr.forecast_tables(tr.load_run(spark, path), run.rows, steps)
 
 
 def _forecast_sql(steps: int) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 def registry() -> dict:
     from barflow.plans import queries  # noqa: F401  (registers on import)
     from barflow.plans import queries_ml  # noqa: F401
+    from barflow.plans import queries_ticks  # noqa: F401
     from barflow.plans import queries_wide  # noqa: F401
     return dict(queries.REGISTRY)
 

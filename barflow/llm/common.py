@@ -5,14 +5,14 @@ from __future__ import annotations
 import io
 import math
 import os
-import uuid
+import tempfile
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import barflow
-from barflow.session import ensure_checkpoint_dir
+from barflow.sources.store import cut_lineage
 
 #: Java pattern of the white space that separates words: [\x20\x09-\x0D].
 SPACE = r"[ \t-\r]"
@@ -36,7 +36,6 @@ def ship(spark: SparkSession) -> None:
                 if n.endswith(".py"):
                     p = os.path.join(folder, n)
                     z.write(p, os.path.join("barflow", os.path.relpath(p, root)))
-    import tempfile
     # A driver-side staging file; Spark's own file server hands it to executors.
     path = os.path.join(tempfile.mkdtemp(prefix="barflow-src-"), "barflow_src.zip")
     with open(path, "wb") as f:
@@ -47,11 +46,9 @@ def ship(spark: SparkSession) -> None:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared checkpoint folder and read it
-    back: a lineage cut that survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back: a lineage cut that survives the loss of any executor. The tables are
+    removed by :func:`barflow.sources.store.release`."""
+    return cut_lineage(df, f"llm-{name}")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -54,12 +54,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
     s = global_running(s, [F.col("ratio"), F.col("rank")], {"caps": F.col("cap"), "ws": F.col("weight")}, "mix-level")
     s = cut(s, "mix-sources")
-    tot = s.agg(F.sum("source_size").alias("T"), F.sum("weight").alias("W"))  # one row
-    level = (F.col("T") - (F.col("caps") - F.col("cap"))) / (F.col("W") - (F.col("ws") - F.col("weight")))
-    s2 = s.join(F.broadcast(tot)).withColumn("level", level.cast("double"))
-    found = s2.where("ratio > level").agg(F.min_by("level", F.struct("ratio", "rank")).alias("lam"))  # one row
-    out = s.join(F.broadcast(found)).withColumn(
-        "target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("lam") * F.col("weight")), F.lit(0.0)))
+    total, ws = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (F.lit(ws) - (F.col("ws") - F.col("weight")))
+    found = s.withColumn("level", level.cast("double")).where("ratio > level") \
+             .agg(F.min_by("level", F.struct("ratio", "rank"))).first()[0]
+    cap = F.col("cap").cast("double")
+    target = F.lit(0.0) if found is None else F.least(cap, F.lit(found) * F.col("weight"))
+    out = s.withColumn("target", target)
     return global_running(out.select("source", "source_size", "weight", "target", "rank"), [F.col("rank")],
                           {"cum": F.col("target")}, "mix-cum")
 

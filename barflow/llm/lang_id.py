@@ -4,7 +4,8 @@ Labelled text of each language is indexed by a suffix automaton. A text is
 parsed greedily into the longest phrases that occur in the language's labelled
 text; the language that needs the fewest phrases, normalised to
 ``phrases * log2(labelled characters) / characters`` (the cross-parsing
-estimate of the entropy per character), wins. Ties go to the smaller name.
+estimate of the entropy per character, with the largest language's number of
+labelled characters for all), wins. Ties go to the smaller name.
 
 Only letters count: case is folded, any run of other characters is one space.
 Texts are read whole, in segments of ``SEGMENT`` characters at whose ends a
@@ -55,12 +56,14 @@ class Models:
             if len(c.upper()) == 1 and c.upper().lower() == c:
                 self.classes[ord(c.upper())] = k
         self.width = FIRST + len(low)
-        self.tables, self.weights = [], []
+        self.tables, sizes = [], [2]
         for _, texts in samples:
             parts = [self.encode(t)[0] for t in texts]
             own = np.concatenate([x for p in parts for x in (p, [JOIN])]) if parts else np.array([JOIN])
             self.tables.append(_automaton(own.tolist(), self.width))
-            self.weights.append(np.log2(max(2, sum(map(len, parts)))))
+            sizes.append(sum(map(len, parts)))
+        # One weight for all: with its own, a language of hardly any labelled text would seem to fit everything.
+        self.weight = np.log2(max(sizes))
 
     def encode(self, text: str) -> tuple[np.ndarray, bool]:
         """Character classes with runs of non-letters as one space, and whether there is a letter."""
@@ -98,7 +101,7 @@ class Models:
                 count[:m] -= new
                 state[:m] = to ^ new
             out[:, k] = np.bincount(doc[order], weights=count, minlength=len(texts))
-            out[:, k] *= self.weights[k] / np.maximum(sizes, 1)
+            out[:, k] *= self.weight / np.maximum(sizes, 1)
         return out, some
 
 

@@ -228,7 +228,7 @@ def test_held_out_accuracy(spark):
     assert all(v == (zlib.crc32(str(k).encode()) % 5 == 0) for k, v in out.items())
 
 
-def naive_entropy(sample, text, segment):
+def naive_entropy(samples, sample, text, segment):
     """Greedy parse by substring search."""
     squeeze = lambda t: "".join(" " if not c.isalpha() else c for c in t.lower())
     one = lambda t: "".join(c for i, c in enumerate(t) if c != " " or i == 0 or t[i - 1] != " ")
@@ -242,7 +242,8 @@ def naive_entropy(sample, text, segment):
                 j += 1
             phrases += 1
             i = max(j, i + 1)  # a letter that the sample lacks is a phrase of its own
-    return phrases * np.log2(sum(map(len, parts))) / len(own)
+    most = max(sum(len(one(squeeze(t))) for t in s) for _, s in samples)
+    return phrases * np.log2(most) / len(own)
 
 
 def test_parse_counts_equal_substring_search():
@@ -254,7 +255,14 @@ def test_parse_counts_equal_substring_search():
         h, some = models.entropies([text])
         if some[0]:
             for k, (_, own) in enumerate(samples):
-                assert h[0, k] == pytest.approx(naive_entropy(own, text, li.SEGMENT))
+                assert h[0, k] == pytest.approx(naive_entropy(samples, own, text, li.SEGMENT))
+
+
+def test_a_language_with_hardly_any_text_does_not_win(spark):
+    d = spark.read.parquet(f"{SF01}/documents.parquet")
+    rare = spark.createDataFrame([(10**6, "ab", "xx", "s", 2)], d.schema)
+    got = li.language_id(d.unionByName(rare)).where("doc_id < 1000000").groupBy("lang_pred").count().collect()
+    assert "xx" not in {r.lang_pred for r in got}
 
 
 # weak labels -----------------------------------------------------------------

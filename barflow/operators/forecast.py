@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from barflow.functions.frames import div, lag
 from barflow.operators.evaluate import metrics
 from barflow.operators.layout import finish, layout_series
+from barflow.sources.store import cut_lineage
 
 # --- fixed values ------------------------------------------------------------
 # 95 % interval: mean +- 1.96 standard deviations across models.
@@ -102,7 +103,7 @@ def error_histogram(preds: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width histogram of ``yhat - y`` per symbol and model."""
     err = F.col("yhat") - F.col("y")
     d = preds.select("symbol", "model", err.alias("err"))
-    rng = d.groupBy("symbol", "model").agg(F.min("err").alias("lo"), F.max("err").alias("hi"))
+    rng = cut_lineage(d.groupBy("symbol", "model").agg(F.min("err").alias("lo"), F.max("err").alias("hi")), "error-range")
     d = d.join(rng, ["symbol", "model"])
     b = F.least(F.floor(div(F.col("err") - F.col("lo"), F.col("hi") - F.col("lo")) * bins),
                 F.lit(bins - 1))

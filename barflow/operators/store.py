@@ -113,8 +113,9 @@ def guard_min_rows(df: DataFrame, min_rows: int, stage: str = "rows", key: str =
 
 
 def keep_eligible(df: DataFrame, status: DataFrame, key: str = "symbol") -> DataFrame:
-    """Rows of eligible symbols (semi join with the one-row-per-symbol status)."""
-    return df.join(status.where("eligible").select(key), key, "left_semi")
+    """Rows of eligible symbols (semi join with the one-row-per-symbol status,
+    written once so that its size is known to the planner)."""
+    return df.join(cut_lineage(status.where("eligible").select(key), "eligible"), key, "left_semi")
 
 
 def completeness(before: DataFrame, after: DataFrame, key: str = "symbol") -> DataFrame:

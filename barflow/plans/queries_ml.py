@@ -12,7 +12,7 @@ from barflow.operators import dataset as ds
 from barflow.operators import ensemble as en
 from barflow.operators import evaluate as ev
 from barflow.operators import forecast as fc
-from barflow.operators.layout import attach_per_key, finish, layout_series
+from barflow.operators.layout import finish, layout_series
 from barflow.plans import sql as S
 from barflow.plans.queries import daily_bars, register, rounded
 from barflow.sources.store import cut_lineage
@@ -386,7 +386,7 @@ def ml_samples(spark: SparkSession, sf: str, horizon: int = HORIZON) -> DataFram
 
 def _fit_predict(spark, sf, spec):
     from barflow.operators import models as ml
-    s = ml_samples(spark, sf).cache()
+    s = cut_lineage(ml_samples(spark, sf), "samples")
     model = ml.fit(s, spec)
     return model, ml.predict(model, s, spec.name)
 
@@ -418,7 +418,7 @@ def q_ml_seq_linear(spark, sf):
 @register("ml_history", None)
 def q_ml_history(spark, sf):
     from barflow.operators import models as ml
-    s = ml_samples(spark, sf).cache()
+    s = cut_lineage(ml_samples(spark, sf), "samples")
     preds = None
     for spec in _specs():
         p = ml.predict(ml.fit(s, spec), s, spec.name)
@@ -459,13 +459,12 @@ def q_fc_future(spark, sf):
     from pyspark.ml.regression import LinearRegression
     from barflow.operators.models import LINEAR_DEFAULTS
     scaled, stats = ds_scaled(spark, sf)
-    scaled, stats = scaled.cache(), stats.cache()
+    scaled, stats = cut_lineage(scaled, "scaled"), cut_lineage(stats, "scaler")
     w = series_window().rowsBetween(-(LOOKBACK - 1), 0)
     win = F.collect_list(F.array(*[F.col(c) for c in SCALED])).over(w)
-    n = scaled.where(~F.col("halo")).groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    last = attach_per_key(scaled.select("*", win.alias("window")), n)
-    last = finish(last.where(F.col("rn") == F.col("_n") - 1).where(F.size("window") == LOOKBACK))
-    last = ds.flatten_window(last).select("symbol", F.col("date").alias("last_date"), "features").cache()
+    last = scaled.select("*", win.alias("window"))
+    last = finish(last.where(F.col("rn") == F.col("n_rows") - 1).where(F.size("window") == LOOKBACK))
+    last = cut_lineage(ds.flatten_window(last).select("symbol", F.col("date").alias("last_date"), "features"), "latest")
     out = None
     for h in range(1, FORECAST_STEPS + 1):
         samples = ds.flatten_window(ds.split_samples(ds.sequences(scaled, SCALED, "close_s", LOOKBACK, h)))
@@ -520,3 +519,34 @@ def q_st_latest_quote(spark, sf):
     from barflow.streaming.bars import run_latest_quotes
     out, ck = _scratch(spark, "quotes")
     return rounded(run_latest_quotes(spark, sf, out, ck))
+
+
+# --- fitted models: what SQL can say of them ---------------------------------------------------
+
+@register("ml_rows", "WITH " + _seq_sql(HORIZON) + f""",
+s AS (SELECT * FROM seq WHERE idx >= 0 AND idx < n_samples)
+SELECT symbol, date, CASE WHEN idx < floor(n_samples * {_T}) THEN 'train' WHEN idx < floor(n_samples * {_TV}) THEN 'val' ELSE 'test' END AS split,
+  model, round(label, 6) AS y, true AS finite FROM s, (VALUES ('rf'), ('xgb'), ('linear')) v(model)""")
+def q_ml_rows(spark, sf):
+    """Predictions of the three models: a row for every sample and model, its split and label, and a finite value."""
+    from barflow.operators import models as ml
+    s = cut_lineage(ml_samples(spark, sf), "samples")
+    preds = None
+    for spec in _specs():
+        p = ml.predict(ml.fit(s, spec), s, spec.name)
+        preds = p if preds is None else preds.unionByName(p)
+    finite = F.col("yhat").isNotNull() & ~F.isnan("yhat") & (F.abs("yhat") < float("inf"))
+    return rounded(preds.select("symbol", "date", "split", "model", "y", finite.alias("finite")))
+
+
+@register("ml_importance_sum", f"SELECT {len(SCALED)} AS features, true AS nonnegative, true AS sum_to_one")
+def q_ml_importance_sum(spark, sf):
+    d = q_ml_importance(spark, sf)
+    return d.agg(F.countDistinct("feature").cast("int").alias("features"), (F.min("importance") >= 0).alias("nonnegative"),
+                 (F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_to_one"))
+
+
+@register("sink_silver_bars", S.with_bars("SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, "
+                                          "round(close, 6) AS close, round(volume, 6) AS volume FROM bars"))
+def q_sink_silver_bars(spark, sf):
+    return rounded(q_sink_silver(spark, sf).select("symbol", "date", "open", "high", "low", "close", "volume"))

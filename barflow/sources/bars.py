@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barflow.sources.store import cut_lineage
+
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume"]
 
 BARS_SCHEMA = T.StructType([
@@ -98,9 +100,10 @@ def select_bars(bars: DataFrame, symbols: list[str] | None = None,
 def lookback(bars: DataFrame, days: int, order: str = "date") -> DataFrame:
     """Keep the last ``days`` calendar days of each symbol, relative to the
     symbol's own latest bar (never the wall clock). The per-symbol maximum is
-    a partial aggregate; the join back is small-side (broadcast by AQE when
-    its measured size allows, sort-merge with skew splitting otherwise)."""
-    last = bars.groupBy("symbol").agg(F.max(order).alias("_last"))
+    a partial aggregate, written once: its size is then known, so a small
+    table is broadcast and the bars stay where they are; with a large one both
+    sides are plain exchanges, in which a hot symbol is split."""
+    last = cut_lineage(bars.groupBy("symbol").agg(F.max(order).alias("_last")), "last-bar")
     return (bars.join(last, "symbol")
                 .where(F.col(order) >= F.date_sub(F.col("_last"), days))
                 .drop("_last"))

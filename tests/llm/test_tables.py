@@ -63,6 +63,59 @@ def test_long_chains_need_few_rounds(spark):
     assert [r.call_id for r in linked(spark, calls, [])] == [f"c{i}" for i in range(300)]
 
 
+def brute_tool_rows(calls, results, specs):
+    """Every output row of the linking, from plain dictionaries."""
+    by_conv = collections.defaultdict(dict)
+    for c in calls:
+        by_conv[c.conv_id][c.call_id] = c
+    found = collections.defaultdict(list)
+    for r in results:
+        found[r.conv_id, r.call_id].append(r)
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool}
+    text = lambda d: json.dumps(d, ensure_ascii=False, separators=(",", ":"))
+    canon = lambda v: json.loads(json.dumps(v, sort_keys=True))
+    rows = []
+    for conv, own in by_conv.items():
+        for c in own.values():
+            depth, at, unknown = 0, c, c.after is not None and c.after not in own
+            while at.after in own:
+                depth, at = depth + 1, own[at.after]
+            spec = {s.name: s for s in specs if s.tool == c.tool}
+            try:
+                args = json.loads(c.arguments)
+            except ValueError:
+                args = None
+            if not spec:
+                errors = ["unknown tool"]
+            elif args is None:
+                errors = ["not json"]
+            else:
+                errors = sorted([f"missing {n}" for n, s in spec.items() if s.required and n not in args]
+                                + [f"unknown {n}" for n in args if n not in spec]
+                                + [f"type {n}" for n, v in args.items() if n in spec and (
+                                    not isinstance(v, kinds[spec[n].type]) or isinstance(v, bool) != (spec[n].type == "boolean"))])
+            errors += ["unknown after"] if unknown else []
+            r = min(found[conv, c.call_id], key=lambda r: r.turn, default=None)
+            message = {"arguments": None if args is None else canon(args), "arguments_text": c.arguments if args is None else None,
+                       "call_id": c.call_id, "conv_id": conv, "errors": errors, "name": c.tool, "result": r and r.content, "turn": c.turn}
+            rows.append((conv, depth, c.turn, c.call_id, "answered" if r else "unanswered", len(found[conv, c.call_id]), errors,
+                         text({k: v for k, v in message.items() if v is not None})))
+    for (conv, call), own in found.items():
+        if own and call not in by_conv[conv]:
+            r = min(own, key=lambda r: (r.turn, r.content))
+            rows.append((conv, None, r.turn, call, "orphan", len(own), [],
+                         text({"call_id": call, "conv_id": conv, "result": r.content, "turn": r.turn})))
+    rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[4] == "orphan", r[2], r[3]))
+    start: dict = {}
+    return [(r[0], i - start.setdefault(r[0], i), *r[1:]) for i, r in enumerate(rows)]
+
+
+def test_query_on_tool_calls_equals_brute_force(spark):
+    calls, results, specs = (t.collect() for t in Q.tool_tables(spark, SF001))
+    got = Q.op1_tool_calls(spark, SF001).select("conv_id", "position", "depth", "turn", "call_id", "status", "n_results", "errors", "message")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_tool_rows(calls, results, specs))
+
+
 def test_empty_tool_tables(spark):
     assert linked(spark, [], []) == []
 

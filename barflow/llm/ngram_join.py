@@ -50,7 +50,8 @@ from barflow.llm.components import components
 
 #: A side of at most so many (id, digest) rows is broadcast (32 MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
-STEP_BYTES = 2_000_000
+#: Rows of an Arrow batch that a task holds as shingle sets at a time.
+STEP_ROWS = 1000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -76,6 +77,12 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEP_ROWS):
+            yield batch.slice(i, STEP_ROWS)
+
+
 def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
@@ -104,7 +111,7 @@ def _screen_bound(percent: int) -> float:
 def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
     """``row, doc_id, carry, n, digest, key`` of every document, written once."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             got = [shingle_hashes(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in got], pa.int64()),
                                               pa.array([_digest(s) for s in got], pa.binary()),
@@ -124,7 +131,7 @@ def _screened(docs: DataFrame, classes: DataFrame, words: int, percent: int, tex
     bound = np.uint64(min(int(_screen_bound(percent) * 2.0**64), 2**64 - 1))
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, keys = [], []
             for t in batch.column(0).cast(pa.binary()):
                 s = shingle_hashes(t.as_py(), words)
@@ -147,7 +154,7 @@ def _screened(docs: DataFrame, classes: DataFrame, words: int, percent: int, tex
 def _token_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``cls, n, tokens`` of the wanted classes, read again from the texts of their first documents."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             cls, got = [], []
             for t, c, d in zip(batch.column(0).cast(pa.binary()), batch.column(1), batch.column(2), strict=True):
                 s = shingle_hashes(t.as_py(), words)
@@ -218,15 +225,14 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
     sets = _token_sets(docs, wanted, words, id_col, text_col)
     cand = _candidates(sets, percent)
 
-    # Groups: the same size and the same prefix, own shingles included.
-    grouped = cand.select("cls", "n", "own", F.when(F.col("own") > 0, F.col("cls")).alias("alone"),
-                          F.col("prefix.t").alias("key"), "prefix")
-    groups = grouped.groupBy("n", "alone", "key").agg(F.min("cls").alias("g"), F.first("own").alias("own"),
-                                                      F.first("prefix").alias("prefix"))
-    groups = cut(groups, "groups")
-    members = cut(grouped.select("cls", "n", "alone", "key")
-                  .join(groups.select("n", F.col("alone").alias("_alone"), "key", "g"),
-                        ["n", "key"]).where(F.col("alone").eqNullSafe(F.col("_alone"))).select("cls", "g"), "members")
+    # Groups: the same size and the same prefix, own shingles included, so a class with
+    # shingles of its own in the prefix is a group by itself.
+    alone = cand.where("own > 0").select(F.col("cls").alias("g"), "n", "own", "prefix")
+    keyed = cand.where("own = 0").select("cls", "n", F.col("prefix.t").alias("key"), "prefix")
+    shared = cut(keyed.groupBy("n", "key").agg(F.min("cls").alias("g"), F.first("prefix").alias("prefix")), "groups")
+    groups = alone.unionByName(shared.select("g", "n", F.lit(0).cast("long").alias("own"), "prefix"))
+    members = cut(alone.select(F.col("g").alias("cls"), "g").unionByName(
+        keyed.join(shared.select("n", "key", "g"), ["n", "key"]).select("cls", "g")), "members")
     posts = cut(groups.select("g", "n", "own", F.explode("prefix").alias("p"))
                 .select("g", "n", "own", F.col("p.t").alias("t"), (F.col("p.i") + F.col("own")).alias("i")), "postings")
 

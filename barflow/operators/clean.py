@@ -96,10 +96,10 @@ def drop_missing_prices(df: DataFrame) -> DataFrame:
     return df.na.drop(subset=PRICE_COLS)
 
 
-def flag_outliers(df: DataFrame, key: str = KEY) -> DataFrame:
+def flag_outliers(df: DataFrame, key: str = KEY, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """``is_outlier``: |return| > 10 sigma of the symbol's returns (sample
     std); ``capped_return``: the return capped at sign * 3 sigma."""
-    d = df.withColumn("_ret", div(F.col("close"), lag("close", 1, key)) - 1)
+    d = written(df.withColumn("_ret", div(F.col("close"), lag("close", 1, key)) - 1), layout, "returns")
     sd = d.where(~F.col("halo")).groupBy(key).agg(F.stddev_samp("_ret").alias("_ret_sd"))
     d = attach_per_key(d, sd, key)
     flag = F.coalesce(F.abs(F.col("_ret")) > OUTLIER_SIGMAS * F.col("_ret_sd"), F.lit(False))
@@ -130,7 +130,7 @@ def clean_bars(raw: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY,
     d = layout_series(d, key, order, layout)
     d = fill_missing(d, layout, key)
     d = drop_missing_prices(d)
-    d = flag_outliers(d, key)
+    d = flag_outliers(d, key, layout)
     return derive_basic(d, key, order)
 
 

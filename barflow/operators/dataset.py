@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.frames import KEY, div, series_window
 from barflow.operators.layout import (DEFAULT_LAYOUT, Layout, attach_per_key, block_layout,
-                                      finish, number_rows)
+                                      number_rows, written)
 
 # --- fixed values (dataset parameters of the reference) -----------------------
 # Lookback 60 rows, horizon 5 rows; split 70 % train, 15 % validation, rest test.
@@ -34,7 +34,8 @@ def renumber(df: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY,
              order: str = "date") -> DataFrame:
     """Fresh ``rn`` and block layout for a table whose rows were filtered."""
     d = df.drop(*[c for c in ("rn", "blk", "home", "sb", "halo") if c in df.columns])
-    return block_layout(number_rows(d, key, order), layout)
+    d = number_rows(written(d, layout, "rows"), key, order)
+    return block_layout(written(d, layout, "numbered"), layout)
 
 
 def _row_split(n: Column, idx: Column, train: float, val: float) -> Column:

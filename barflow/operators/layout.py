@@ -253,5 +253,6 @@ def attach_per_key(df: DataFrame, stats: DataFrame, key: str = KEY) -> DataFrame
     ``(key, blk)`` pairs present (an aggregate that reuses the big side's
     partitioning) and joined on the big side's own partitioning.
     """
+    stats = cut_lineage(stats, "per-key")  # one row per key; its size is known from here on
     blocks = df.select(key, "blk").distinct()
     return df.join(blocks.join(stats, key), [key, "blk"], "left")

@@ -74,6 +74,14 @@ def test_feature_plans_stay_flat(spark):
     assert plan.count("Exchange hashpartitioning") <= 6
 
 
+def test_query_plans_stay_flat(spark):
+    import __spark_entry__ as E
+    for name, most in (("ds_sequences", 10), ("clean_outlier_cap", 10), ("fc_recommendation", 20), ("eval_all", 10)):
+        plan = plan_of(E.queries()[name](spark, SF001))
+        assert plan.count("Exchange hashpartitioning") <= most, name
+        assert "l_shipdate" not in plan and "o_orderdate" not in plan, name
+
+
 def naive_rsi(close, n=14):
     up = dn = None
     out = []

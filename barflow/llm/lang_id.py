@@ -34,7 +34,8 @@ from barflow.llm.common import ship
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400
 SEGMENT = 256
-STEP_CHARS = 2_000_000
+#: Rows of a batch, and characters of text, that go through the automata at a time.
+STEP_ROWS, STEP_CHARS = 1000, 2_000_000
 UNDETERMINED = "und"
 #: Classes of characters: space, a letter outside all samples, the join between sample texts.
 GAP, OTHER, JOIN, FIRST = 0, 1, 2, 3
@@ -190,21 +191,22 @@ def identify(docs: DataFrame, samples: tuple, keep: list[Column], text_col: str
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(samples) if samples else None
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            best, score = [], []
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= STEP_CHARS):
-                    size += len(texts[b])
-                    b += 1
-                x, y = _winners(models, texts[a:b])
-                best += x
-                score += y
-                a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*names, "lang_pred", "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(at, STEP_ROWS)
+                texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+                best, score, a = [], [], 0
+                while a < len(texts):
+                    b, size = a, 0
+                    while b < len(texts) and (b == a or size + len(texts[b]) <= STEP_CHARS):
+                        size += len(texts[b])
+                        b += 1
+                    x, y = _winners(models, texts[a:b])
+                    best += x
+                    score += y
+                    a = b
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                                                 names=[*names, "lang_pred", "score"])
 
     schema = d.drop("_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return d.mapInArrow(predict, schema)

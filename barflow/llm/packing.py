@@ -29,6 +29,8 @@ CHUNK_PIECES = 16_384
 KEPT_WORDS = 600_000
 #: Bytes of text encoded at a time.
 STEP_BYTES = 4_000_000
+#: Rows taken out of an Arrow batch at a time.
+STEP_ROWS = 256
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
@@ -139,15 +141,17 @@ def _encoder(path: str, end_id: int) -> WordEncoder:
 
 
 def steps(ids: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and UTF-8 texts in runs of about ``most`` bytes."""
+    """Ids and UTF-8 texts in runs of about ``most`` bytes; only a run is copied out of the batch."""
     own, run, size = [], [], 0
-    for i, t in zip(ids, texts.cast(pa.large_binary()), strict=True):
-        own.append(i.as_py())
-        run.append(t.as_py())
-        size += len(run[-1])
-        if size >= most:
-            yield own, run
-            own, run, size = [], [], 0
+    for at in range(0, len(texts), STEP_ROWS):
+        part = texts.slice(at, STEP_ROWS).cast(pa.large_binary())
+        for i, t in zip(ids.slice(at, STEP_ROWS), part, strict=True):
+            own.append(i.as_py())
+            run.append(t.as_py())
+            size += len(run[-1])
+            if size >= most:
+                yield own, run
+                own, run, size = [], [], 0
     if run:
         yield own, run
 

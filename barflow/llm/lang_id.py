@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,21 +181,24 @@ def labelled_samples(labelled: DataFrame, text_col: str = "text", lang_col: str
     return tuple((name, tuple(t)) for name, t in sorted(by.items()))
 
 
-def identify(docs: DataFrame, samples: tuple, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, samples: tuple, keep: list[Column], text_col: str = "text",
+             inside: str | None = None) -> DataFrame:
+    """The ``keep`` columns of every row with ``lang_pred`` and ``score``. Where one of
+    them, named by ``inside``, is a struct that holds the text, the text is not sent twice.
 
     ``score`` is how far the winner lies below the runner-up, as a share of the
     runner-up's entropy (1 if there is only one language)."""
     ship(docs.sparkSession)
-    d = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    names = d.columns[:-1]
+    d = docs.select(*keep) if inside else docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    names = d.columns if inside else d.columns[:-1]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = _models(samples) if samples else None
         for whole in batches:
             for at in range(0, whole.num_rows, STEP_ROWS):
                 batch = whole.slice(at, STEP_ROWS)
-                texts = [t or "" for t in batch.column(len(names)).to_pylist()]
+                own = pc.struct_field(batch.column(names.index(inside)), text_col) if inside else batch.column(len(names))
+                texts = [t or "" for t in own.to_pylist()]
                 best, score, a = [], [], 0
                 while a < len(texts):
                     b, size = a, 0
@@ -205,7 +209,7 @@ def identify(docs: DataFrame, samples: tuple, keep: list[Column], text_col: str
                     best += x
                     score += y
                     a = b
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(best, pa.string()), pa.array(score, pa.float64())],
                                                  names=[*names, "lang_pred", "score"])
 
     schema = d.drop("_text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema

@@ -21,7 +21,7 @@ from barflow.llm.queries import tokenizer_path
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or letters go."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    found = identify(docs, labelled_samples(docs), [whole])
+    found = identify(docs, labelled_samples(docs), [whole], inside="_row")
     return found.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 

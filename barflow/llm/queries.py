@@ -31,23 +31,28 @@ def tokenizer_path(name: str) -> str:
 
 def tool_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stand-in for a log of tool calls: every assistant turn is a call whose arguments are
-    made of its text and that names the previous assistant turn, every user turn behind a
-    first one is the result of the turn before it, and system turns are results of no call."""
+    made of its whole text and that names the previous assistant turn, every user turn is the
+    result of the turn before it (of no call at turn 0), and rows of any other role, NULL
+    included, are results of no call. So every row is a call or a result, with all its text.
+    By its text's length a call has good arguments (4 of 7), wrong types, a missing key, or
+    JSON without its closing brace."""
     d = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), turn)
     size, odd = F.length("text"), F.pmod(F.length("text"), F.lit(7))
-    good = F.struct(F.substring("text", 1, 60).alias("query"), F.pmod(size, F.lit(10)).alias("limit"), (odd > 3).alias("exact"))
+    good = F.struct(F.col("text").alias("query"), F.pmod(size, F.lit(10)).alias("limit"), (odd > 3).alias("exact"))
     untyped = F.struct(F.pmod(size, F.lit(10)).cast("string").alias("limit"), F.col("text").alias("query"))
-    lacking = F.struct(F.pmod(size, F.lit(10)).alias("limit"), F.substring("text", 1, 9).alias("note"))
+    lacking = F.struct(F.pmod(size, F.lit(10)).alias("limit"), F.col("text").alias("note"))
+    broken = F.regexp_replace(F.to_json(good), r"\}$", "")
     arguments = F.when(odd == 0, F.to_json(untyped)).when(odd == 1, F.to_json(lacking)) \
-                 .when(odd == 2, F.substring(F.to_json(good), 1, 30)).otherwise(F.to_json(good))
+                 .when(odd == 2, broken).otherwise(F.to_json(good))
     tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("paint")), (F.pmod(size, F.lit(3)) + 1).cast("int"))
     calls = d.where("role = 'assistant'").select(
         "conv_id", "turn", ident(F.col("turn")).alias("call_id"), tool.alias("tool"), arguments.alias("arguments"),
         F.when(F.col("turn") > 1, ident(F.col("turn") - 2)).alias("after"))
-    results = d.where("role = 'system' or (role = 'user' and turn > 0)").select(
-        "conv_id", "turn", ident(F.col("turn") - F.when(F.col("role") == "user", 1).otherwise(0)).alias("call_id"),
-        F.col("text").alias("content"))
+    # Turn -1 is nobody's, and no call's id begins with r.
+    answered = F.when(F.col("role") == "user", ident(F.col("turn") - 1)).otherwise(F.concat(F.lit("r"), "conv_id", F.lit("_"), "turn"))
+    results = d.where("role is null or role <> 'assistant'").select(
+        "conv_id", "turn", answered.alias("call_id"), F.col("text").alias("content"))
     schemas = spark.createDataFrame(
         [("search", "query", "string", True), ("search", "limit", "integer", False), ("search", "exact", "boolean", False),
          ("lookup", "query", "string", True), ("lookup", "limit", "number", True), ("lookup", "exact", "boolean", False)],

@@ -116,6 +116,24 @@ def test_query_on_tool_calls_equals_brute_force(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_tool_rows(calls, results, specs))
 
 
+def test_every_conversation_row_is_a_call_or_result_with_its_whole_text(spark, tmp_path):
+    rows = [(1, 0, "user", "first " * 30), (1, 2, "tool", "other role"), (1, 3, None, "no role"), (1, None, "user", "no turn"),
+            (1, 4, "system", "rules"), (2, 0, "system", "sys"), (2, 1, "user", "asks")]
+    rows += [(3, 2 * i + 1, "assistant", "".join(f'w{k} "{{é}}\\' for k in range(40)) + "x" * i) for i in range(21)]
+    rows += [(3, 2 * i + 2, "user", f"answer {i}") for i in range(20)]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    d.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [json.loads(r.message) for r in Q.op1_tool_calls(spark, str(tmp_path)).collect()]
+    held = []
+    for m in got:
+        own = m.get("arguments", {})
+        held += [own.get("query", own.get("note"))] if "arguments" in m else []
+        held += [json.loads(m["arguments_text"] + "}")["query"]] if "arguments_text" in m else []
+        held += [m["result"]] if "result" in m else []
+    assert sorted(held) == sorted(r[3] for r in rows)
+    assert {e for m in got for e in m.get("errors", [])} >= {"not json", "type limit", "missing query"}
+
+
 def test_empty_tool_tables(spark):
     assert linked(spark, [], []) == []
 

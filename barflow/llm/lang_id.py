@@ -38,6 +38,8 @@ SEGMENT = 256
 #: Rows of a batch, and characters of text, that go through the automata at a time.
 STEP_ROWS, STEP_CHARS = 1000, 2_000_000
 UNDETERMINED = "und"
+#: Samples of one language without name or text: with them :func:`identify` gives every text with letters that name.
+UNLABELLED = (("", ("",)),)
 #: Classes of characters: space, a letter outside all samples, the join between sample texts.
 GAP, OTHER, JOIN, FIRST = 0, 1, 2, 3
 

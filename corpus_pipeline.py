@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import cut, read_table
 from barflow.llm.exact_dedup import drop_copies
-from barflow.llm.lang_id import UNDETERMINED, identify, labelled_samples
+from barflow.llm.lang_id import UNDETERMINED, UNLABELLED, identify, labelled_samples
 from barflow.llm.mixing import mixed
 from barflow.llm.ngram_join import keep_one_of_each
 from barflow.llm.packing import pack_documents
@@ -19,9 +19,10 @@ from barflow.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters go."""
+    """Documents with a language; those without text or letters go. If no row is labelled,
+    nothing can be learned, and all documents with letters stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    found = identify(docs, labelled_samples(docs), [whole], inside="_row")
+    found = identify(docs, labelled_samples(docs) or UNLABELLED, [whole], inside="_row")
     return found.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 

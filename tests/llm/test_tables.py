@@ -288,6 +288,13 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert max(fill.values()) <= 2048
 
 
+def test_language_stage_keeps_an_unlabelled_table(spark):
+    docs = H.clashing(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.language_stage(spark, docs, SF001).select("doc_id", "text").collect())
+    assert got == collections.Counter((r[0], r[1]) for r in H.odd_documents() if any(c.isalpha() for c in r[1] or ""))
+    assert corpus_pipeline.language_stage(spark, docs, SF001).columns == docs.columns
+
+
 def test_pipeline_runs_and_keeps_columns(spark):
     assert corpus_pipeline.run(spark, SF001).count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join",

@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a grouped prefix join on word shingles.
 
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets
-of distinct word shingles. The result gives every document its set size and
-its component, the smallest id reachable by links.
+of distinct word shingles. The result gives every document its set size, its
+component, the smallest id reachable by links, and the number of its links,
+copies included.
 
 Texts are lower-cased (A-Z) and split into words at [\\x20\\x09-\\x0D]. With
 fewer words than a shingle holds, the whole sequence is the one shingle. NULL
@@ -27,8 +28,13 @@ Shingles stand for themselves as 64-bit hashes, sets as 128-bit digests.
    members with their group's first. Verified links give first components.
 5. Group pairs that share a prefix shingle, pass the size and position
    filters and lie in different components are expanded to members and
-   verified. Pairs inside a component need no test, so a family of near
-   copies does not cost all its pairs.
+   verified. For components alone, pairs inside one need no test, so a family
+   of near copies does not cost all its pairs.
+6. Links are counted inside the final components, where all of them lie: the
+   classes of a component are dealt into blocks by hash, every pair of blocks
+   is one group, and in it every pair of classes is compared on the whole
+   sets. A class counts as often as it has documents. This grows with the
+   square of a component's classes, in time, but rows only with their blocks.
 
 Every candidate pair across components is verified on the whole sets, so no
 link between different components is lost; no posting, group or number of
@@ -52,6 +58,8 @@ from barflow.llm.components import components
 BROADCAST_ROWS = 1 << 20
 #: Rows of an Arrow batch that a task holds as shingle sets at a time.
 STEP_ROWS = 1000
+#: Shingles in a block of classes whose links are counted together.
+BLOCK_SHINGLES = 1 << 17
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -219,8 +227,10 @@ def _fits(percent: int) -> Column:
     return (F.col("i") - 1 <= F.col("n") - need) & (F.col("j") - 1 <= F.col("m") - need)
 
 
-def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links ``(a, b)`` between classes whose components are those of all links."""
+def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, id_col: str,
+                text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` between classes whose components are those of all links, and the
+    classes that may link, with their shared tokens (:func:`_candidates`)."""
     wanted = cut(_screened(docs, classes, words, percent, text_col), "screened")
     sets = _token_sets(docs, wanted, words, id_col, text_col)
     cand = _candidates(sets, percent)
@@ -270,14 +280,58 @@ def class_links(docs: DataFrame, classes: DataFrame, words: int, percent: int, i
                        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _verify(cut(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), cand, percent)
-    return first.unionByName(second)
+    return first.unionByName(second), cand
+
+
+def _count_links(percent: int):
+    """Of two blocks ``ci`` and ``cj`` of a component (or one, if equal): ``cls, linked``,
+    the documents of the other block that each class links with."""
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        cls, k, n, copies, ci, cj = (rows.column(c).to_numpy() for c in ("cls", "k", "n", "copies", "ci", "cj"))
+        tokens = rows.column("tokens").combine_chunks()
+        size = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        at = np.cumsum(size) - size
+        local = np.unique(tokens.flatten().to_numpy(), return_inverse=True)[1]
+        sets = [local[a:a + m] for a, m in zip(at, size, strict=True)]
+        left, right = np.flatnonzero(k == ci), np.flatnonzero(k == cj)
+        linked = np.zeros(len(cls), dtype=np.int64)
+        if len(left) and len(right):
+            flat = np.concatenate([sets[i] for i in right])
+            first = np.cumsum(size[right]) - size[right]
+            mark = np.zeros(len(local), dtype=np.uint8)
+            for i in left:
+                mark[sets[i]] = 1
+                both = np.add.reduceat(mark[flat], first, dtype=np.int64)
+                mark[sets[i]] = 0
+                hit = right[100 * both >= percent * (n[i] + n[right] - both)]
+                linked[i] += copies[hit[hit != i]].sum()
+                if ci[0] != cj[0]:
+                    linked[hit] += copies[i]
+        return pa.table({"cls": pa.array(cls, pa.int64()), "linked": pa.array(linked, pa.int64())})
+
+    return count
+
+
+def link_counts(classes: DataFrame, cand: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """``cls, linked``: the documents of other classes that a class of ``comp(node, component)`` links with."""
+    sets = cut(cand.join(comp, cand["cls"] == comp["node"]).join(classes.select("cls", "copies"), "cls")
+               .select("cls", "n", "copies", "tokens", "component"), "linked-sets")
+    blocks = sets.groupBy("component").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK_SHINGLES).alias("blocks"))
+    dealt = sets.join(blocks, "component").withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("component", "cls", "n", "copies", "tokens", "k", other).select(
+        "component", "cls", "n", "copies", "tokens", "k", F.least("k", "other").alias("ci"), F.greatest("k", "other").alias("cj"))
+    return dealt.groupBy("component", "ci", "cj").applyInArrow(_count_links(percent), "cls bigint, linked bigint") \
+                .groupBy("cls").agg(F.sum("linked").alias("linked"))
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id``."""
-    return _joined(docs, words, percent, id_col, text_col).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    """One row per document: ``doc_id, n_shingles, component_id, n_links``, the last the
+    number of other documents that it links with."""
+    return _joined(docs, words, percent, id_col, text_col, counted=True).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -289,21 +343,27 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     return apply_copies(docs, kept, id_col)
 
 
-def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
+def _joined(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, carry: Column | None = None,
+            counted: bool = False) -> DataFrame:
     rows = document_sets(docs, words, id_col, text_col, carry)
     classes = cut(rows.where("n > 0").groupBy("digest").agg(
         F.min("row").alias("cls"), F.min("doc_id").alias("least_id"), F.min_by("doc_id", "row").alias("rep"),
-        F.first("n").alias("n"), F.first("key").alias("key")), "classes")
-    links = class_links(docs, classes, words, percent, id_col, text_col)
-    comp = components(links)
-    named = classes.join(comp, classes["cls"] == comp["node"], "left").select(
-        "digest", "least_id", F.coalesce("component", "cls").alias("comp"))
+        F.first("n").alias("n"), F.first("key").alias("key"), F.count(F.lit(1)).alias("copies")), "classes")
+    links, cand = class_links(docs, classes, words, percent, id_col, text_col)
+    comp = cut(components(links), "components")
+    found = link_counts(classes, cand, comp, percent) if counted else None
+    named = classes.join(comp, classes["cls"] == comp["node"], "left")
+    n_links = F.lit(None).cast("long")
+    if counted:
+        named = named.join(found, "cls", "left")
+        n_links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    named = named.select("digest", "least_id", F.coalesce("component", classes["cls"]).alias("comp"), n_links.alias("n_links"))
     named = cut(named, "class-components")
     least = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    named = cut(named.join(least, "comp").select("digest", "comp", "component_id"), "class-ids")
+    named = cut(named.join(least, "comp").select("digest", "comp", "component_id", "n_links"), "class-ids")
     # Documents without words are each a component of their own.
     empty = rows.where("n = 0").select("row", "doc_id", "carry", "n", F.col("doc_id").alias("component_id"),
-                                       F.lit(True).alias("n0"), F.col("row").alias("comp"))
+                                       F.lit(True).alias("n0"), F.col("row").alias("comp"), F.lit(0).cast("long").alias("n_links"))
     full = rows.where("n > 0").join(named, "digest").select("row", "doc_id", "carry", "n", "component_id",
-                                                            F.lit(False).alias("n0"), "comp")
+                                                            F.lit(False).alias("n0"), "comp", "n_links")
     return empty.unionByName(full)

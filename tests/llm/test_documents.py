@@ -75,6 +75,18 @@ def test_ngram_join_equals_all_pairs(spark, words, percent):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == exp
 
 
+@pytest.mark.parametrize("block", [1 << 17, 300])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(nj, "BLOCK_SHINGLES", block)
+    rows = H.families(11, 3, 20) + [(None if r[0] is None else 10_000 + r[0], *r[1:]) for r in H.odd_documents()]
+    sets = [H.shingles(r[1], 3) for r in rows]
+    links = [sum(bool(i != j and a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))
+             for i, a in enumerate(sets)]
+    got = nj.ngram_jaccard_join(H.clashing(spark, rows), 3, 80).collect()
+    assert collections.Counter((r.doc_id, r.n_links) for r in got) == collections.Counter(
+        (r[0], n) for r, n in zip(rows, links, strict=True))
+
+
 def test_ngram_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(nj, "BROADCAST_ROWS", -1)
     rows = H.families(9, 3, 12)

@@ -2,6 +2,7 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from barflow.operators.store import (FeatureGroup, catalog, default_groups, generate_features,
@@ -49,3 +50,21 @@ def test_model_and_metadata_round_trip(spark):
     save_metadata(spark, {"symbol": "S", "lookback": 60, "when": __import__("datetime").date(2020, 1, 1)},
                   f"{d}/meta")
     assert load_metadata(spark, f"{d}/meta") == {"symbol": "S", "lookback": 60, "when": "2020-01-01"}
+
+
+@pytest.mark.parametrize("name", ["train_ensemble", "sink_model", "fc_future_90", "fc_future_recommendation"])
+def test_training_queries_fit_all_three_models(monkeypatch, name):
+    from barflow.plans import catalog
+    from barflow.plans import queries_wide as qw
+
+    class Stop(Exception):
+        pass
+
+    def train(bars, specs, *args, **kwargs):
+        assert [s.kind for s in specs] == ["rf", "gbt", "linear"]
+        raise Stop
+
+    monkeypatch.setattr(qw, "daily_bars", lambda spark, sf: None)
+    monkeypatch.setattr(qw.tr, "train", train)
+    with pytest.raises(Stop):
+        catalog.registry()[name][0](None, "")

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
 from barflow.llm.lang_id import language_id
+from barflow.llm.lexical_search import ranked_search
 from barflow.llm.mixing import mix_sources
 from barflow.llm.multi_index import MultiIndex
 from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
+from barflow.llm.periodic_runs import periodic_runs, repeat_tails
+from barflow.llm.piece_coding import piece_coding
 from barflow.llm.token_counts import token_counts
 from barflow.llm.tool_calls import link_tool_calls
 from barflow.llm.url_lists import judge
@@ -207,6 +210,50 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeat_tails(read_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("a"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period",
+        F.floor(F.col("b.length") * 1000 / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_coding(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS row, doc_id,
+                      regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+               FROM documents),
+d AS (SELECT * FROM words WHERE len(t) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) GROUP BY row, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+       FROM tf, s GROUP BY term),
+m AS (SELECT row, doc_id, 100 - 25 + (25 * len(t) * n_docs) // n_terms AS m FROM d, s),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT q.item_id, tf.row, m.doc_id, CAST(sum(df.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * m.m))) AS BIGINT) AS score
+           FROM q JOIN tf USING (term) JOIN df USING (term) JOIN m ON m.row = tf.row GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) <= 20
+"""
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_tool_calls": (op1_tool_calls, None),
     "op2_best_two_fit": (op2_best_two_fit, None),
@@ -218,4 +265,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_ngram_join": (op8_ngram_join, None),
     "op9_mix_sources": (op9_mix_sources, OP9_SQL),
     "op10_language_id": (op10_language_id, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_piece_coding": (op12_piece_coding, None),
+    "op13_ranked_search": (op13_ranked_search, OP13_SQL),
 }

@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import barflow
 from barflow.sources.store import cut_lineage
@@ -89,9 +90,29 @@ def global_running(df: DataFrame, order: list[Column], sums: dict[str, Column],
              .drop("_part", *[f"{p}_{k}" for k in sums for p in ("_v", "_o")]))
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """The value with every map, at any depth, as an array of its entries by key: maps have no hash
+    of their own, and equal maps may hold their entries in any order."""
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.array_sort(_hashable(F.map_entries(value), T.ArrayType(entry)))
+    if isinstance(kind, T.ArrayType) and _has_map(kind.elementType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        own = F.struct(*[_hashable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), own)
+    return value
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def row_key(docs: DataFrame) -> Column:
     """64-bit hash of a whole row; rows that are equal in every column share it."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in sorted(docs.columns)])
+    return F.xxhash64(*[_hashable(F.col(f"`{c}`"), docs.schema[c].dataType) for c in sorted(docs.columns)])
 
 
 def apply_copies(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -17,8 +17,12 @@ Empty input gives an empty result. Only the named columns are read, so other
 columns may have any name.
 
 The automata are fitted on a bounded sample: per language the ``SAMPLE_TEXTS``
-distinct labelled texts with the smallest content hash, each up to its first
-``SAMPLE_CHARS`` characters.
+distinct labelled texts with the smallest content hash, of each the ``SAMPLE_CHARS``
+characters that begin at a place chosen by its hash anywhere in the whole text (all of a
+shorter one). So an opening that many texts share is not what is learned.
+
+Transitions are kept in a hash table of their own number, about three a character of the
+sample, whatever the number of letters.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ class Models:
         for _, texts in samples:
             parts = [self.encode(t)[0] for t in texts]
             own = np.concatenate([x for p in parts for x in (p, [JOIN])]) if parts else np.array([JOIN])
-            self.tables.append(_automaton(own.tolist(), self.width))
+            self.tables.append(Automaton(own.tolist(), self.width))
             sizes.append(sum(map(len, parts)))
         # One weight for all: with its own, a language of hardly any labelled text would seem to fit everything.
         self.weight = np.log2(max(sizes))
@@ -94,25 +98,21 @@ class Models:
         alive = np.searchsorted(-length, -np.arange(SEGMENT), side="left")
         out = np.zeros((len(texts), len(self.languages)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(at), dtype=np.int32)
+            state = np.zeros(len(at), dtype=np.int64)
             count = np.ones(len(at), dtype=np.int32)
             for step in range(SEGMENT):
                 m = alive[step]
                 if not m:
                     break
-                to = table[state[:m] + flat[at[:m] + step]]
-                new = to >> 31  # -1 where a phrase ends
-                count[:m] -= new
-                state[:m] = to ^ new
+                state[:m], ended = table.step(state[:m], flat[at[:m] + step])
+                count[:m] += ended
             out[:, k] = np.bincount(doc[order], weights=count, minlength=len(texts))
             out[:, k] *= self.weight / np.maximum(sizes, 1)
         return out, some
 
 
-def _automaton(text: list[int], width: int) -> np.ndarray:
-    """Suffix automaton as a flat table: entry ``state * width + class`` is the next
-    state times ``width``; where the phrase ends, the complement of the state
-    (times ``width``) in which the next phrase goes on."""
+def _suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -139,18 +139,60 @@ def _automaton(text: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    # One more state follows a letter that no labelled text has: such a letter is a phrase of
-    # its own, so whatever comes next begins another one.
-    alone = len(nxt) * width
-    fresh = np.full(width, alone, dtype=np.int32)
-    for c, s in nxt[0].items():
-        fresh[c] = s * width
-    table = np.tile(~fresh, (len(nxt) + 1, 1))
-    table[0] = fresh
-    for s, row in enumerate(nxt):
-        for c, to in row.items():
-            table[s, c] = to * width
-    return table.astype(np.int32).ravel()
+    return nxt
+
+
+class Automaton:
+    """A suffix automaton whose transitions lie in an open-addressing hash table by
+    ``state * width + class``, at most a quarter full; an empty place means that the phrase ends."""
+
+    MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, text: list[int], width: int):
+        nxt = _suffix_automaton(text)
+        # One more state follows a letter that no labelled text has: such a letter is a phrase of
+        # its own, so whatever comes next begins another one.
+        self.width, alone = width, len(nxt)
+        self.fresh = np.full(width, alone, dtype=np.int32)
+        for c, to in nxt[0].items():
+            self.fresh[c] = to
+        nxt[0] = dict(enumerate(self.fresh.tolist()))  # the first letter begins the first phrase
+        keys = np.fromiter((s * width + c for s, row in enumerate(nxt) for c in row), dtype=np.int64)
+        to = np.fromiter((t for row in nxt for t in row.values()), dtype=np.int32)
+        bits = max(4, int(4 * len(keys) - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.next = np.full(1 << bits, -1, dtype=np.int32)
+        place = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[place] < 0)
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.keys[place[put]], self.next[place[put]] = keys[put], to[put]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[put] = False
+            keys, to, place = keys[rest], to[rest], (place[rest] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * self.MULTIPLIER) >> self.shift).view(np.int64)
+
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.next.nbytes + self.fresh.nbytes
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase ended before the letter."""
+        key = state * self.width + letter
+        place = self._place(key)
+        found = self.keys[place]
+        to = self.next[place]
+        odd = np.flatnonzero((found != key) & (found >= 0))
+        while len(odd):
+            place[odd] = (place[odd] + 1) & self.mask
+            found, wanted = self.keys[place[odd]], key[odd]
+            to[odd] = np.where(found == wanted, self.next[place[odd]], -1)
+            odd = odd[(found != wanted) & (found >= 0)]
+        ended = to < 0
+        return np.where(ended, self.fresh[letter], to), ended
 
 
 _MODELS: dict[tuple, Models] = {}
@@ -175,8 +217,10 @@ def labelled_samples(labelled: DataFrame, text_col: str = "text", lang_col: str
         .where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     picked = d.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= texts).select("lang", "h")
+    place = F.pmod(F.xxhash64(F.lit("place"), F.col("text")), F.greatest(F.length("text") - chars, F.lit(0)).cast("long") + 1) + 1
+    part = F.substr(F.col("text"), place.cast("int"), F.lit(chars))
     rows = d.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h") \
-        .agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()  # texts x chars per language at most
+        .agg(F.min(part).alias("text")).collect()  # texts x chars per language at most
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         by.setdefault(r["lang"], []).append(r["text"])

@@ -142,20 +142,23 @@ def shuffled_spans(sizes: DataFrame, rows: int) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3,
                 id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                 carry: Column | None = None) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken`` and, if
-    given, the 64-bit column ``carry``.
+    """One row per document: ``doc_id, source, size, source_size, target, taken, first_slot``
+    and, if given, the 64-bit column ``carry`` beside the row's number ``row``.
 
     ``taken`` counts the words that the schedule's slots take from the
-    document, repeats included; never more than ``max_epochs`` times its size."""
+    document, repeats included; never more than ``max_epochs`` times its size.
+    ``first_slot`` is the place in the mix of the first slot that takes any of its words."""
     sizes = sized(docs, id_col, source_col, text_col, carry)
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     sources = cut(source_targets(sizes, weights, max_epochs), "mix-targets")
     block = block_size(total)
     slots = slot_schedule(sources, total, block)
 
+    entire = F.col("words") == F.col("block_words")
     takes = slots.groupBy("src", "block").agg(
-        F.sum(F.when(F.col("words") == F.col("block_words"), 1).otherwise(0)).alias("whole"),
-        F.max(F.when(F.col("words") < F.col("block_words"), F.col("words")).otherwise(0)).alias("part"))
+        F.sum(F.when(entire, 1).otherwise(0)).alias("whole"),
+        F.max(F.when(~entire, F.col("words")).otherwise(0)).alias("part"),
+        F.min(F.when(entire, F.col("position"))).alias("whole_at"), F.min(F.when(~entire, F.col("position"))).alias("part_at"))
     takes = cut(takes, "mix-takes")
     src = sources.select(F.col("rank").alias("src"), F.col("source").alias("source_"), "source_size", "target")
     spans = cut(shuffled_spans(sizes, rows).join(src, F.col("source").eqNullSafe(F.col("source_")))
@@ -166,17 +169,44 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     part = F.greatest(F.least(hi, F.col("part")) - lo, F.lit(0))
+    first_at = F.least(F.col("whole_at"), F.when(part > 0, F.col("part_at")))
     got = parts.join(takes, ["src", "block"]).groupBy("row").agg(
-        F.sum((hi - lo) * F.col("whole") + part).cast("long").alias("taken"))
+        F.sum((hi - lo) * F.col("whole") + part).cast("long").alias("taken"), F.min(first_at).cast("long").alias("first_slot"))
     out = spans.join(got, "row", "left").select(
-        "doc_id", "carry", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out.drop("carry") if carry is None else out
+        "row", "doc_id", "carry", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return out.drop("carry", "row") if carry is None else out
+
+
+def whole_copies(found: DataFrame) -> DataFrame:
+    """``doc_id, carry, copies`` for documents that are only taken whole, from rows of
+    :func:`mix_sources` with ``row`` and ``carry``.
+
+    Every document is taken as often as its words were taken entirely. What is left of a
+    source's target is part of one document. If one more copy of some document of the source brings
+    the source nearer to its target, the one that fits the rest best is taken once more
+    (among equals the smaller, then the smaller id). A source is then off by no more
+    than that rest, and by no more than the best fitting document leaves. A source with
+    words and a target of half a word or more never vanishes: it keeps its best fitting
+    document. Documents without words stay once."""
+    d = cut(found.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("long")), "mix-whole")
+    sizes = d.where("size > 0")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    rest = cut(sizes.groupBy(F.col("source").alias("_source")).agg(
+        F.sum(F.col("taken") - F.col("whole") * F.col("size")).alias("rest"), F.min("whole").alias("least"),
+        F.max("whole").alias("most")), "mix-rest")
+    # Those that the last epoch has not reached have the smallest number of copies.
+    fit = F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), F.col("size").alias("size"),
+                         F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
+    best = sizes.join(rest, same).where((F.col("whole") == F.col("least")) & (F.col("rest") > 0)) \
+                .groupBy("_source", "rest", "most").agg(fit.alias("f"))
+    more = best.where((F.col("f.off") < F.col("rest")) | (F.col("most") == 0)).select(F.col("f.row").alias("row"), F.lit(1).alias("more"))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + F.coalesce("more", F.lit(0)))
+    return d.join(more, "row", "left").select("doc_id", "carry", copies.cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix as whole documents with all their columns: each as often as its
-    words were taken, to the nearest whole number; documents without words stay once."""
+    """The mix as whole documents with all their columns, each as often as
+    :func:`whole_copies` says; documents without words stay once."""
     found = mix_sources(docs, id_col=id_col, source_col=source_col, text_col=text_col, carry=row_key(docs))
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    return apply_copies(docs, found.select("doc_id", "carry", copies.cast("long").alias("copies")), id_col)
+    return apply_copies(docs, whole_copies(found), id_col)

@@ -14,7 +14,7 @@ from barflow.llm.common import read_table
 from barflow.llm.exact_dedup import exact_dedup
 from barflow.llm.lang_id import language_id
 from barflow.llm.lexical_search import ranked_search
-from barflow.llm.mixing import mix_sources
+from barflow.llm.mixing import LATTICE, LATTICE_STEP, mix_sources
 from barflow.llm.multi_index import MultiIndex
 from barflow.llm.ngram_join import ngram_jaccard_join
 from barflow.llm.packing import pack_pieces, token_pieces
@@ -176,10 +176,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")) \
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, source,
                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
            FROM documents),
@@ -194,18 +194,40 @@ r AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_w,
 l AS (SELECT CAST(total - capped AS DOUBLE) / CAST(all_w - capped_w AS DOUBLE) AS lam
       FROM r WHERE ratio > CAST(total - capped AS DOUBLE) / CAST(all_w - capped_w AS DOUBLE) ORDER BY i LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), (SELECT lam FROM l) * weight), 0.0) AS target FROM r),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+p AS (SELECT row_number() OVER () AS row, d.source, d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
              CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source
                  ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.size
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT total, greatest(1, CAST(ceil(sqrt(greatest(total, 1)) / 8) AS BIGINT)) AS block
+      FROM (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM d)),
+per AS (SELECT *, sum(target) OVER (ORDER BY source NULLS LAST) AS cum FROM t),
+iv AS (SELECT source, source_size, CAST(floor(target + 0.5) AS BIGINT) AS quota, block, CAST(ceil(total / block) AS BIGINT) AS n,
+              CAST(ceil(source_size / block) AS BIGINT) AS n_blocks, (cum - target) * ({LATTICE} / greatest(total, 1)) AS lo,
+              cum * ({LATTICE} / greatest(total, 1)) AS hi FROM per, g WHERE source_size > 0 AND target > 0),
+nd AS (SELECT *, (quota // source_size) * n_blocks + CAST(ceil((quota % source_size) / block) AS BIGINT) AS need FROM iv),
+points AS (SELECT slot, CAST(((slot % {LATTICE}) * {LATTICE_STEP}) % {LATTICE} AS DOUBLE) AS u
+           FROM (SELECT unnest(range(0, (SELECT coalesce(max(n), 0) FROM nd))) AS slot)),
+hit AS (SELECT nd.source, points.slot, row_number() OVER (PARTITION BY nd.source ORDER BY points.slot) - 1 AS k
+        FROM points JOIN nd ON u >= lo AND u < hi),
+got AS (SELECT source, count(*) AS c FROM hit GROUP BY source),
+ranked AS (SELECT source, k, slot AS position FROM hit
+           UNION ALL SELECT source, k, n + k FROM (SELECT nd.source, n, unnest(range(coalesce(c, 0), need)) AS k
+                                                   FROM nd LEFT JOIN got ON got.source IS NOT DISTINCT FROM nd.source)),
+slots AS (SELECT nd.source, position, k % n_blocks AS b, least(block, source_size - (k % n_blocks) * block) AS whole,
+                 quota - (k // n_blocks) * source_size - (k % n_blocks) * block AS rest
+          FROM ranked r JOIN nd ON r.source IS NOT DISTINCT FROM nd.source WHERE k < need),
+parts AS (SELECT p.*, unnest(range(pos // block, (pos + size - 1) // block + 1)) AS b FROM p, g WHERE size > 0),
+f AS (SELECT parts.row, min(position) AS first_slot FROM parts, g, slots s
+      WHERE s.source IS NOT DISTINCT FROM parts.source AND s.b = parts.b AND least(whole, rest) > greatest(pos - parts.b * block, 0) GROUP BY parts.row)
 SELECT doc_id, size, source_size, target,
        CASE WHEN source_size = 0 THEN 0
             ELSE (quota // source_size) * size
-                 + greatest(least(pos + size, quota % source_size) - pos, 0) END AS taken
-FROM p
+                 + greatest(least(pos + size, quota % source_size) - pos, 0) END AS taken, first_slot
+FROM p LEFT JOIN f USING (row)
 """
 
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 

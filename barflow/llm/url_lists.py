@@ -7,7 +7,9 @@ that were active on the day it was fetched.
 An entry is a ``host`` (that host alone), a ``domain`` (it and all hosts below
 it) or a ``prefix`` (host and path up to a whole path segment). Hosts and URLs
 are brought to one form: lower-case host without user, port, or final dot; no
-scheme, query or fragment; no slash at the end.
+scheme, query or fragment; no slash at the end. What stands before a colon is a
+scheme only if ``//`` follows, so ``example.com:8080/x`` has a port. An IPv6 address
+keeps its brackets and has no domains above it.
 
 The most specific active entry decides: the longest prefix, then the host,
 then the longest domain; among equals ``allow`` before ``block``, then the
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from barflow.llm.common import cut
 
-#: Java pattern: scheme, user, host, port, path.
-_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
+#: Java pattern: scheme (only before //), user, host (an IPv6 address in brackets), port, path.
+_URL = r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?(/[^?#]*)?"
 KINDS = ("prefix", "host", "domain")
 
 
@@ -69,7 +71,7 @@ def capture_keys(url: Column) -> Column:
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(
         F.lit("prefix").alias("kind"), F.concat(host, F.array_join(F.slice(parts, F.lit(1), n), "/")).alias("key"),
         n.alias("depth")))
-    labels = F.split(host, r"\.")
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(
         F.lit("domain").alias("kind"),
         F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("key"), n.alias("depth")))

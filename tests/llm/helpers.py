@@ -80,3 +80,22 @@ def components(rows, words: int, percent: int):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     return {i: (len(sets[i]), least.get(find(i))) for i in range(len(rows))}
+
+
+def whole_copies(rows):
+    """Copies of every document when documents are only taken whole, from rows of the mix."""
+    out, by = {}, {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        out.update({r.doc_id: 1 for r in own if not r["size"]})
+        own = [r for r in own if r["size"]]
+        copies = {r.doc_id: r.taken // r["size"] for r in own}
+        rest = sum(r.taken % r["size"] for r in own)
+        if rest:
+            late = [r for r in own if copies[r.doc_id] == min(copies.values())]
+            best = min(late, key=lambda r: (abs(r["size"] - rest), r["size"], r.doc_id))
+            if abs(best["size"] - rest) < rest or not any(copies.values()):
+                copies[best.doc_id] += 1
+        out.update(copies)
+    return out

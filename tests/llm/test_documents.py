@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -211,6 +214,56 @@ def test_mix_reaches_targets(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("step", [mx.LATTICE_STEP, 1])
+def test_first_slot_is_that_of_the_schedule(spark, monkeypatch, step):
+    monkeypatch.setattr(mx, "LATTICE_STEP", step)
+    rows = [(i, "w " * (1 + i % 37), None, "abc"[i % 3], None) for i in range(300)]
+    d = H.clashing(spark, rows)
+    got = mx.mix_sources(d).collect()
+    sizes = mx.sized(d)
+    total = sizes.agg(F.sum("size")).first()[0]
+    block, sources = mx.block_size(total), mx.source_targets(sizes)
+    slots = mx.slot_schedule(sources, total, block).collect()
+    key = lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest()
+    for source in "abc":
+        at = 0
+        for r in sorted((r for r in got if r.source == source), key=key):
+            exp = min((s.position for s in slots if s.source == source and s.block * block < at + r["size"]
+                       and at < s.block * block + s.words), default=None)
+            assert r.first_slot == exp and (r.taken > 0) == (exp is not None)
+            at += r["size"]
+
+
+def test_the_mix_depends_on_the_slot_sequence(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 37), None, "abc"[i % 3], None) for i in range(300)]
+    order = lambda: [r.doc_id for r in sorted(mx.mix_sources(H.clashing(spark, rows)).collect(), key=lambda r: (r.first_slot or 0, r.doc_id))]
+    scheduled = order()
+    monkeypatch.setattr(mx, "LATTICE_STEP", 1)
+    assert order() != scheduled
+
+
+def test_whole_documents_keep_sources_near_their_targets(spark):
+    r = random.Random(1)
+    rows = [(i, "w " * r.choice([3, 10, 50, 200, 900]), None, f"s{i % 5}", None) for i in range(200)]
+    rows += [(900, "w " * 5000, None, "one", None), (901, "w " * 40, None, "small", None), (902, "w " * 30, None, "tiny", None)]
+    rows += [(903, None, None, "tiny", None), (904, "", None, "empty", None)]
+    d = H.clashing(spark, rows)
+    found = mx.mix_sources(d, carry=mx.row_key(d))
+    copies = {x.doc_id: x.copies for x in mx.whole_copies(found).collect()}
+    plain = mx.mix_sources(d).collect()
+    assert copies == H.whole_copies(plain)
+    target, got, least = {x.source: x.target for x in plain}, collections.Counter(), {}
+    for x in plain:
+        got[x.source] += copies[x.doc_id] * x["size"]
+        if x["size"]:
+            least[x.source] = min(least.get(x.source, 10**9), x["size"])
+    for s, t in target.items():
+        if t >= 0.5:
+            assert got[s] > 0 and abs(got[s] - t) <= max(least[s], t / 2), (s, t, got[s])
+    assert all(abs(got[f"s{i}"] - target[f"s{i}"]) <= 0.06 * target[f"s{i}"] for i in range(5))
+    assert copies[904] == copies[903] == 1
+
+
 def test_slots_follow_the_weights_all_along(spark):
     sizes = mx.sized(spark.read.parquet(f"{SF01}/documents.parquet"))
     total = sizes.agg(F.sum("size")).first()[0]
@@ -270,6 +323,30 @@ def test_parse_counts_equal_substring_search():
                 assert h[0, k] == pytest.approx(naive_entropy(samples, own, text, li.SEGMENT))
 
 
+def test_tables_do_not_grow_with_the_alphabet():
+    r = random.Random(6)
+    few = [chr(0x61 + i) for i in range(26)]
+    many = [chr(0x4E00 + i) for i in range(3000)]
+    text = lambda letters: "".join(r.choice(letters) for _ in range(li.SAMPLE_CHARS))
+    samples = tuple((n, tuple(text(own) for _ in range(li.SAMPLE_TEXTS))) for n, own in (("few", few), ("many", many)))
+    models = li.Models(samples)
+    assert models.width > 3000 and all(t.nbytes() < 20_000_000 for t in models.tables)
+    h, _ = models.entropies([text(few), samples[1][1][5]])
+    assert h[0, 0] < h[0, 1] and h[1, 1] < h[1, 0]
+
+
+def test_a_shared_opening_is_not_what_is_learned(spark):
+    opening = "permission is hereby granted free of charge to any person obtaining a copy of this work " * 8
+    d = spark.read.parquet(f"{SF01}/documents.parquet").where("lang is not null and length(text) > 900") \
+        .withColumn("text", F.concat(F.lit(opening), F.col("text")))
+    assert len(opening) > li.SAMPLE_CHARS
+    samples = li.labelled_samples(d)
+    assert all(len(t) == li.SAMPLE_CHARS for _, texts in samples for t in texts)
+    assert sum(t == opening[:li.SAMPLE_CHARS] for _, texts in samples for t in texts) <= 2
+    got = li.identify(d.withColumn("text", F.substr(F.col("text"), F.lit(len(opening) + 1), F.length("text"))), samples, [F.col("lang")]).collect()
+    assert len(got) > 100 and sum(x.lang == x.lang_pred for x in got) / len(got) > 0.97
+
+
 def test_a_language_with_hardly_any_text_does_not_win(spark):
     d = spark.read.parquet(f"{SF01}/documents.parquet")
     rare = spark.createDataFrame([(10**6, "ab", "xx", "s", 2)], d.schema)
@@ -293,6 +370,79 @@ def test_em_recovers_accuracies():
     assert table[0, :, wl.BAD] == pytest.approx(0.8 * right, abs=0.03)
 
 
+def plain_scores(texts):
+    """Votes, EM over documents and the linear scorer, document by document."""
+    votes = np.array([[vote(wl.features(t)) for vote in wl.LABELLERS.values()] for t in texts])
+    given, good = (votes != wl.NONE).sum(1), (votes == wl.GOOD).sum(1)
+    p = (good + 0.5) / (given + 1)
+    for _ in range(500):
+        share, odds = p.mean(), np.zeros(len(texts))
+        for j in range(votes.shape[1]):
+            seen = np.array([[(w * (votes[:, j] == v)).sum() + 0.1 for v in range(3)] for w in (1 - p, p)])
+            rate = seen / seen.sum(1, keepdims=True)
+            odds += np.log(rate[1, votes[:, j]]) - np.log(rate[0, votes[:, j]])
+        new = 1 / (1 + np.exp(-(odds + math.log(share) - math.log(1 - share))))
+        moved, p = np.abs(new - p).max(), new
+        if moved < 1e-10:
+            break
+    kind = lambda c: "A" if 65 <= c < 91 else "a" if 97 <= c < 123 or c >= 128 else "0" if 48 <= c < 58 else chr(c)
+    bags = []
+    for t in texts:
+        words, bag = t.split(), collections.Counter()
+        for i, w in enumerate(words):
+            bag[xxhash.xxh32_intdigest(w, 1) % wl.BUCKETS] += 1
+            shape = "".join(k for k, _ in itertools.groupby(map(kind, w)))
+            bag[xxhash.xxh32_intdigest(shape.encode(), 2) % wl.BUCKETS] += 1
+            if i and words[i - 1] == w:
+                bag[wl.AGAIN] += 2
+        bags.append({k: n / bag.total() for k, n in bag.items()})
+    weights, bias, seen = collections.defaultdict(float), 0.0, collections.defaultdict(lambda: 1e-12)
+    z = lambda bag: sum(weights[k] * v for k, v in bag.items()) + bias
+    for _ in range(wl.ROUNDS):
+        grad, own = collections.Counter(), 0.0
+        for bag, y in zip(bags, p, strict=True):
+            off = 1 / (1 + math.exp(-z(bag))) - y
+            own += off
+            for k, v in bag.items():
+                grad[k] += v * off
+        for k in list(weights) + list(grad):
+            grad[k] += 0.0
+        step = {k: g / len(texts) + wl.RIDGE * weights[k] for k, g in grad.items()}
+        step["bias"] = own / len(texts) + wl.RIDGE * bias
+        for k, g in step.items():
+            seen[k] += g * g
+            change = wl.STEP * g / math.sqrt(seen[k])
+            if k == "bias":
+                bias -= change
+            else:
+                weights[k] -= change
+    return given, p, [1 / (1 + math.exp(-z(bag))) for bag in bags]
+
+
+def test_quality_query_equals_a_plain_version(spark, tmp_path):
+    from barflow.llm import queries as Q
+    d = spark.read.parquet(f"{SF001}/documents.parquet").limit(120)
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in d.collect()] + [(10_000 + i, *r[1:]) for i, r in enumerate(H.odd_documents()) if i != 10]
+    H.clashing(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in Q.op5_weak_labels(spark, str(tmp_path)).collect()}
+    given, p, score = plain_scores([(r[1] or "").encode() for r in rows])
+    assert len(got) == len(rows)
+    for r, n, own, s in zip(rows, given, p, score, strict=True):
+        x = got[r[0]]
+        assert x.n_votes == n and x.posterior == pytest.approx(own, abs=1e-6) and x.score == pytest.approx(s, abs=1e-6) and x.keep == (x.score >= 0.5)
+
+
+def test_a_round_of_the_fit_is_one_job(spark, monkeypatch):
+    monkeypatch.setattr(wl, "ROUNDS", 5)
+    d = H.clashing(spark, [(i, "some words of a text " * (i % 9), "en", "a", 1) for i in range(200)]).repartition(16)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        wl.quality_scores(d).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) <= 5 + 12
+
+
 def test_scorer_ranks_labelled_quality(spark):
     got = wl.quality_scores(spark.read.parquet(f"{SF01}/documents.parquet")) \
         .join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id").toPandas()

@@ -63,6 +63,57 @@ def test_long_chains_need_few_rounds(spark):
     assert [r.call_id for r in linked(spark, calls, [])] == [f"c{i}" for i in range(300)]
 
 
+def brute_depths(own):
+    """Longest way to a call that names none, by walking; None on a cycle or behind one."""
+    done: dict = {}
+    while True:
+        new = {c: 1 + max((done[a] for a in ups), default=-1) for c, ups in own.items() if c not in done and all(a in done for a in ups)}
+        if not new:
+            return {c: done.get(c) for c in own}
+        done |= new
+
+
+def test_calls_follow_all_that_they_wait_for(spark):
+    r = np.random.default_rng(3)
+    calls, exp = [], {}
+    for conv in range(12):
+        n = int(r.integers(1, 40))
+        ids = [f"c{i}" for i in r.permutation(n)]
+        own = {}
+        for i, c in enumerate(ids):
+            ups = {ids[int(j)] for j in r.integers(0, i, r.integers(0, 4))} if i else set()
+            if r.random() < 0.04:
+                ups.add(ids[int(r.integers(0, n))])  # may close a cycle
+            own[c] = ups
+            calls.append((conv, int(r.integers(0, 99)), c, "f", '{"a":1}', [*ups, *(["gone"] if r.random() < 0.1 else []), *list(ups)[:1], None]))
+        exp.update({(conv, c): d for c, d in brute_depths(own).items()})
+    d = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, after array<string>")
+    got = link_tool_calls(d, spark.createDataFrame([], RESULTS), spark.createDataFrame(SPEC_ROWS, SPECS)).collect()
+    assert {(x.conv_id, x.call_id): x.depth for x in got} == exp
+    assert any(v is None for v in exp.values()) and max(v or 0 for v in exp.values()) > 5
+    place, after = {(x.conv_id, x.call_id): x.position for x in got}, {(c[0], c[2]): c[5] for c in calls}
+    for (conv, c), d in exp.items():
+        waits = [a for a in after[conv, c] if a not in (None, "gone")]
+        assert d is None or all(place[conv, a] < place[conv, c] for a in waits)
+        errors = next(x.errors for x in got if (x.conv_id, x.call_id) == (conv, c))
+        assert ("cycle" in errors) == (d is None) and ("unknown after" in errors) == ("gone" in after[conv, c])
+
+
+def test_nested_properties_values_and_bounds(spark):
+    spec = [("s", "q", "string", True, ["red", "blue"], None, None), ("s", "n", "integer", False, None, 1.0, 9.0), ("s", "o", "object", False, None, None, None),
+            ("s", "o.x", "number", True, None, None, 2.5), ("s", "o.p", "object", False, None, None, None), ("s", "o.p.z", "boolean", True, None, None, None),
+            ("s", "any", "object", False, None, None, None)]
+    schemas = spark.createDataFrame(spec, "tool string, name string, type string, required boolean, allowed array<string>, minimum double, maximum double")
+    cases = {
+        '{"q":"red","n":9,"o":{"x":2.5,"p":{"z":true}},"any":{"k":{"l":1}}}': [],
+        '{"q":"green","n":0}': ["bounds n", "value q"], '{"q":"blue","n":10,"o":{}}': ["bounds n", "missing o.x"],
+        '{"q":"blue","o":{"x":3,"p":{}}}': ["bounds o.x", "missing o.p.z"], '{"q":"blue","o":{"x":"1","w":2}}': ["type o.x", "unknown o.w"],
+        '{"q":7,"o":5}': ["type o", "type q"], '{"q":"red","o":{"x":1,"p":{"z":1,"y":2}}}': ["type o.p.z", "unknown o.p.y"], "{}": ["missing q"], "[]": ["not an object"]}
+    calls = spark.createDataFrame([(1, i, f"c{i}", "s", c, None) for i, c in enumerate(cases)], CALLS)
+    got = {x.call_id: x.errors for x in link_tool_calls(calls, spark.createDataFrame([], RESULTS), schemas).collect()}
+    assert [got[f"c{i}"] for i in range(len(cases))] == list(cases.values())
+
+
 def brute_tool_rows(calls, results, specs):
     """Every output row of the linking, from plain dictionaries."""
     by_conv = collections.defaultdict(dict)
@@ -147,14 +198,21 @@ def test_components_of_paths_and_stars(spark):
 
 # URL lists -------------------------------------------------------------------
 
+def bare(value):
+    """A list value's host without its port."""
+    return value.lower().partition("]")[0] + "]" if value.startswith("[") else value.lower().split(":")[0]
+
+
 def brute_judge(url, day, changes):
     rest = url.split("//", 1)[-1].split("#")[0].split("?")[0]
     host, _, path = rest.partition("/")
-    host = host.rpartition("@")[2].split(":")[0].lower().rstrip(".")
+    host = host.rpartition("@")[2].lower()
+    host = host.partition("]")[0] + "]" if host.startswith("[") else host.split(":")[0].rstrip(".")
     path = ("/" + path).rstrip("/") if path else ""
     entries = collections.defaultdict(dict)
     for lst, effect, kind, value, action, when in changes:
-        value = value.rstrip("/")
+        h, _, p = value.rstrip("/").partition("/")
+        value = bare(h) + (f"/{p}" if p else "")
         entries[lst, effect, kind, value].setdefault(when, set()).add(action)
     best, n = None, 0
     for (lst, effect, kind, value), days in entries.items():
@@ -163,12 +221,12 @@ def brute_judge(url, day, changes):
             continue
         if kind == "prefix":
             h, _, p = value.partition("/")
-            key, p = h.lower(), ("/" + p).rstrip("/") if p else ""
+            key, p = bare(h), ("/" + p).rstrip("/") if p else ""
             hit, depth = host == key and (path + "/").startswith(p + "/"), p.count("/")
         elif kind == "host":
-            hit, depth = host == value.lower(), 0
+            hit, depth = host == bare(value), 0
         else:
-            hit, depth = host == value.lower() or host.endswith("." + value.lower()), value.count(".")
+            hit, depth = host == bare(value) or host.endswith("." + bare(value)) and host[0] != "[", bare(value).count(".")
         if hit:
             n += 1
             rank = (["prefix", "host", "domain"].index(kind), -depth, effect, lst)
@@ -178,15 +236,16 @@ def brute_judge(url, day, changes):
 
 def test_captures_meet_the_entries_of_their_day(spark):
     r = np.random.default_rng(4)
-    hosts = ["a.example.com", "example.com", "b.a.example.com", "other.org", "x.other.org"]
+    hosts = ["a.example.com", "example.com", "b.a.example.com", "other.org", "x.other.org", "localhost", "[2001:db8::1]", "[::ffff:1.2.3.4]"]
     paths = ["", "/", "/x", "/x/y", "/x/yy", "/x/y/z/"]
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=int(n))
     urls = [f"https://u:p@{h.upper()}:80{p}?q=1#f" if r.random() < 0.3 else f"http://{h}{p}" for h in hosts for p in paths]
-    captures = [(i, urls[r.integers(len(urls))], day(r.integers(0, 100))) for i in range(300)]
+    urls += [f"{h}:8080{p}" for h in hosts for p in paths] + [f"//{h}{p}" for h in hosts[5:] for p in paths] + [f"ftp://u@{h}:21/x" for h in hosts]
+    captures = [(i, urls[r.integers(len(urls))], day(r.integers(0, 100))) for i in range(500)]
     changes = []
-    for _ in range(70):
+    for _ in range(110):
         kind = ["host", "domain", "prefix"][r.integers(3)]
-        value = hosts[r.integers(len(hosts))] + (paths[r.integers(len(paths))] if kind == "prefix" else "")
+        value = hosts[r.integers(len(hosts))] + ["", "", ":8080"][r.integers(3)] + (paths[r.integers(len(paths))] if kind == "prefix" else "")
         changes.append((f"l{r.integers(3)}", ["block", "allow"][r.integers(2)], kind, value, ["add", "remove"][int(r.random() < 0.4)],
                         day(r.integers(0, 100))))
     odd = [(900, None, day(1)), (901, "http://", day(1)), (902, "http://other.org", None), (None, "http://other.org", day(99))]
@@ -202,6 +261,15 @@ def test_captures_meet_the_entries_of_their_day(spark):
     assert judge(c, h.limit(0)).where("kept").count() == len(got) and judge(c.limit(0), h).count() == 0
 
 
+@pytest.mark.parametrize(("url", "host", "path"), [
+    ("example.com:8080/x", "example.com", "/x"), ("localhost:80", "localhost", ""), ("http://[2001:db8::1]/a", "[2001:db8::1]", "/a"),
+    ("http://u:p@[::1]:8080/a/?q", "[::1]", "/a"), ("HTTP://Ex.COM./", "ex.com", ""), ("//h/x", "h", "/x"), ("a+b.c-1://h:1", "h", "")])
+def test_forms_of_a_url_have_one_host(spark, url, host, path):
+    from barflow.llm.url_lists import host_of, path_of
+    d = spark.createDataFrame([(url,)], "u string")
+    assert tuple(d.select(host_of(F.col("u")), path_of(F.col("u"))).first()) == (host, path)
+
+
 # vectors ---------------------------------------------------------------------
 
 def brute_nearest(ids, x, q, k):
@@ -264,6 +332,8 @@ def test_pipeline_stages_equal_brute_force(spark):
     kept = cut(corpus_pipeline.STAGES[0][1](spark, docs, SF001), "t0")
     rows = docs.collect()
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows if any(c.isalpha() for c in r.text or ""))
+    named = {r.doc_id: r.lang for r in rows}
+    assert all(r.lang == named[r.doc_id] for r in kept.collect() if named[r.doc_id])
     rows = kept.collect()
     kept = cut(corpus_pipeline.STAGES[1][1](spark, kept, SF001), "t1")
     best: dict = {}
@@ -276,10 +346,9 @@ def test_pipeline_stages_equal_brute_force(spark):
     exp = sorted(r[0] for r, v in zip(rows, H.components(rows, 5, 80).values(), strict=True) if r[0] == v[1])
     assert sorted(r.doc_id for r in kept.collect()) == exp
     mixed = cut(corpus_pipeline.STAGES[3][1](spark, kept, SF001), "t3")
-    taken = {r.doc_id: (r["size"], r.taken) for r in Q.mix_sources(kept).collect()}
     copies = collections.Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == d.columns
-    assert copies == collections.Counter({k: int((2 * t + s) // (2 * s)) for k, (s, t) in taken.items() if (2 * t + s) // (2 * s)})
+    assert copies == +collections.Counter(H.whole_copies(Q.mix_sources(kept).collect()))
     packed = corpus_pipeline.STAGES[4][1](spark, mixed, SF001).collect()
     assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == copies
     fill = collections.Counter()
@@ -295,6 +364,31 @@ def test_language_stage_keeps_an_unlabelled_table(spark):
     assert corpus_pipeline.language_stage(spark, docs, SF001).columns == docs.columns
 
 
+def test_language_stage_names_the_language_of_unlabelled_documents(spark):
+    d = spark.read.parquet(f"{SF01}/documents.parquet").where("lang is not null")
+    hidden = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    docs = d.withColumn("lang", F.when(~hidden, F.col("lang")))
+    got = corpus_pipeline.language_stage(spark, docs, SF01).select("doc_id", "lang").join(d.select("doc_id", F.col("lang").alias("own"), hidden.alias("hidden")), "doc_id")
+    rows = got.collect()
+    assert all(r.lang == r.own for r in rows if not r.hidden)
+    asked = [r.lang == r.own for r in rows if r.hidden]
+    assert len(asked) > 200 and sum(asked) / len(asked) > 0.97 and len({r.lang for r in rows}) >= 4
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_take_maps_clashing_names_and_empty_tables(spark, stage):
+    docs = H.clashing(spark).withColumn("meta", F.create_map(F.lit("k"), F.col("source"), F.lit("b"), F.lit("v"))) \
+        .withColumn("deep", F.array(F.struct(F.create_map(F.lit(1), F.create_map(F.lit("x"), F.col("doc_id"))).alias("m")))) \
+        .withColumn("none", F.lit(None).cast("map<string,int>"))
+    run = corpus_pipeline.STAGES[stage][1]
+    out = run(spark, docs, SF001)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    plain = docs.drop("meta", "deep", "none")
+    key = lambda d: collections.Counter((r.doc_id, r.text) for r in d.collect())
+    assert key(out) == key(run(spark, plain, SF001)) and all(r.meta["b"] == "v" for r in out.collect())
+    assert run(spark, docs.limit(0), SF001).count() == 0
+
+
 def test_pipeline_runs_and_keeps_columns(spark):
     assert corpus_pipeline.run(spark, SF001).count() > 100
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join",

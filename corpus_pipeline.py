@@ -19,30 +19,49 @@ from barflow.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters go. If no row is labelled,
-    nothing can be learned, and all documents with letters stay."""
+    """Documents with a language; those without text or letters go. Where ``lang`` is NULL it
+    becomes the predicted language; a named one stays. If no row is labelled, nothing can be
+    learned: all documents with letters stay, and ``lang`` stays NULL.
+
+    NULL text has no letters. Repeated rows stay repeated, NULL ids and further columns stay as they
+    are, whatever their names; an empty table gives an empty one."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     found = identify(docs, labelled_samples(docs) or UNLABELLED, [whole], inside="_row")
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    own = {c: F.col(f"_row.`{c}`") for c in docs.columns}
+    own["lang"] = F.coalesce(own["lang"], F.nullif(F.col("lang_pred"), F.lit(""))).alias("lang")
+    return found.where(F.col("lang_pred") != UNDETERMINED).select(*[own[c] for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose texts are equal but for white space."""
+    """One document of each group whose texts are equal but for white space: the longest, then the
+    one with the smallest id (a NULL id last), of repeated rows any one.
+
+    NULL text counts as empty, and all empty texts are one group. Further columns, maps
+    included, stay as they are, whatever their names; an empty table gives an empty one."""
     return drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more):
+    the one with the smallest id (a NULL id last).
+
+    A document without words is linked with nothing and stays. Further columns, maps included,
+    stay as they are, whatever their names; an empty table gives an empty one."""
     return keep_one_of_each(docs, words=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Whole documents as often as the mix of sources takes them (:func:`barflow.llm.mixing.mixed`).
+
+    Documents without words stay once; a NULL source is a source of its own, rows without id or
+    repeated ones are documents like others. Further columns, maps included, stay as they
+    are, whatever their names; an empty table gives an empty one."""
     return mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed training sequences with their token ids."""
+    """Pieces of packed training sequences with their token ids. NULL text counts as empty; repeated
+    rows and NULL ids are documents like others; an empty table gives an empty one."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 

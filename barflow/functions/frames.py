@@ -10,7 +10,7 @@ plans as a single exchange and a single sort.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "symbol"
@@ -56,19 +56,21 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def pct_rank_last(col: str, n: int, min_periods: int, key: str = KEY) -> Column:
-    """Percentile rank of the current value inside its trailing ``n`` rows.
+def with_pct_rank(df: DataFrame, ranks: dict[str, tuple[str, int, int]], key: str = KEY) -> DataFrame:
+    """Add percentile ranks of current values inside their trailing rows: ``ranks`` maps an
+    output name to ``(column, rows, min_periods)``.
 
     Average rank of ties divided by the number of non-null values in the
     window; NULL when the current value is NULL or fewer than
-    ``min_periods`` values are present. Evaluated as a JVM higher-order
-    function over the window's value list (no Python).
-    """
-    w = trailing(n, key)
-    vals = F.collect_list(col).over(w)
-    v = F.col(col)
-    less = F.size(F.filter(vals, lambda z: z < v))
-    same = F.size(F.filter(vals, lambda z: z == v))
-    cnt = F.size(vals)
-    return F.when(v.isNotNull() & (cnt >= min_periods),
-                  (less + (same + 1) / 2.0) / cnt)
+    ``min_periods`` values are present. The window's values are sorted once, as a
+    primitive array in a column of its own; the place of the value from either end
+    gives the numbers of smaller and of larger ones."""
+    df = df.select("*", *[F.sort_array(F.collect_list(c).over(trailing(n, key))).alias(f"_o_{name}") for name, (c, n, _) in ranks.items()])
+
+    def rank(name: str, col: str, least: int) -> Column:
+        v, ordered = F.col(col), F.col(f"_o_{name}")
+        less, more, cnt = F.array_position(ordered, v) - 1, F.array_position(F.reverse(ordered), v) - 1, F.size(ordered)
+        return F.when(v.isNotNull() & (cnt >= least), (less + (cnt - less - more + 1) / 2.0) / cnt)
+
+    return df.select("*", *[rank(name, c, least).alias(name) for name, (c, _, least) in ranks.items()]) \
+             .drop(*[f"_o_{name}" for name in ranks])

@@ -11,9 +11,11 @@ sub-block is the exact value at the end of the one before it,
 ``E[s] = loc_end[s] + q**L * E[s-1]``. The end values form a small table (one
 row per ``L`` rows); each ``E`` is folded there over as many predecessors as
 double precision can represent at all, across block borders, and comes back as
-one array per block joined on the big side's own ``(key, blk)``. So a value
-that has decayed far (a halted symbol) keeps its digits, and results do not
-depend on the block size. Halo rows take no part.
+one array per block joined on the big side's own ``(key, blk)``. That table is
+blocked once more: groups of ``GROUP_ENDS`` ends, with the ends that the first
+ones fold over copied from the group before, so no task holds a series' ends.
+So a value that has decayed far (a halted symbol) keeps its digits, and results
+do not depend on the block size. Halo rows take no part.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ _OVERFLOW = 650.0
 # Weights below e**-746 are zero in double precision.
 _VANISHED = 746.0
 
+#: Sub-block ends that one folding task computes at least (and at least four times those it folds over).
+GROUP_ENDS = 2048
+
 
 @dataclass(frozen=True)
 class Smoother:
@@ -110,13 +115,21 @@ def apply_smoothers(df: DataFrame, smoothers: list[Smoother], key: str = KEY,
         ends = d.where(~F.col("halo") & (k == rows - 1)).select(
             key, F.col(at).alias("_s"), *[F.coalesce(f"_l_{s.name}", F.lit(0.0)).alias(f"_l_{s.name}") for s in group])
 
+        overlap = max(fold_rows(s.q, rows) for s in group) - 1
+        span = max(GROUP_ENDS, 4 * overlap)
+        own_group = F.floor(F.col("_s") / span).cast("long")
+        last = F.col("_s") % span >= span - overlap
+        ends = ends.withColumn("_own", own_group) \
+                   .withColumn("_g", F.explode(F.when(last, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+
         def folded(s: Smoother) -> Column:
-            past = Window.partitionBy(key).orderBy("_s").rowsBetween(-(fold_rows(s.q, rows) - 1), 0)
+            past = Window.partitionBy(key, "_g").orderBy("_s").rowsBetween(-(fold_rows(s.q, rows) - 1), 0)
             step = s.q ** rows
             return F.aggregate(F.collect_list(f"_l_{s.name}").over(past), F.lit(0.0), lambda e, x: e * step + x)
 
         per_block = layout.block_rows // rows
-        carry = ends.select(key, (F.col("_s") + 1).alias("_s"), *[folded(s).alias(f"_e_{s.name}") for s in group])
+        carry = ends.select(key, "_own", "_g", (F.col("_s") + 1).alias("_s"),
+                            *[folded(s).alias(f"_e_{s.name}") for s in group]).where("_own = _g")
         carry = carry.withColumn("blk", F.floor(F.col("_s") / per_block).cast("long")) \
                      .groupBy(key, "blk").agg(F.map_from_entries(F.collect_list(F.struct(
                          "_s", F.struct(*[f"_e_{s.name}" for s in group])))).alias("_carry"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barflow.functions.frames import KEY, div, lag
 from barflow.operators.layout import (DEFAULT_LAYOUT, Layout, attach_per_key, layout_series,
                                       with_running, written)
+from barflow.sources.bars import no_nan
 from barflow.sources.store import cut_lineage
 
 PRICE_COLS = ["open", "high", "low", "close"]
@@ -37,39 +38,47 @@ def dedupe_last(raw: DataFrame, key: str = KEY, order: str = "date",
     return raw.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-#: Buckets a value range is cut into, and rows that one ranking group may hold.
-MEDIAN_BUCKETS, MEDIAN_ROWS = 1024, 100_000
-
-
-def exact_median(df: DataFrame, col: str, key: str = KEY, buckets: int = MEDIAN_BUCKETS,
-                 most: int = MEDIAN_ROWS) -> DataFrame:
-    """``(key, median)``: exact median of the non-null values of each key.
-
-    No task holds a key's values. Each round cuts the range that must hold the
-    two middle ranks into equal buckets, counts them (a partial aggregate) and
-    keeps only the rows of the buckets that the ranks fall into, until those
-    are few or of one value; only then are rows ranked."""
-    d = df.select(key, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & F.col(key).isNotNull())
-    s = d.groupBy(key).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    both = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    # (key, which of the two ranks, rank among the rows in [lo, hi], their number)
-    state = cut_lineage(s.select(key, F.posexplode(both).alias("side", "rank"), "n", "lo", "hi"), "median")
-    while state.where((F.col("n") > most) & (F.col("lo") < F.col("hi"))).limit(1).count():
-        at = d.join(state, key).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / buckets
-        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(0)
-        counts = at.groupBy(key, "side", "rank", b.alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
-        w = Window.partitionBy(key, "side").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        upto = counts.withColumn("upto", F.sum("c").over(w))
-        state = cut_lineage(upto.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-                            .select(key, "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"),
-                                    F.col("c").alias("n"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")), "median")
-    at = d.join(state, key).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    few = at.where("lo < hi").withColumn("r", F.row_number().over(Window.partitionBy(key, "side").orderBy("v")) - 1) \
-            .where("r = rank").select(key, "side", "v")
-    one = state.where("lo = hi").select(key, "side", F.col("lo").alias("v"))
-    return few.unionByName(one).groupBy(key).agg(F.avg("v").alias("median"))
+#: Accuracy of the quantile sketches (ranks are off by at most ``n / MEDIAN_ACCURACY``), and
+#: steps of the grid in which the second one cuts what the first one leaves.
+MEDIAN_ACCURACY, MEDIAN_GRID = 10_000, 200
+
+
+def exact_median(df: DataFrame, col: str, key: str = KEY, accuracy: int = MEDIAN_ACCURACY, grid: int = MEDIAN_GRID) -> DataFrame:
+    """``(key, median)``: exact median of the values of each key. NULL and NaN are
+    missing; infinities are values like others (the mean of both is NaN).
+
+    Three passes, whatever the values, and no task holds a key's values: a quantile
+    sketch brackets the two middle ranks to a few in ``accuracy`` of the rows; a
+    second sketch, of the rows inside, cuts that bracket about fiftyfold; then the
+    distinct values inside are ranked by their numbers. A sketch only chooses what
+    to rank: ranks are counted on all rows, and one outside its bracket is an error."""
+    if grid * 2 > accuracy:
+        raise ValueError("the grid is finer than the sketch")
+    v = F.col("v")
+    d = df.select(key, F.col(col).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v) & F.col(key).isNotNull())
+    off = 4.0 / accuracy
+    first = d.groupBy(key).agg(F.count("v").alias("n"), F.percentile_approx("v", [max(0.0, 0.5 - off), min(1.0, 0.5 + off)], accuracy).alias("at"))
+    first = cut_lineage(first.select(key, F.floor((F.col("n") - 1) / 2).alias("low"), F.floor(F.col("n") / 2).alias("high"),
+                                     F.col("at")[0].alias("lo"), F.col("at")[1].alias("hi")), "median")
+    inside = F.when((v >= F.col("lo")) & (v <= F.col("hi")), v)
+    second = d.join(first, key).groupBy(key, "low", "high").agg(
+        F.count_if(v < F.col("lo")).alias("below"), F.count(inside).alias("n"),
+        F.percentile_approx(inside, [i / grid for i in range(grid + 1)], accuracy).alias("at"))
+    # Grid points around the two ranks, with one more on each side for the sketch's error.
+    place = lambda rank: F.floor((F.col(rank) - F.col("below")) / F.col("n") * grid)
+    second = cut_lineage(second.select(
+        key, "low", "high", F.col("at")[F.greatest(place("low") - 2, F.lit(0)).cast("int")].alias("from"),
+        F.col("at")[F.least(place("high") + 3, F.lit(grid)).cast("int")].alias("to")), "median")
+    # All rows below the bracket are one group, whose value is NULL and comes first.
+    counts = d.join(second, key).where(v <= F.col("to")).groupBy(key, "low", "high", F.when(v >= F.col("from"), v).alias("v")) \
+              .agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).where(v.isNotNull())
+    held = lambda rank: F.max(F.when((F.col(rank) >= F.col("upto") - F.col("c")) & (F.col(rank) < F.col("upto")), v))
+    both = ranked.groupBy(key).agg(held("low").alias("a"), held("high").alias("b"))
+    missed = F.raise_error(F.lit("a middle rank lies outside its bracket")).cast("double")
+    return both.select(key, F.when(F.col("a").isNull() | F.col("b").isNull(), missed)
+                       .when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2).alias("median"))
 
 
 def fill_missing(df: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY) -> DataFrame:
@@ -123,7 +132,8 @@ def derive_basic(df: DataFrame, key: str = KEY, order: str = "date") -> DataFram
 
 def clean_bars(raw: DataFrame, layout: Layout = DEFAULT_LAYOUT, key: str = KEY,
                order: str = "date", arrival: str | None = "arrival") -> DataFrame:
-    """Full cleaning; returns laid-out rows (call ``finish`` for a table)."""
+    """Full cleaning, NaN as NULL; returns laid-out rows (call ``finish`` for a table)."""
+    raw = no_nan(raw)
     d = dedupe_last(raw, key, order, arrival) if arrival and arrival in raw.columns else raw
     if arrival and arrival in d.columns:
         d = d.drop(arrival)

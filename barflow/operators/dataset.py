@@ -105,13 +105,27 @@ def sequences(df: DataFrame, cols: list[str], target: str, lookback: int = LOOKB
     i = F.col("rn") - (horizon - 1)
     d = d.select("*", F.collect_list("_x").over(frame).alias("window"),
                  F.lag(order, horizon - 1).over(w).alias("_sdate"), i.alias("_i"))
-    d = d.where((F.col("_i") >= lookback) & (F.size("window") == lookback))
+    # Rows from number ``lookback`` on have a full window, so samples are counted without building any.
+    d = d.where(F.col("_i") >= lookback)
     n_samples = F.col("n_rows") - lookback - horizon + (0 if drop_last else 1)
     d = d.where((F.col("_i") - lookback < n_samples) & ~F.col("halo"))
     return d.select(key, F.col("_sdate").alias(order), (F.col("_i") - lookback).alias("idx"),
                     n_samples.cast("long").alias("n_samples"), "window", F.col("_target").alias("label"))
 
 
+def latest_windows(df: DataFrame, cols: list[str], lookback: int = LOOKBACK, key: str = KEY, order: str = "date",
+                   layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """The window that ends at each row, whether or not its label is known yet: columns
+    as those of :func:`sequences`, dated by the window's last row, with a NULL label."""
+    if lookback > layout.halo_rows:
+        raise ValueError("lookback must fit in the layout halo")
+    frame = series_window(key).rowsBetween(-(lookback - 1), 0)
+    d = df.select(key, order, "rn", "n_rows", "halo", "blk", "home", "sb", F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    d = d.select("*", F.collect_list("_x").over(frame).alias("window")).where((F.col("rn") >= lookback - 1) & ~F.col("halo"))
+    return d.select(key, order, (F.col("rn") - (lookback - 1)).alias("idx"), (F.col("n_rows") - (lookback - 1)).cast("long").alias("n_samples"),
+                    "window", F.lit(None).cast("double").alias("label"))
+
+
 def flatten_window(samples: DataFrame, col: str = "window", vector: bool = True) -> DataFrame:
     """3-D sample -> flat feature list (row-major: lag-major, feature-minor);
     ``vector=True`` adds the ML ``features`` vector (JVM conversion)."""

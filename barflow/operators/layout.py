@@ -101,12 +101,12 @@ def unkeyed(df: DataFrame, key: str = KEY, order: str = "date") -> DataFrame:
 
 
 def number_rows(df: DataFrame, key: str = KEY, order: str = "date",
-                bucket: Column | None = None) -> DataFrame:
+                bucket: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``rn``: 0-based position of each row within ``key`` by ``order``, and
     ``n_rows``: rows of the key.
 
-    ``(key, order)`` must be unique; rows without key or order are left out
-    (see :func:`unkeyed`). Work is split by ``(key, bucket)``; the only per-key
+    ``(key, order, *ties)`` must be unique for numbers that do not depend on chance; rows
+    without key or order are left out (see :func:`unkeyed`). Work is split by ``(key, bucket)``; the only per-key
     step runs on the bucket-count table (one row per bucket).
     """
     bkt = bucket if bucket is not None else default_bucket(df, order)
@@ -117,7 +117,7 @@ def number_rows(df: DataFrame, key: str = KEY, order: str = "date",
     offsets = counts.select(key, "_bkt", F.sum("_n").over(whole).alias("n_rows"),
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     d = d.join(offsets, [key, "_bkt"], "inner")
-    local = F.row_number().over(Window.partitionBy(key, "_bkt").orderBy(order))
+    local = F.row_number().over(Window.partitionBy(key, "_bkt").orderBy(order, *ties))
     return d.withColumn("rn", (F.col("_base") + local - 1).cast("long")).drop("_bkt", "_base")
 
 
@@ -134,10 +134,10 @@ def block_layout(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
 
 
 def layout_series(df: DataFrame, key: str = KEY, order: str = "date",
-                  layout: Layout = DEFAULT_LAYOUT, bucket: Column | None = None) -> DataFrame:
+                  layout: Layout = DEFAULT_LAYOUT, bucket: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``number_rows`` then ``block_layout`` (skips numbering if ``rn`` and ``n_rows`` exist)."""
     if "rn" not in df.columns or "n_rows" not in df.columns:
-        df = number_rows(written(df.drop("rn"), layout, "series"), key, order, bucket)
+        df = number_rows(written(df.drop("rn"), layout, "series"), key, order, bucket, ties)
     return block_layout(df, layout)
 
 

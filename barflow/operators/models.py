@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
+                                   RandomForestRegressionModel, RandomForestRegressor)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ GBT_DEFAULTS = dict(maxIter=200, maxDepth=7, stepSize=0.01, subsamplingRate=0.8,
                     featureSubsetStrategy="0.8", seed=42)
 LINEAR_DEFAULTS = dict(maxIter=100, regParam=0.001, elasticNetParam=0.5)
 
+#: What reads a stored model of each kind.
+LOADERS = {"rf": RandomForestRegressionModel, "gbt": GBTRegressionModel, "linear": LinearRegressionModel}
+
 
 @dataclass(frozen=True)
 class ModelSpec:
@@ -45,12 +49,12 @@ def default_specs() -> list[ModelSpec]:
 
 
 def fit(samples: DataFrame, spec: ModelSpec, train_split: str = "train",
-        validation: bool = False):
-    """Fit on the train split (GBT may use the validation split for early
-    stopping when ``validation`` is set)."""
+        validation: bool = False, val_split: str = "val"):
+    """Fit on the train split. With ``validation`` a boosted model also reads the
+    validation split and stops where that no longer gains (Spark's ``validationTol``)."""
     if spec.kind == "gbt" and validation:
-        data = samples.where(F.col("split").isin(train_split, "val")) \
-                      .withColumn("_is_val", F.col("split") == "val")
+        data = samples.where(F.col("split").isin(train_split, val_split)) \
+                      .withColumn("_is_val", F.col("split") == val_split)
         est = spec.estimator().setValidationIndicatorCol("_is_val")
         return est.fit(data)
     return spec.estimator().fit(samples.where(F.col("split") == train_split))
@@ -72,12 +76,17 @@ def history(preds: DataFrame) -> DataFrame:
     return agg.select("model", "split", (1 - div(F.col("_sse"), F.col("_sst"))).alias("r2"))
 
 
-def gbt_rounds(model, samples: DataFrame, split: str = "val") -> DataFrame:
-    """RMSE after each boosting round on a split (``evaluateEachIteration``)."""
+def gbt_rounds(model, samples: DataFrame, splits: tuple[str, ...] = ("val",)) -> DataFrame:
+    """``split, round, n, rmse``: error after each boosting round on the named splits
+    (``evaluateEachIteration``), with the number of samples; a split without samples has no rows."""
     spark = samples.sparkSession
-    errs = model.evaluateEachIteration(samples.where(F.col("split") == split), "squared")
-    return spark.createDataFrame([(i + 1, float(e) ** 0.5) for i, e in enumerate(errs)],
-                                 "round int, rmse double")
+    sizes = {r["split"]: r["count"] for r in samples.groupBy("split").count().collect()}  # at most a few splits
+    rows = []
+    for split in splits:
+        if sizes.get(split):
+            errs = model.evaluateEachIteration(samples.where(F.col("split") == split), "squared")
+            rows += [(split, i + 1, sizes[split], float(e) ** 0.5) for i, e in enumerate(errs)]
+    return spark.createDataFrame(rows, "split string, round int, n long, rmse double")
 
 
 def importances(spark: SparkSession, model, cols: list[str], lookback: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.frames import KEY, div, series_window
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, finish, layout_series, unkeyed, with_running
+from barflow.sources.bars import no_nan
 
 REQUIRED = ["open", "high", "low", "close", "volume"]
 
@@ -27,8 +28,11 @@ def missing_columns(df: DataFrame, required: list[str] = REQUIRED) -> list[str]:
 
 def _moves_and_gaps(bars: DataFrame, layout: Layout, key: str, order: str) -> DataFrame:
     """Per row: change against the last non-null close before it (pandas
-    ``pct_change`` pads missing values) and the day gap to the previous bar."""
-    d = layout_series(bars, key, order, layout).drop("n_rows")
+    ``pct_change`` pads missing values) and the day gap to the previous bar. The
+    report looks at bars before copies are dropped: several bars of one date follow
+    each other by arrival (if there is such a column), then by their values."""
+    ties = tuple(c for c in ("arrival", *REQUIRED) if c in bars.columns)
+    d = layout_series(no_nan(bars), key, order, layout, ties=ties).drop("n_rows")
     d = with_running(d, {"_pad": ("last", F.col("close"))}, layout, key, halo_exact=True)
     w = series_window(key)
     prev = F.lag("_pad", 1).over(w)
@@ -58,13 +62,13 @@ def quality_report(bars: DataFrame, symbols: DataFrame | None = None,
     """One row per symbol: counts per rule and the verdict ``passed``.
 
     ``symbols`` (one column ``symbol``) lists the requested symbols; those
-    without rows appear with ``rows = 0`` and fail ``dq_empty``. Rows without
+    without rows appear with ``rows = 0`` and fail ``dq_empty``. NaN counts as NULL. Rows without
     symbol or date have no place in a series, but every other rule counts
     them; ``missing_keys`` counts them and any fails the symbol (rows without
     symbol form the NULL symbol).
     """
     d = _moves_and_gaps(bars, layout, key, order)
-    d = d.unionByName(unkeyed(bars, key, order), allowMissingColumns=True)
+    d = d.unionByName(unkeyed(no_nan(bars), key, order), allowMissingColumns=True)
     n = F.count(F.lit(1))
     null_share = F.greatest(*[F.avg(F.col(c).isNull().cast("double")) for c in REQUIRED])
     rep = d.groupBy(key).agg(

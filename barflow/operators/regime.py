@@ -1,7 +1,7 @@
 """Market-regime features: 15 columns (volatility, trend and volume regimes).
 
 Runs on the block layout after (or without) the technical indicators. The
-percentile ranks are JVM higher-order functions over a trailing value list;
+percentile ranks are places in a trailing value list, sorted once a row;
 trend persistence is a gaps-and-islands run length whose run start is an
 exact running maximum across blocks (:func:`barflow.operators.layout.with_running`).
 """
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.functions.frames import KEY, div, flag, full, lag, pct_rank_last
+from barflow.functions.frames import KEY, div, flag, lag, with_pct_rank
+from barflow.functions.sliding import Trailing, with_trailing
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, with_running
 
 # --- fixed values (regime parameters of the reference) ----------------------
@@ -78,25 +79,24 @@ def regime_features(df: DataFrame, cfg: RegimeConfig = DEFAULT_REGIME,
     if a:
         df = df.select("*", *a)
 
-    vw = cfg.volatility_window
-    if f"volatility_{vw}" in df.columns:
-        vol_col = F.col(f"volatility_{vw}")
-    else:
-        vol_col = full(vw, F.stddev_samp, "returns", key)
-    sma_s = full(cfg.trend_short, F.avg, "close", key)
-    sma_l = full(cfg.trend_long, F.avg, "close", key)
-    strength = div(sma_s - sma_l, sma_l) * 100.0
-    df = df.select("*", vol_col.alias("rolling_volatility"), strength.alias("trend_strength"),
-                   pct_rank_last("volume", cfg.volume_rank_window, cfg.volume_rank_min, key)
-                   .alias("volume_percentile"))
+    # Windows that the technical features have already made are read, not made again.
+    vol, short, long = f"volatility_{cfg.volatility_window}", f"sma_{cfg.trend_short}", f"sma_{cfg.trend_long}"
+    windows = [Trailing(f"_{vol}", "stddev_samp", "returns", cfg.volatility_window),
+               Trailing(f"_{short}", "avg", "close", cfg.trend_short), Trailing(f"_{long}", "avg", "close", cfg.trend_long)]
+    windows = [t for t in windows if t.name[1:] not in df.columns]
+    own = {t.name for t in windows}
+    df = with_trailing(df, windows, key)
+    tmp += sorted(own)
+    made = lambda name: F.col(f"_{name}" if f"_{name}" in own else name)
+    strength = div(made(short) - made(long), made(long)) * 100.0
+    df = df.select("*", made(vol).alias("rolling_volatility"), strength.alias("trend_strength"))
+    df = with_pct_rank(df, {"volume_percentile": ("volume", cfg.volume_rank_window, cfg.volume_rank_min),
+                            "volatility_percentile": ("rolling_volatility", cfg.volatility_rank_window, cfg.volatility_rank_min)}, key)
 
     t = cfg.trend_threshold
     s = F.col("trend_strength")
     reg = F.when(s > t, 1).when(s < -t, -1).otherwise(0)
-    df = df.select("*",
-                   pct_rank_last("rolling_volatility", cfg.volatility_rank_window,
-                                 cfg.volatility_rank_min, key).alias("volatility_percentile"),
-                   reg.alias("trend_regime"))
+    df = df.select("*", reg.alias("trend_regime"))
 
     prev = lag("trend_regime", 1, key)
     changed = prev.isNull() | (F.col("trend_regime") != prev)

@@ -15,13 +15,15 @@ a NULL warm-up (documented deviation).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.functions.frames import KEY, div, flag, full, lag, trailing
+from barflow.functions.frames import KEY, div, flag, lag, trailing
 from barflow.functions.scan import Smoother, apply_smoothers, ema, wilder_mean
+from barflow.functions.sliding import Trailing, with_trailing
 from barflow.operators.layout import DEFAULT_LAYOUT, Layout, with_running
 
 # --- fixed values (indicator parameters and thresholds of the reference) -----
@@ -42,6 +44,9 @@ from barflow.operators.layout import DEFAULT_LAYOUT, Layout, with_running
 @dataclass(frozen=True)
 class TechnicalConfig:
     sma_periods: tuple[int, ...] = (10, 20, 50, 200)
+    #: Periods compared with the price, and pairs compared with each other, where the averages are made.
+    price_to_sma: tuple[int, ...] = (20, 50)
+    sma_crosses: tuple[tuple[int, int], ...] = ((10, 20), (20, 50))
     ema_periods: tuple[int, ...] = (12, 26)
     rsi_period: int = 14
     rsi_oversold: float = 30.0
@@ -68,6 +73,11 @@ class TechnicalConfig:
     groups: tuple[str, ...] = field(default=(
         "moving_averages", "momentum", "volatility", "volume", "patterns", "trend"))
 
+    def compared(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """Averages next to the price and pairs of averages, of the periods there are."""
+        have = set(self.sma_periods)
+        return [n for n in self.price_to_sma if n in have], [p for p in self.sma_crosses if have.issuperset(p)]
+
 
 DEFAULT_TECHNICAL = TechnicalConfig()
 
@@ -110,7 +120,19 @@ TECHNICAL_COLUMNS: dict[str, list[tuple[str, str]]] = {
 
 
 def technical_columns(cfg: TechnicalConfig = DEFAULT_TECHNICAL) -> list[str]:
-    return [c for g in cfg.groups for c, _ in TECHNICAL_COLUMNS[g]]
+    """Columns of the configured groups and periods."""
+    to, crosses = cfg.compared()
+    by_period = {
+        "sma": [f"sma_{n}" for n in cfg.sma_periods], "ema": [f"ema_{n}" for n in cfg.ema_periods],
+        "price_to_sma": [f"price_to_sma{n}" for n in to], "sma_cross": [f"sma_{m}_{n}_cross" for m, n in crosses],
+        "roc": [f"roc_{n}" for n in cfg.roc_periods], "volatility": [f"volatility_{n}" for n in cfg.volatility_windows],
+        "volume_sma": [f"volume_sma_{cfg.volume_window}"], "momentum": [f"momentum_{n}" for n in cfg.momentum_periods]}
+    out: list[str] = []
+    for g in cfg.groups:
+        for c, _ in TECHNICAL_COLUMNS[g]:
+            kind = re.sub(r"(_?\d+)+", "", c)
+            out += [n for n in by_period.get(kind, [c]) if n not in out]
+    return out
 
 
 def technical_history(cfg: TechnicalConfig = DEFAULT_TECHNICAL) -> int:
@@ -133,6 +155,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
     tmp: list[str] = []
 
     # Stage A: windows over the input columns.
+    t: list[Trailing] = []
     a: list[Column] = [lag("close", 1, key).alias("_c1")]
     tmp.append("_c1")
     if "returns" not in df.columns:
@@ -140,22 +163,20 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         tmp.append("returns")
     if "moving_averages" in g:
         for n in cfg.sma_periods:
-            a.append(full(n, F.avg, "close", key).alias(f"sma_{n}"))
+            t.append(Trailing(f"sma_{n}", "avg", "close", n))
     if "momentum" in g:
-        a += [full(cfg.stoch_window, F.min, "low", key).alias("_lo_k"),
-              full(cfg.stoch_window, F.max, "high", key).alias("_hi_k")]
+        t += [Trailing("_lo_k", "min", "low", cfg.stoch_window), Trailing("_hi_k", "max", "high", cfg.stoch_window)]
         tmp += ["_lo_k", "_hi_k"]
         for n in cfg.roc_periods:
             a.append(lag("close", n, key).alias(f"_cl{n}"))
             tmp.append(f"_cl{n}")
     if "volatility" in g:
-        a += [full(cfg.bb_period, F.avg, "close", key).alias("bb_middle"),
-              full(cfg.bb_period, F.stddev_pop, "close", key).alias("_bb_sd")]
+        t += [Trailing("bb_middle", "avg", "close", cfg.bb_period), Trailing("_bb_sd", "stddev_pop", "close", cfg.bb_period)]
         tmp.append("_bb_sd")
     if "volume" in g:
         tp = (high + low + close) / 3.0
-        a += [full(cfg.volume_window, F.avg, "volume", key).alias("volume_sma_20"),
-              lag(tp, 1, key).alias("_tp1")]
+        t.append(Trailing(f"volume_sma_{cfg.volume_window}", "avg", "volume", cfg.volume_window))
+        a.append(lag(tp, 1, key).alias("_tp1"))
         tmp.append("_tp1")
     if "patterns" in g or "trend" in g:
         a += [lag("high", 1, key).alias("_h1"), lag("low", 1, key).alias("_l1")]
@@ -172,16 +193,15 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
             if f"_cl{n}" not in tmp:
                 a.append(lag("close", n, key).alias(f"_cl{n}"))
                 tmp.append(f"_cl{n}")
-    df = df.select("*", *a)
+    df = with_trailing(df.select("*", *a), t, key)
 
     # Stage B: row-wise expressions.
     c1 = _c("_c1")
     b: list[Column] = []
     if "moving_averages" in g:
-        b += [div(close, _c("sma_20")).alias("price_to_sma20"),
-              div(close, _c("sma_50")).alias("price_to_sma50"),
-              flag(_c("sma_10") > _c("sma_20")).alias("sma_10_20_cross"),
-              flag(_c("sma_20") > _c("sma_50")).alias("sma_20_50_cross")]
+        to, crosses = cfg.compared()
+        b += [div(close, _c(f"sma_{n}")).alias(f"price_to_sma{n}") for n in to]
+        b += [flag(_c(f"sma_{m}") > _c(f"sma_{n}")).alias(f"sma_{m}_{n}_cross") for m, n in crosses]
     if "momentum" in g:
         diff = close - c1
         b += [F.when(diff > 0, diff).otherwise(F.lit(0.0)).alias("_up"),
@@ -204,7 +224,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         tp, tp1 = (high + low + close) / 3.0, _c("_tp1")
         sign = F.when(tp > tp1, 1.0).when(tp < tp1, -1.0).otherwise(0.0)
         mf = tp * vol * sign
-        ratio = div(vol, _c("volume_sma_20"))
+        ratio = div(vol, _c(f"volume_sma_{cfg.volume_window}"))
         b += [ratio.alias("volume_ratio"), flag(ratio > cfg.volume_spike).alias("volume_spike"),
               F.when(mf >= 0, mf).otherwise(0.0).alias("_mf_pos"),
               F.when(mf < 0, -mf).otherwise(0.0).alias("_mf_neg"),
@@ -233,25 +253,20 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
     df = df.select("*", *b)
 
     # Stage C: windows over stage-B columns (seeds, rolling sums, volatility).
-    cc: list[Column] = []
+    t = []
     if "momentum" in g:
-        cc.append(full(cfg.stoch_smooth, F.avg, "stoch_k", key).alias("stoch_d"))
+        t.append(Trailing("stoch_d", "avg", "stoch_k", cfg.stoch_smooth))
     if "volatility" in g:
-        for n in cfg.volatility_windows:
-            cc.append(full(n, F.stddev_samp, "returns", key).alias(f"volatility_{n}"))
-        cc.append(full(cfg.atr_period, F.avg, "_tr", key).alias("_atr_seed"))
+        t += [Trailing(f"volatility_{n}", "stddev_samp", "returns", n) for n in cfg.volatility_windows]
+        t.append(Trailing("_atr_seed", "avg", "_tr", cfg.atr_period))
         tmp.append("_atr_seed")
     if "volume" in g:
-        cc += [full(cfg.mfi_window, F.sum, "_mf_pos", key).alias("_mfp"),
-               full(cfg.mfi_window, F.sum, "_mf_neg", key).alias("_mfn")]
+        t += [Trailing("_mfp", "sum", "_mf_pos", cfg.mfi_window), Trailing("_mfn", "sum", "_mf_neg", cfg.mfi_window)]
         tmp += ["_mfp", "_mfn"]
     if "trend" in g:
-        n = cfg.adx_period
-        cc += [full(n, F.sum, "_pdm", key).alias("_pdm_seed"),
-               full(n, F.sum, "_mdm", key).alias("_mdm_seed")]
+        t += [Trailing("_pdm_seed", "sum", "_pdm", cfg.adx_period), Trailing("_mdm_seed", "sum", "_mdm", cfg.adx_period)]
         tmp += ["_pdm_seed", "_mdm_seed"]
-    if cc:
-        df = df.select("*", *cc)
+    df = with_trailing(df, t, key)
 
     # Stage D: first-level recursive smoothers.
     sm: list[Smoother] = []
@@ -297,7 +312,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         sm2.append(ema("macd_signal", "macd", cfg.macd_signal, start=cfg.macd_slow - 1))
     if "trend" in g:
         n = cfg.adx_period
-        df = df.select("*", full(n, F.avg, "_dx", key).alias("_dx_seed"))
+        df = with_trailing(df, [Trailing("_dx_seed", "avg", "_dx", n)], key)
         tmp.append("_dx_seed")
         sm2.append(Smoother("adx", "_dx", 1 - 1.0 / n, 1.0 / n, 2 * n - 1, "_dx_seed"))
     df = apply_smoothers(df, sm2, key, layout)
@@ -322,7 +337,7 @@ def technical_features(df: DataFrame, cfg: TechnicalConfig = DEFAULT_TECHNICAL,
         tmp += ["_scv", "_sv"]
     drop = []
     if "moving_averages" not in g:
-        drop += [f"ema_{n}" for n in (cfg.macd_fast, cfg.macd_slow)]
+        drop += [f"ema_{n}" for n in {*cfg.ema_periods, cfg.macd_fast, cfg.macd_slow}]
     else:
         drop += [f"ema_{n}" for n in (cfg.macd_fast, cfg.macd_slow) if n not in cfg.ema_periods]
     return df.drop(*tmp, *drop)

@@ -1,8 +1,9 @@
 """Training run: features, guards, scaling, sequences, split, fits, ensemble, metrics.
 
 One call chains the operators of this package and returns everything a run
-yields; :func:`save_run` and :func:`load_run` store the fitted set with its
-scaler statistics, column list, weights and metadata.
+yields; :func:`save_run` stores the scaler, the lag step and the regressors as one
+``PipelineModel`` beside weights and metadata, :func:`load_run` reads them, and the
+loaded set scores raw feature rows in one call.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from barflow.operators import dataset as ds
 from barflow.operators import ensemble as en
 from barflow.operators import evaluate as ev
 from barflow.operators import models as ml
+from barflow.operators import stages as st
 from barflow.operators.regime import regime_columns
 from barflow.operators.store import (GUARD_EXTRA_ROWS, MIN_SAMPLES, generate_features, guard_min_rows, keep_eligible,
                                      numeric_columns)
@@ -26,7 +28,6 @@ from barflow.sources.store import cut_lineage, load_metadata, save_metadata
 
 #: Columns that the cleaner adds for inspection; no model reads them.
 NOT_INPUTS = ("rn", "is_outlier", "capped_return")
-_LOADERS = {"rf": RandomForestRegressionModel, "gbt": GBTRegressionModel, "linear": LinearRegressionModel}
 
 
 @dataclass
@@ -46,6 +47,10 @@ class TrainingRun:
     metrics: DataFrame
     history: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
+    #: Error after every boosting round, by split; None without a boosted model.
+    rounds: DataFrame | None = None
+    #: The fitted scaler and the lag step.
+    steps: list = field(default_factory=list)
 
 
 def model_columns(features: DataFrame) -> list[str]:
@@ -72,50 +77,108 @@ def guarded(bars: DataFrame, features_of, lookback: int, horizon: int) -> tuple[
 
 
 def build_samples(rows: DataFrame, columns: list[str], target: str, lookback: int, horizon: int,
-                  fit_on: str = "train") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scaled, split lag samples (``features`` vectors), the scaler statistics,
-    and the guard on the number of samples (rejected symbols give none)."""
-    laid = ds.renumber(rows.select("symbol", "date", *columns))
-    stats = cut_lineage(ds.fit_minmax(laid, columns, fit_on=fit_on), "scaler")
-    scaled = ds.apply_minmax(laid, stats, columns)
-    s = ds.sequences(scaled, [c + "_s" for c in columns], target + "_s", lookback, horizon)
-    enough = F.col("n_samples") >= MIN_SAMPLES
-    s = cut_lineage(ds.flatten_window(ds.split_samples(s)).select(
-        "symbol", "date", "idx", "n_samples", "split", "features", "label"), "samples")
+                  fit_on: str = "train") -> tuple[DataFrame, st.SymbolScalerModel, st.LagWindow, DataFrame]:
+    """Scaled, split lag samples (``features`` vectors), the fitted scaler and the lag step,
+    and the guard on the number of samples (rejected symbols give none). Only the scaled rows
+    are written; whoever reads the samples builds the windows."""
+    scaler = st.SymbolScaler(columns, fit_on).fit(rows)
+    lag = st.LagWindow(columns, target, lookback, horizon)
+    s = lag.transform(scaler.transform(rows))
     guard = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
     ok = F.col("rows") >= MIN_SAMPLES
     guard = guard.select("symbol", "rows", ok.alias("eligible"), F.when(~ok, F.format_string(
         "samples: need %d, got %d", F.lit(MIN_SAMPLES), F.col("rows"))).alias("reason"), F.lit("samples").alias("stage"))
-    return s.where(enough), stats, guard
+    return s.where(F.col("n_samples") >= MIN_SAMPLES), scaler, lag, guard
+
+
+def predict_all(models: dict, samples: DataFrame) -> DataFrame:
+    """Long prediction rows of every model, with the samples built once: each model adds a column."""
+    d = samples
+    for name, model in models.items():
+        d = model.copy().setPredictionCol(f"yhat_{name}").transform(d)
+    return long_predictions(d, list(models))
+
+
+def long_predictions(wide: DataFrame, names: list[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"yhat_{n}").alias("yhat")) for n in names])).alias("m")
+    return wide.select("symbol", "date", "split", F.col("label").alias("y"), each).select("symbol", "date", "split", "m.model", "y", "m.yhat")
 
 
 def train(bars: DataFrame, specs: list[ml.ModelSpec] | None = None, target: str = "close",
-          lookback: int = ds.LOOKBACK, horizon: int = ds.HORIZON, fit_on: str = "train") -> TrainingRun:
+          lookback: int = ds.LOOKBACK, horizon: int = ds.HORIZON, fit_on: str = "train", stop_early: bool = False) -> TrainingRun:
     """Train all models on all numeric columns and evaluate them and their ensemble.
 
     Predictions and labels are scaled back to prices before weights and
-    metrics. A symbol without validation rows gets equal weights."""
+    metrics. A symbol without validation rows gets equal weights. ``stop_early`` ends
+    boosting where the validation part no longer gains; ``rounds`` of the run holds the
+    error after every boosting round either way."""
     specs = specs or ml.default_specs()
     t0 = time.time()
     rows, guards = guarded(bars, generate_features, lookback, horizon)
     columns = model_columns(rows)
-    samples, stats, guard = build_samples(rows, columns, target, lookback, horizon, fit_on)
+    samples, scaler, lag, guard = build_samples(rows, columns, target, lookback, horizon, fit_on)
     guards = guards.unionByName(guard)
     seconds = {"samples": time.time() - t0}
-    models, preds = {}, None
+    models, rounds = {}, None
     for spec in specs:
         t = time.time()
-        models[spec.name] = ml.fit(samples, spec)
-        p = ml.predict(models[spec.name], samples, spec.name)
-        preds = p if preds is None else preds.unionByName(p)
+        models[spec.name] = ml.fit(samples, spec, validation=stop_early)
+        if spec.kind == "gbt":
+            r = ml.gbt_rounds(models[spec.name], samples, ("train", "val")).withColumn("model", F.lit(spec.name))
+            rounds = r if rounds is None else rounds.unionByName(r)
         seconds[spec.name] = time.time() - t
-    preds = ds.inverse_minmax(preds, stats, "yhat", target, "yhat")
-    preds = cut_lineage(ds.inverse_minmax(preds, stats, "y", target, "y"), "predictions")
+    preds = predict_all(models, samples)
+    preds = ds.inverse_minmax(preds, scaler.stats, "yhat", target, "yhat")
+    preds = cut_lineage(ds.inverse_minmax(preds, scaler.stats, "y", target, "y"), "predictions")
     weights = cut_lineage(en.learn_weights(preds, "val"), "weights")
     ens = en.combine(preds, weights, missing="equal")
     everything = cut_lineage(en.individual(preds, ens), "predictions")
-    return TrainingRun(columns, lookback, horizon, target, rows, guards, stats, samples, models, {s.name: s.kind for s in specs},
-                       everything, weights, ev.metrics(everything), ml.history(everything), seconds)
+    return TrainingRun(columns, lookback, horizon, target, rows, guards, scaler.stats, samples, models, {s.name: s.kind for s in specs},
+                       everything, weights, ev.metrics(everything), ml.history(everything), seconds, rounds, [scaler, lag])
+
+
+def train_one(bars: DataFrame, name: str, **options) -> TrainingRun:
+    """Train a single model type by its name (``rf``, ``xgb`` or ``linear``) with the default settings."""
+    chosen = [s for s in options.pop("specs", None) or ml.default_specs() if s.name == name]
+    if not chosen:
+        raise ValueError(f"no model type {name!r}")
+    return train(bars, chosen, **options)
+
+
+def out_of_fold(samples: DataFrame, specs: list[ml.ModelSpec], n_splits: int = ds.N_SPLITS, gap: int = ds.GAP) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward run: each model is fitted anew for every fold, on the samples that end
+    ``gap`` rows before the fold's test slice, and predicts that slice alone.
+
+    Returns the out-of-fold predictions ``symbol, date, idx, split (test), fold, model, y, yhat``
+    and one row per symbol and fold with what the fit read: ``n_train, first_train, last_train``
+    (sample numbers). ``samples`` is one table, filtered for each fold; a fold in which
+    nothing comes before the gap is left out."""
+    preds = seen = None
+    for fold in range(n_splits):
+        own = ds.fold_samples(samples, fold, n_splits, gap)
+        # The role of the fold takes the place of the chronological split.
+        own = own.select("symbol", "date", "idx", F.col("role").alias("split"), "features", "label")
+        read = cut_lineage(own.where("split = 'train'").groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("n_train"), F.min("idx").alias("first_train"), F.max("idx").alias("last_train")), "fold")
+        if not read.limit(1).count():
+            continue
+        seen_here = read.withColumn("fold", F.lit(fold))
+        seen = seen_here if seen is None else seen.unionByName(seen_here)
+        wide = own.where("split = 'test'")
+        for spec in specs:
+            wide = ml.fit(own, spec).setPredictionCol(f"yhat_{spec.name}").transform(wide)
+        each = F.explode(F.array(*[F.struct(F.lit(s.name).alias("model"), F.col(f"yhat_{s.name}").alias("yhat")) for s in specs])).alias("m")
+        p = wide.select("symbol", "date", "idx", "split", F.lit(fold).alias("fold"), F.col("label").alias("y"), each) \
+                .select("symbol", "date", "idx", "split", "fold", "m.model", "y", "m.yhat")
+        preds = p if preds is None else preds.unionByName(p)
+    if preds is None:
+        raise ValueError("no fold has samples before its gap")
+    return cut_lineage(preds, "out-of-fold"), seen
+
+
+def split_counts(samples: DataFrame) -> DataFrame:
+    """Samples of each symbol by part: ``n_train, n_val, n_test``."""
+    return samples.groupBy("symbol").agg(*[F.count_if(F.col("split") == c).alias(f"n_{c}") for c in ("train", "val", "test")])
 
 
 def run_summary(run: TrainingRun) -> DataFrame:
@@ -123,8 +186,7 @@ def run_summary(run: TrainingRun) -> DataFrame:
     spark = run.metrics.sparkSession
     kinds = spark.createDataFrame([(m, k, float(run.seconds.get(m, 0.0))) for m, k in {**run.kinds, "ensemble": "ensemble"}.items()],
                                   "model string, model_type string, fit_seconds double")
-    counts = run.samples.groupBy("symbol").pivot("split", ["train", "val", "test"]).count()
-    counts = counts.select("symbol", *[F.coalesce(c, F.lit(0)).alias(f"n_{c}") for c in ("train", "val", "test")])
+    counts = split_counts(run.samples)
     hist = run.history.groupBy("model").pivot("split", ["train", "val", "test"]).agg(F.first("r2"))
     hist = hist.select("model", *[F.col(c).alias(f"r2_{c}") for c in ("train", "val", "test")])
     return (run.metrics.join(counts, "symbol").join(hist, "model", "left").join(kinds, "model", "left")
@@ -134,11 +196,10 @@ def run_summary(run: TrainingRun) -> DataFrame:
 
 
 def save_run(run: TrainingRun, path: str) -> None:
-    """Store models, scaler statistics, weights and metadata below ``path``."""
+    """Store the run's steps as one pipeline, its weights and metadata below ``path``."""
     spark = run.metrics.sparkSession
-    for name, model in run.models.items():
-        model.write().overwrite().save(f"{path}/models/{name}")
-    run.stats.write.mode("overwrite").parquet(f"{path}/scaler")
+    fitted = [model.copy().setPredictionCol(f"yhat_{name}") for name, model in run.models.items()]
+    PipelineModel([*run.steps, *fitted]).write().overwrite().save(f"{path}/pipeline")
     run.weights.write.mode("overwrite").parquet(f"{path}/weights")
     save_metadata(spark, {"columns": run.columns, "lookback": run.lookback, "horizon": run.horizon, "target": run.target,
                           "models": run.kinds, "seconds": run.seconds}, f"{path}/metadata")
@@ -150,61 +211,24 @@ class FittedSet:
     lookback: int
     horizon: int
     target: str
-    models: dict
-    stats: DataFrame
+    names: list[str]
+    pipeline: PipelineModel
     weights: DataFrame
 
-    def predict(self, samples: DataFrame) -> DataFrame:
-        """Predictions of every model and the ensemble, as prices."""
-        preds = None
-        for name, model in self.models.items():
-            p = ml.predict(model, samples, name)
-            preds = p if preds is None else preds.unionByName(p)
+    def predict(self, rows: DataFrame, labelled: bool = True) -> DataFrame:
+        """Predictions of every model and the ensemble, as prices, from raw feature rows
+        (``symbol, date`` and the fitted columns). With ``labelled`` false: of the window
+        that ends at each row, also where the price to predict is not known yet."""
+        scaler, lag, *_ = self.pipeline.stages
+        stages = [scaler, lag.copy({lag.labelled: labelled}), *self.pipeline.stages[2:]]
+        preds = long_predictions(PipelineModel(stages).transform(rows), self.names)
         for c in ("yhat", "y"):
-            preds = ds.inverse_minmax(preds, self.stats, c, self.target, c)
+            preds = ds.inverse_minmax(preds, scaler.stats, c, self.target, c)
+        preds = cut_lineage(preds, "predictions")
         return en.individual(preds, en.combine(preds, self.weights, missing="equal"))
 
 
 def load_run(spark: SparkSession, path: str) -> FittedSet:
     meta = load_metadata(spark, f"{path}/metadata")
-    models = {name: _LOADERS[kind].load(f"{path}/models/{name}") for name, kind in meta["models"].items()}
-    return FittedSet(meta["columns"], meta["lookback"], meta["horizon"], meta["target"], models,
-                     spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/weights"))
-
-
-def forecast(fitted: FittedSet, rows: DataFrame, steps: int) -> DataFrame:
-    """``symbol, step, date, prediction, std`` for the next ``steps`` weekdays.
-
-    The models predict ``horizon`` rows ahead. The change they see from the last
-    known price to the prediction is spread evenly over the horizon and goes on
-    at that pace; ``std`` is the spread of the models' own paths. ``rows`` are
-    complete feature rows with the fitted columns."""
-    cols = fitted.columns
-    laid = ds.apply_minmax(ds.renumber(rows.select("symbol", "date", *cols)), fitted.stats, cols)
-    w = ds.series_window().rowsBetween(-(fitted.lookback - 1), 0)
-    x = laid.select("symbol", "date", "rn", "n_rows", "halo", "blk", "sb", F.col(fitted.target).alias("last"),
-                    F.array(*[F.col(c + "_s").cast("double") for c in cols]).alias("_x"))
-    x = x.select("*", F.collect_list("_x").over(w).alias("window"))
-    x = x.where(~F.col("halo") & (F.col("rn") == F.col("n_rows") - 1) & (F.size("window") == fitted.lookback))
-    x = ds.flatten_window(x).select("symbol", "date", F.lit("future").alias("split"), "features", F.lit(0.0).alias("label"), "last")
-    x = cut_lineage(x, "latest")
-    preds = fitted.predict(x).join(x.select("symbol", "last"), "symbol")
-    step = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
-    pace = (F.col("yhat") - F.col("last")) / fitted.horizon
-    path = preds.select("symbol", "date", "model", "last", pace.alias("pace"), step)
-    path = path.withColumn("p", F.col("last") + F.col("pace") * F.col("step"))
-    days = F.filter(F.sequence(F.date_add("date", 1), F.date_add("date", 2 * steps + 3)), lambda d: F.weekday(d) < 5)
-    return path.groupBy("symbol", "date", "step").agg(
-        F.max(F.when(F.col("model") == "ensemble", F.col("p"))).alias("prediction"),
-        F.stddev_pop(F.when(F.col("model") != "ensemble", F.col("p"))).alias("std")) \
-        .select("symbol", "step", F.element_at(days, F.col("step")).alias("date"), "prediction", "std")
-
-
-def forecast_tables(fitted: FittedSet, rows: DataFrame, steps: int = 30) -> dict[str, DataFrame]:
-    """The forecast path with bounds and change, its summary and the recommendation."""
-    from barflow.operators import forecast as fc
-    path = cut_lineage(forecast(fitted, rows, steps), "forecast")
-    last = cut_lineage(rows.groupBy("symbol").agg(F.max_by(fitted.target, "date").alias("last_known_price")), "last-price")
-    bounds = fc.change_from_last(fc.intervals(path), last)
-    summ = fc.summary(path, last)
-    return {"path": bounds, "summary": summ, "recommendation": fc.recommend(summ)}
+    return FittedSet(meta["columns"], meta["lookback"], meta["horizon"], meta["target"], list(meta["models"]),
+                     PipelineModel.load(f"{path}/pipeline"), spark.read.parquet(f"{path}/weights"))

@@ -432,7 +432,7 @@ def q_filter_complete(spark, sf):
     from barflow.operators.store import completeness, generate_features
     bars = daily_bars(spark, sf)
     full_rows = generate_features(bars, drop_incomplete=False)
-    return completeness(full_rows, full_rows.na.drop("any"))
+    return completeness(full_rows)
 
 
 # Reference defaults: lookback 60 + horizon 5 + 100 rows.

@@ -4,7 +4,7 @@ forecast, backtest (all SQL-checked on a deterministic prediction table), the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.frames import full, lag, series_window
@@ -254,15 +254,14 @@ def q_eval_best_model(spark, sf):
 # --- forecast tables on the test-split path ------------------------------------------------
 
 def _path(spark, sf):
-    """Test-split path of the ensemble with the spread of its models: one
-    aggregate gives both, and steps are positions of the block layout."""
-    p, w, e = _preds_and_ensemble(spark, sf)
-    test = p.where(F.col("split") == "test").join(w.select("symbol", "model", "weight"), ["symbol", "model"], "left")
-    bars = test.groupBy("symbol", "date").agg(F.sum(F.col("weight") * F.col("yhat")).alias("prediction"),
-                                              F.stddev_pop("yhat").alias("std"))
+    """Test-split path of the ensemble with the spread of its models; steps are positions of the block layout."""
+    p, _, e = _preds_and_ensemble(spark, sf)
+    test = F.col("split") == "test"
+    spread = en.uncertainty(p.where(test)).select("symbol", "date", "std")
+    bars = e.where(test).select("symbol", "date", F.col("yhat").alias("prediction")).join(spread, ["symbol", "date"])
     path = finish(layout_series(bars), keep_rn=True)
     path = cut_lineage(path.select("symbol", (F.col("rn") + 1).cast("int").alias("step"), "date", "prediction", "std"), "path")
-    last = (p.where(F.col("split") != "test").where(F.col("model") == "lag1")
+    last = (p.where(~test).where(F.col("model") == "lag1")
               .groupBy("symbol").agg(F.max_by("y", "date").alias("last_known_price")))
     return p, e, path, cut_lineage(last, "last-price")
 
@@ -328,7 +327,7 @@ t1 AS (SELECT *, lag(y) OVER (PARTITION BY symbol, model ORDER BY date) AS py FR
 SELECT symbol, model, round(1 - {S.dv('sum((y - yhat) * (y - yhat))', 'count(*) * var_pop(y)')}, 6) AS r2,
   round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse,
   round(avg(abs({S.dv('y - yhat', 'y')})) * 100.0, 6) AS mape,
-  round(avg(CASE WHEN sign(y - py) = sign(yhat - py) THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS directional_accuracy
+  round(avg(CASE WHEN py IS NULL THEN NULL WHEN sign(y - py) = sign(yhat - py) THEN 1.0 ELSE 0.0 END) * 100.0, 6) AS directional_accuracy
 FROM t1 WHERE k <= 30 GROUP BY ALL""")
 def q_bt_backtest(spark, sf):
     p, _, e = _preds_and_ensemble(spark, sf)
@@ -440,12 +439,10 @@ SELECT symbol, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILT
   count(*) FILTER (WHERE split = 'test') AS n_test, {4 * LOOKBACK} AS n_features, {LOOKBACK} AS lookback,
   {HORIZON} AS horizon FROM s GROUP BY symbol""")
 def q_eval_run_summary(spark, sf):
+    from barflow.operators.training import split_counts
     s = ds.split_samples(ds_samples(spark, sf))
-    cnt = lambda v: F.count_if(F.col("split") == v)
-    return s.groupBy("symbol").agg(cnt("train").alias("n_train"), cnt("val").alias("n_val"),
-                                   cnt("test").alias("n_test"),
-                                   F.lit(len(SCALED) * LOOKBACK).alias("n_features"),
-                                   F.lit(LOOKBACK).alias("lookback"), F.lit(HORIZON).alias("horizon"))
+    return split_counts(s).select("symbol", "n_train", "n_val", "n_test", F.lit(len(SCALED) * LOOKBACK).alias("n_features"),
+                                  F.lit(LOOKBACK).alias("lookback"), F.lit(HORIZON).alias("horizon"))
 
 
 FORECAST_STEPS = 5
@@ -493,6 +490,21 @@ def q_sink_silver(spark, sf):
     return read_silver(spark, path)
 
 
+@register("src_plugin_bars", S.with_bars("SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, "
+                                         "round(close, 6) AS close, round(volume, 6) AS volume FROM bars "
+                                         "WHERE symbol IN ('AF', 'RF') AND date >= DATE '1993-03-01' AND date < DATE '1995-10-01'"))
+def q_src_plugin_bars(spark, sf):
+    """Published bars of two symbols and a range of days, through a plug-in fetcher: one partition per symbol and year."""
+    import uuid
+    from barflow.session import ensure_checkpoint_dir
+    from barflow.sources.plugin import SilverFetcher, fetch_bars, register_fetcher
+    from barflow.sources.store import write_silver
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/silver-{uuid.uuid4().hex}"
+    version = write_silver(daily_bars(spark, sf), path)
+    register_fetcher(spark, "barflow_silver", SilverFetcher)
+    return rounded(fetch_bars(spark, "barflow_silver", ["AF", "RF"], "1993-03-01", "1995-10-01", path=f"{path}/{version}"))
+
+
 # --- streaming ------------------------------------------------------------------------------
 
 def _scratch(spark, name):
@@ -550,3 +562,68 @@ def q_ml_importance_sum(spark, sf):
                                           "round(close, 6) AS close, round(volume, 6) AS volume FROM bars"))
 def q_sink_silver_bars(spark, sf):
     return rounded(q_sink_silver(spark, sf).select("symbol", "date", "open", "high", "low", "close", "volume"))
+
+
+# --- walk-forward fits and boosting rounds -------------------------------------------------------
+
+_OOF_SQL = "WITH " + _seq_sql(HORIZON) + f""",
+s AS (SELECT symbol, idx, n_samples, label FROM seq WHERE idx >= 0 AND idx < n_samples),
+f AS (SELECT s.*, k.fold, n_samples - ({ds.N_SPLITS} - k.fold) * (n_samples // {ds.N_SPLITS + 1}) AS start, n_samples // {ds.N_SPLITS + 1} AS size
+      FROM s, (SELECT unnest(range(0, {ds.N_SPLITS})) AS fold) k),
+m AS (SELECT symbol, CAST(fold AS INTEGER) AS fold, count(*) FILTER (WHERE idx < start - {ds.GAP}) AS n_train,
+        max(idx) FILTER (WHERE idx < start - {ds.GAP}) AS last_train, count(*) FILTER (WHERE idx >= start AND idx < start + size) AS n_test,
+        min(idx) FILTER (WHERE idx >= start AND idx < start + size) AS first_test,
+        round(sum(label) FILTER (WHERE idx >= start AND idx < start + size), 4) AS sum_y FROM f GROUP BY ALL)"""
+
+
+@register("ml_walk_forward", _OOF_SQL + """
+SELECT symbol, fold, model, n_train, last_train, n_test, first_test, first_test - last_train - 1 AS gap, sum_y, true AS finite
+FROM m, (VALUES ('rf'), ('linear')) v(model)""")
+def q_ml_walk_forward(spark, sf):
+    """Models fitted per fold from one sample table: what each fit read, the out-of-fold rows it
+    predicted, and the rows between them that neither saw."""
+    from barflow.operators.training import out_of_fold
+    samples = cut_lineage(ds.flatten_window(ds.split_samples(ds_samples(spark, sf))).select(
+        "symbol", "date", "idx", "n_samples", "features", "label"), "samples")
+    preds, seen = out_of_fold(samples, [_specs()[0], _specs()[2]])
+    finite = F.col("yhat").isNotNull() & ~F.isnan("yhat") & (F.abs("yhat") < float("inf"))
+    got = preds.groupBy("symbol", "fold", "model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.min("idx").alias("first_test"), F.round(F.sum("y"), 4).alias("sum_y"),
+        (F.min(finite.cast("int")) == 1).alias("finite"))
+    return got.join(seen, ["symbol", "fold"]).select("symbol", "fold", "model", "n_train", "last_train", "n_test", "first_test",
+                                                     (F.col("first_test") - F.col("last_train") - 1).alias("gap"), "sum_y", "finite")
+
+
+@register("ml_walk_forward_metrics", _OOF_SQL + """
+SELECT symbol, fold, model, n_test AS n, true AS in_range FROM m, (VALUES ('rf'), ('linear')) v(model)""")
+def q_ml_walk_forward_metrics(spark, sf):
+    """Metrics of every fold from its out-of-fold predictions."""
+    from barflow.operators.training import out_of_fold
+    samples = cut_lineage(ds.flatten_window(ds.split_samples(ds_samples(spark, sf))).select(
+        "symbol", "date", "idx", "n_samples", "features", "label"), "samples")
+    preds, _ = out_of_fold(samples, [_specs()[0], _specs()[2]])
+    m = ev.metrics(preds, by=("symbol", "fold", "model"))
+    ok = (F.col("mae") <= F.col("rmse")) & (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-9) & (F.col("r2") <= 1)
+    return m.select("symbol", "fold", "model", "n", F.coalesce(ok, F.lit(False)).alias("in_range"))
+
+
+@register("ml_gbt_rounds", "WITH " + _seq_sql(HORIZON) + f""",
+s AS (SELECT CASE WHEN idx < floor(n_samples * {_T}) THEN 'train' WHEN idx < floor(n_samples * {_TV}) THEN 'val' END AS split
+      FROM seq WHERE idx >= 0 AND idx < n_samples)
+SELECT split, CAST(round AS INTEGER) AS round, count(*) AS n, round = {GBT_QUERY['maxIter']} AS last, true AS agrees
+FROM s, (SELECT unnest(range(1, {GBT_QUERY['maxIter'] + 1})) AS round) WHERE split IS NOT NULL GROUP BY split, round""")
+def q_ml_gbt_rounds(spark, sf):
+    """The error after every boosting round on training and validation samples. ``agrees``: the last
+    round's error is that of the model's own predictions, training errors never rise by a tenth, and all are finite."""
+    from barflow.operators import models as ml
+    s = cut_lineage(ml_samples(spark, sf), "samples")
+    spec = _specs()[1]
+    model = ml.fit(s, spec)
+    rounds = cut_lineage(ml.gbt_rounds(model, s, ("train", "val")), "rounds")
+    own = ev.metrics(ml.predict(model, s, spec.name), by=("split",), split=None).select("split", F.col("rmse").alias("end"))
+    before = F.lag("rmse").over(Window.partitionBy("split").orderBy("round"))  # a split has as many rows as rounds
+    last = F.col("round") == F.max("round").over(Window.partitionBy("split"))
+    d = rounds.join(own, "split").withColumn("last", last).withColumn("before", before)
+    agrees = F.when(F.col("last"), F.abs(F.col("rmse") - F.col("end")) <= 1e-9).otherwise(True)
+    falls = (F.col("split") != "train") | F.col("before").isNull() | (F.col("rmse") <= 1.1 * F.col("before"))
+    return d.select("split", "round", "n", "last", (agrees & falls & (F.abs("rmse") < float("inf"))).alias("agrees"))

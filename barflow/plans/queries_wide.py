@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from barflow.operators import clean as cl
 from barflow.operators import dataset as ds
+from barflow.operators import horizons as hz
 from barflow.operators import models as ml
 from barflow.operators import quality as dq
 from barflow.operators import training as tr
 from barflow.operators.layout import finish
-from barflow.operators.store import guard_min_rows
+from barflow.operators.store import generate_features, guard_min_rows
 from barflow.plans import sql as S
 from barflow.plans.queries import _COMPLETE, daily_bars, flagship_features, r6, register, rounded
 from barflow.session import ensure_checkpoint_dir
+from barflow.sources.store import cut_lineage
 from barflow.sources.ticks import dirty_bars, table
 
 # --- dirty series: every rule has rows that break it ---------------------------------
@@ -176,50 +178,106 @@ def q_train_ensemble(spark, sf):
         (F.col("ok") == 1).alias("ensemble_from_parts"))
 
 
+def _near(a, b):
+    return F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.abs(b), F.lit(1.0)), F.lit(False))
+
+
 @register("sink_model", _COUNTS_SQL + """
-SELECT symbol, model, n_train + n_val + n_test AS n, true AS same FROM t, (VALUES ('rf'), ('linear'), ('ensemble')) v(model)""")
+SELECT symbol, model, n_train + n_val + n_test AS n, true AS same FROM t, (VALUES ('rf'), ('xgb'), ('linear'), ('ensemble')) v(model)""")
 def q_sink_model(spark, sf):
-    """A fitted set of three stored, loaded and applied again: predictions equal those of the run.
-    The boosted model has no row of its own; the ensemble's row also says whether its predictions are equal."""
+    """A whole run (scaler, lag step, three models) stored as one pipeline, loaded, and applied to the raw
+    feature rows: predictions equal those of the run."""
     run = tr.train(daily_bars(spark, sf), RUN_SPECS)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
     tr.save_run(run, path)
-    again = tr.load_run(spark, path).predict(run.samples).select("symbol", "date", "model", F.col("yhat").alias("again"))
+    again = tr.load_run(spark, path).predict(run.rows).select("symbol", "date", "model", F.col("yhat").alias("again"))
     both = run.predictions.join(again, ["symbol", "date", "model"])
-    close = F.abs(F.col("yhat") - F.col("again")) <= 1e-9 * F.greatest(F.abs("yhat"), F.lit(1.0))
-    boosted = F.col("model") == "xgb"
-    return both.groupBy("symbol", F.when(boosted, "ensemble").otherwise(F.col("model")).alias("model")).agg(
-        F.count(F.when(~boosted, 1)).alias("n"), (F.min(close.cast("int")) == 1).alias("same"))
+    return both.groupBy("symbol", "model").agg(F.count(F.lit(1)).alias("n"), (F.min(_near(F.col("again"), F.col("yhat")).cast("int")) == 1).alias("same"))
+
+
+# --- direct forecasts ------------------------------------------------------------------------
+# Every step of a path is predicted by models fitted on samples of all steps (barflow.operators.horizons).
+
+@register("fc_horizon_samples", _WIDE_SQL + f""",
+j AS (SELECT a.symbol, a.date, a.rn, b.rn - a.rn AS step, a.n, b.close_s - a.close_s AS label
+      FROM sc a JOIN sc b ON b.symbol = a.symbol AND b.rn > a.rn AND b.rn <= a.rn + 30),
+p AS (SELECT *, CASE WHEN rn + step < floor(n * {_T}) THEN 'train' WHEN rn >= floor(n * {_T}) AND rn + step < floor(n * {_TV}) THEN 'val'
+        WHEN rn >= floor(n * {_TV}) THEN 'test' END AS split FROM j)
+SELECT symbol, date, CAST(step AS INTEGER) AS step, split, {S.r6('label')} AS label FROM p WHERE split IS NOT NULL""")
+def q_fc_horizon_samples(spark, sf):
+    """The samples of a 30-step direct forecast: every input row with every step, its part and its label."""
+    rows = flagship_features(spark, sf).select("symbol", "date", *COLS)
+    stats = cut_lineage(ds.fit_minmax(ds.renumber(rows), COLS), "scaler")
+    inputs = cut_lineage(hz.horizon_inputs(rows, stats, COLS, "close"), "horizon-inputs")
+    labels = hz.horizon_labels(inputs, 30).join(inputs.select("symbol", "rn", "date"), ["symbol", "rn"])
+    return rounded(labels.select("symbol", "date", "step", "split", "label"))
 
 
 def _forecast(spark, sf, steps):
-    run = tr.train(daily_bars(spark, sf), RUN_SPECS)
+    """Train for all steps, store, load again and forecast."""
+    rows, _ = tr.guarded(daily_bars(spark, sf), generate_features, ds.LOOKBACK, ds.HORIZON)
+    run, _, _ = hz.train_horizons(rows, tr.model_columns(rows), RUN_SPECS, steps=steps)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
-    tr.save_run(run, path)
-    return tr.forecast_tables(tr.load_run(spark, path), run.rows, steps)
+    hz.save_horizons(run, path)
+    again = hz.load_horizons(spark, path)
+    return again, hz.horizon_tables(again, rows)
 
 
 def _forecast_sql(steps: int) -> str:
     return _COUNTS_SQL + f""",
 days AS (SELECT symbol, CAST(unnest(generate_series(last_date + INTERVAL 1 DAY, last_date + INTERVAL {2 * steps + 3} DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM t),
 s AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) AS step FROM days WHERE isodow(date) < 6)
-SELECT symbol, CAST(step AS INTEGER) AS step, date, true AS bounded, true AS finite FROM s WHERE step <= {steps}"""
+SELECT symbol, CAST(step AS INTEGER) AS step, date, true AS bounded, true AS finite, 3 AS n_models, true AS weighted, true AS spread,
+  true AS bent FROM s WHERE step <= {steps}"""
 
 
 @register("fc_future_90", _forecast_sql(90))
 def q_fc_future_90(spark, sf):
-    """Trained models -> 90-step path with bounds and change, as one chain."""
-    p = _forecast(spark, sf, 90)["path"]
+    """Trained models -> 90-step path with bounds and change, as one chain. ``weighted`` and
+    ``spread``: the path's price and deviation follow from the models' own prices for that step;
+    ``bent``: the symbol's path is no straight line."""
+    fitted, t = _forecast(spark, sf, 90)
+    p = t["path"]
+    own = t["parts"].where("model <> 'ensemble'").join(fitted.weights.select("symbol", "model", "weight"), ["symbol", "model"]) \
+        .groupBy("symbol", "step").agg(
+            F.count(F.lit(1)).cast("int").alias("n_models"), F.sum(F.col("weight") * F.col("prediction")).alias("sum"),
+            F.sqrt(F.avg(F.col("prediction") * F.col("prediction")) - F.avg("prediction") * F.avg("prediction")).alias("sd"))
+    pace = p.join(t["last"].withColumnRenamed("last_known_price", "last"), "symbol") \
+            .select("symbol", ((F.col("prediction") - F.col("last")) / F.col("step")).alias("pace"), "last") \
+            .groupBy("symbol").agg((F.stddev_pop("pace") > 1e-6 * F.max("last")).alias("bent"))
     bounded = (F.col("lower") <= F.col("prediction")) & (F.col("prediction") <= F.col("upper"))
-    return p.select("symbol", "step", "date", bounded.alias("bounded"),
-                    (F.col("change_pct").isNotNull() & F.col("std").isNotNull()).alias("finite"))
+    return p.join(own, ["symbol", "step"]).join(pace, "symbol").select(
+        "symbol", "step", "date", bounded.alias("bounded"), (F.col("change_pct").isNotNull() & F.col("std").isNotNull()).alias("finite"),
+        "n_models", _near(F.col("prediction"), F.col("sum")).alias("weighted"),
+        (F.abs(F.col("std") - F.coalesce(F.col("sd"), F.lit(0.0))) <= 1e-6 * F.col("prediction")).alias("spread"), "bent")
+
+
+@register("fc_horizon_evaluation", _WIDE_SQL + """,
+h AS (SELECT a.symbol, a.rn, CAST(k.step AS INTEGER) AS step, a.n FROM sc a, (SELECT unnest(range(1, 11)) AS step) k WHERE a.rn + k.step < a.n)
+SELECT step, count(*) AS n, true AS in_range, true AS covered FROM h WHERE rn >= floor(n * """ + _TV + """) GROUP BY step""")
+def q_fc_horizon_evaluation(spark, sf):
+    """Errors of ten direct steps on held-out samples, and the share of closes inside the interval of
+    the models' spread. ``in_range``: the errors agree with each other; ``covered``: a share."""
+    rows = flagship_features(spark, sf).select("symbol", "date", *COLS)
+    run, inputs, labels = hz.train_horizons(rows, COLS, RUN_SPECS, steps=10)
+    e = hz.horizon_evaluation(run, inputs, labels)
+    ok = (F.col("mae") <= F.col("rmse")) & (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) <= 1e-6 * F.col("mse")) & (F.col("r2") <= 1)
+    return e.select("step", "n", F.coalesce(ok, F.lit(False)).alias("in_range"), F.col("coverage").between(0.0, 1.0).alias("covered"))
 
 
 @register("fc_future_recommendation", _COUNTS_SQL + """
-SELECT symbol, 30 AS n_steps, true AS known_action, true AS has_reason FROM t""")
+SELECT symbol, 30 AS n_steps, true AS action_follows, true AS confidence_follows, true AS level_follows, true AS has_reason FROM t""")
 def q_fc_future_recommendation(spark, sf):
-    """Trained models -> 30-step path -> summary -> recommendation with its reason."""
-    t = _forecast(spark, sf, 30)
-    rec = t["recommendation"].join(t["summary"].select("symbol", "n_steps"), "symbol")
-    return rec.select("symbol", F.col("n_steps").cast("int").alias("n_steps"), F.col("action").isin("BUY", "SELL", "HOLD").alias("known_action"),
-                      F.col("reason").contains("over 30 steps").alias("has_reason"))
+    """Trained models -> 30-step path -> summary -> recommendation. Action, confidence and level are
+    worked out once more from the rows of the path and its parts, and must be equal."""
+    _, t = _forecast(spark, sf, 30)
+    end = t["parts"].where("step = 30").join(t["last"], "symbol").withColumn("move", F.col("prediction") - F.col("last_known_price"))
+    whole = end.where("model = 'ensemble'").select("symbol", F.col("move").alias("main"), (100 * F.col("move") / F.col("last_known_price")).alias("pct"))
+    share = end.where("model <> 'ensemble'").join(whole.select("symbol", "main"), "symbol").groupBy("symbol") \
+               .agg((F.count_if(F.signum("move") == F.signum("main")) / F.count(F.lit(1))).alias("share"))
+    rec = t["recommendation"].join(t["summary"].select("symbol", "n_steps"), "symbol").join(whole, "symbol").join(share, "symbol")
+    action = F.when(F.col("pct") > 2, "BUY").when(F.col("pct") < -2, "SELL").otherwise("HOLD")
+    level = F.when(F.col("share") == 1, "High").when(F.col("share") >= 0.5, "Medium").otherwise("Low")
+    return rec.select("symbol", F.col("n_steps").cast("int").alias("n_steps"), (F.col("action") == action).alias("action_follows"),
+                      _near(F.col("confidence"), F.col("share")).alias("confidence_follows"),
+                      (F.col("confidence_level") == level).alias("level_follows"), F.col("reason").contains("over 30 steps").alias("has_reason"))

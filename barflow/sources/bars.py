@@ -27,6 +27,14 @@ _UNITS = {"1d": "day", "day": "day", "1h": "hour", "hour": "hour",
           "1mo": "month", "month": "month"}
 
 
+def no_nan(df: DataFrame) -> DataFrame:
+    """Missing values are NULL, never NaN: every floating-point NaN becomes NULL."""
+    kinds = (T.DoubleType, T.FloatType)
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, kinds)}
+    own = lambda c: F.col(f"`{c}`")
+    return df.select(*[F.when(~F.isnan(own(c)), own(c)).alias(c) if c in floats else own(c) for c in df.columns])
+
+
 def bar_time(ts: Column, interval: str) -> Column:
     """Bar start for an interval; daily and longer bars are DATEs."""
     unit = _UNITS[interval]
@@ -69,6 +77,7 @@ def bars_from_ticks(ticks: DataFrame, interval: str = "1d", order: str = "date",
     if end is not None:
         t = t.where(F.col("ts") < F.lit(str(end)).cast(ts_type))
     seq = F.col("seq") if "seq" in t.columns else None
+    t = no_nan(t)
     t = t.select("symbol", bar_time(F.col("ts"), interval).alias(order), "price", "size", order_key(F.col("ts"), seq).alias("_o"))
     return (t.groupBy("symbol", order)
              .agg(F.min_by("price", "_o").alias("open"), F.max("price").alias("high"),
@@ -94,7 +103,7 @@ def select_bars(bars: DataFrame, symbols: list[str] | None = None,
         cond = cond & (F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         cond = cond & (F.col("date") < F.lit(end).cast("date"))
-    return bars.where(cond).select(*BAR_COLUMNS)
+    return no_nan(bars.where(cond).select(*BAR_COLUMNS))
 
 
 def lookback(bars: DataFrame, days: int, order: str = "date") -> DataFrame:

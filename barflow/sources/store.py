@@ -11,17 +11,71 @@ from pyspark.sql import functions as F
 from barflow.session import ensure_checkpoint_dir
 
 
-def write_silver(df: DataFrame, path: str, key: str = "symbol", order: str = "date") -> None:
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Name ``version`` as the current one, by renaming a finished file over the old one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    staged, fs = _fs(spark, f"{path}/_next-{version}")
+    out = fs.create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    context.rename(fs.makeQualified(staged), fs.makeQualified(_fs(spark, f"{path}/_current")[0]), options)
+
+
+def silver_versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the versions at hand, oldest first (names begin with a running number)."""
+    p, fs = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if n.startswith("v"))
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    p, fs = _fs(spark, f"{path}/_current")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_silver(df: DataFrame, path: str, key: str = "symbol", order: str = "date") -> str:
     """Write cleaned bars partitioned by symbol, sorted by date inside files.
 
     The write is repartitioned by ``(key, year)`` so a hot symbol is spread
-    over several writers."""
+    over several writers. It goes to a folder of its own; only when that is
+    complete is it named the current version, by one rename. A reader sees the old
+    table until then, also if the write fails, and may go on reading it
+    until the version after the next is published. Returns the version's name."""
+    spark = df.sparkSession
+    known = silver_versions(spark, path)
+    number = int(known[-1][1:13]) + 1 if known else 1
+    version = f"v{number:012d}-{uuid.uuid4().hex[:8]}"
     (df.repartition(key, F.year(order)).sortWithinPartitions(key, order)
-       .write.mode("overwrite").partitionBy(key).parquet(path))
+       .write.partitionBy(key).parquet(f"{path}/{version}"))
+    before = current_version(spark, path)
+    _publish(spark, path, version)
+    # What failed writes have left, and versions that no reader began with any more.
+    for old in known:
+        if old != before:
+            remove(spark, f"{path}/{old}")
+    return version
 
 
 def read_silver(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """The current version; an error if nothing has been published."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no table has been published at {path}")
+    df = spark.read.parquet(f"{path}/{version}")
     return df if symbols is None else df.where(F.col("symbol").isin(symbols))
 
 

@@ -64,50 +64,69 @@ def run_live_bars(spark: SparkSession, folder: str, out: str, checkpoint: str,
     return spark.read.schema(BARS_OUT).parquet(out)
 
 
-def run_latest_quotes(spark: SparkSession, folder: str, out: str, checkpoint: str,
-                      available_now: bool = True) -> DataFrame | StreamingQuery:
-    """Latest quote per symbol, kept up to date.
+#: Batches of changes after which they are merged into one table.
+COMPACT_EVERY = 10
+
 
-    The streaming aggregate's state holds one row per symbol, and every batch
-    writes all of it (complete mode) to a folder of its own; no batch reads or
-    overwrites an earlier table, so a crash leaves the last complete one and a
-    lost table is rebuilt by the next batch. Folders before the last complete
-    one are removed. Returns the table, or the query's handle if it runs on."""
-    ticks = tick_stream(spark, folder)
+def latest_quotes(ticks: DataFrame) -> DataFrame:
     order = F.struct("ts", "seq")
-    quotes = ticks.groupBy("symbol").agg(
+    return ticks.groupBy("symbol").agg(
         F.max("ts").alias("last_ts"), F.max_by("price", order).alias("current_price"),
-        F.count(F.lit(1)).alias("n_ticks"))
+        F.count(F.lit(1)).alias("n_ticks")).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        done = complete_batches(spark, out)
-        (batch.select("symbol", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "current_price", "n_ticks")
-              .write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
-        for old in [b for b in done if b < batch_id][:-1]:
-            remove(spark, f"{out}/batch={old}")
 
-    q = quotes.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint)
+def run_latest_quotes(spark: SparkSession, folder: str, out: str, checkpoint: str,
+                      available_now: bool = True, compact_every: int = COMPACT_EVERY) -> DataFrame | StreamingQuery:
+    """Latest quote per symbol, kept up to date.
+
+    The streaming aggregate's state holds one row per symbol, and a batch writes only the
+    symbols that it changed (update mode), whole rows, to a folder of its own named by the
+    batch's number; a batch that is run again writes the same folder. The table is
+    each symbol's row of the latest batch. Every ``compact_every`` batches the changes are
+    merged into one folder, and the older ones are removed once that is complete. If the
+    folders are lost, the next batch writes all symbols anew from the tick files.
+    Returns the table, or the query's handle if it runs on."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        lost = batch_id > 0 and not stored_batches(spark, out)
+        batch.select("symbol", "last_ts", "current_price", "n_ticks").write.mode("overwrite").parquet(f"{out}/delta={batch_id}")
+        if lost:  # whole rows of all symbols; later batches overwrite what they change
+            ticks = spark.read.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet").parquet(folder)
+            latest_quotes(event_ticks(ticks).withColumn("ts", F.col("ts").cast("timestamp"))) \
+                .write.mode("overwrite").parquet(f"{out}/base={batch_id}")
+        have = stored_batches(spark, out)
+        base = max((i for k, i in have if k == "base"), default=-1)
+        if sum(k == "delta" and i > base for k, i in have) >= compact_every:
+            read_quotes(spark, out).write.mode("overwrite").parquet(f"{out}/base={batch_id}")
+            for k, i in have:  # a batch folder of the same number is part of the new base
+                remove(spark, f"{out}/{k}={i}")
+
+    q = latest_quotes(tick_stream(spark, folder)).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     if not available_now:
         return q.trigger(processingTime="10 seconds").start()
     q.trigger(availableNow=True).start().awaitTermination()
     return read_quotes(spark, out)
 
 
-def complete_batches(spark: SparkSession, out: str) -> list[int]:
-    """Batches whose table was written to the end, oldest first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+def stored_batches(spark: SparkSession, out: str) -> list[tuple[str, int]]:
+    """``(kind, batch)`` of the folders that were written to the end, by batch."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = make(out)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    ids = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return [i for i in ids if fs.exists(make(f"{out}/batch={i}/_SUCCESS"))]
+    names = [s.getPath().getName().split("=") for s in fs.listStatus(path)]
+    found = [(n[0], int(n[1])) for n in names if len(n) == 2 and n[0] in ("base", "delta")]
+    return sorted((x for x in found if fs.exists(make(f"{out}/{x[0]}={x[1]}/_SUCCESS"))), key=lambda x: (x[1], x[0]))
 
 
 def read_quotes(spark: SparkSession, out: str) -> DataFrame:
-    """The quote table of the last complete batch; empty before the first."""
-    done = complete_batches(spark, out)
-    if not done:
-        return spark.createDataFrame([], QUOTES_OUT)
-    return spark.read.schema(QUOTES_OUT).parquet(f"{out}/batch={done[-1]}")
+    """The quote table: of every symbol the row of the latest batch; empty before the first."""
+    have = stored_batches(spark, out)
+    base = max((i for k, i in have if k == "base"), default=-1)
+    rows = spark.createDataFrame([], QUOTES_OUT).withColumn("batch", F.lit(0).cast("long"))
+    for kind, i in have:
+        if i > base or (kind, i) == ("base", base):
+            rows = rows.unionByName(spark.read.schema(QUOTES_OUT).parquet(f"{out}/{kind}={i}").withColumn("batch", F.lit(i).cast("long")))
+    own = F.struct("last_ts", "current_price", "n_ticks")
+    return rows.groupBy("symbol").agg(F.max_by(own, "batch").alias("q")).select("symbol", "q.*")

@@ -35,6 +35,16 @@ def test_quality_rules(spark):
     assert rep["big_moves"] == 2 and rep["date_gaps"] == 1 and not rep["passed"]
 
 
+def test_repeated_dates_are_compared_in_arrival_order(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [("Q", day, 10.0, 1), ("Q", day, 30.0, 3), ("Q", day, 12.0, 2), ("Q", day + dt.timedelta(1), 29.0, 4), ("Q", day + dt.timedelta(12), float("nan"), 5)]
+    df = spark.createDataFrame(rows, "symbol string, date date, close double, arrival long")
+    df = df.select("symbol", "date", *[F.col("close").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"), "arrival")
+    for d in (df, df.orderBy(F.desc("arrival")), df.repartition(3)):
+        r = dq.quality_report(d).first()
+        assert (r.rows, r.big_moves, r.date_gaps, r.max_null_share, r.too_many_nulls) == (5, 1, 1, 0.2, True)  # 10, 12, 30, 29
+
+
 def test_missing_columns_no_job(spark):
     df = spark.createDataFrame([(1.0,)], "close double")
     assert dq.missing_columns(df) == ["open", "high", "low", "volume"]

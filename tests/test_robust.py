@@ -66,13 +66,13 @@ def test_constant_labels_give_no_score(spark):
     assert ml.history(p).first().r2 is None
 
 
-@pytest.mark.parametrize(("buckets", "most"), [(1024, 100_000), (4, 3), (2, 1)])
-def test_median_is_exact_in_any_split(spark, buckets, most):
+@pytest.mark.parametrize(("accuracy", "grid"), [(10_000, 200), (40, 20), (8, 4)])
+def test_median_is_exact_in_any_split(spark, accuracy, grid):
     r = np.random.default_rng(3)
     rows = [("A", float(v)) for v in r.integers(0, 40, 201)] + [("B", float(v)) for v in r.lognormal(0, 4, 100)]
     rows += [("C", 5.0)] * 30 + [("D", None)] * 3 + [("D", 7.5)] + [("E", None)] + [(None, 1.0)] + [("F", -1.0), ("F", 2.0)]
     d = spark.createDataFrame(rows, "symbol string, volume double")
-    got = {r.symbol: r["median"] for r in cl.exact_median(d, "volume", buckets=buckets, most=most).collect()}
+    got = {r.symbol: r["median"] for r in cl.exact_median(d, "volume", accuracy=accuracy, grid=grid).collect()}
     exp = {s: float(np.median([v for k, v in rows if k == s and v is not None])) for s in "ABCDF"}
     assert got == pytest.approx(exp)
 
@@ -85,7 +85,7 @@ def test_ticks_become_bars_by_hash_aggregation(spark):
 
 
 def test_quotes_survive_a_lost_table(spark):
-    from barflow.streaming.bars import complete_batches, read_quotes, run_latest_quotes
+    from barflow.streaming.bars import read_quotes, run_latest_quotes, stored_batches
     ticks = tempfile.mkdtemp(prefix="barflow-ticks-")
     base = tempfile.mkdtemp(prefix="barflow-quotes-")
     out, ck = f"{base}/out", f"{base}/ck"
@@ -104,4 +104,12 @@ def test_quotes_survive_a_lost_table(spark):
     put("2", [(3, "2024-01-02 00:00:00", 1, "A", 3.0, ""), (4, "2024-01-02 00:00:00", 1, "A", 4.0, "")])
     got = {r.symbol: (r.current_price, r.n_ticks) for r in run_latest_quotes(spark, ticks, out, ck).collect()}
     assert got == {"A": (4.0, 3), "B": (2.0, 1)}
-    assert len(complete_batches(spark, out)) <= 2
+    # Only what changed is written from now on, also after a restart, and merged in time.
+    put("3", [(5, "2024-01-03 00:00:00", 1, "C", 7.0, "")])
+    assert run_latest_quotes(spark, ticks, out, ck).count() == 3
+    kind, last = stored_batches(spark, out)[-1]
+    assert kind == "delta" and {r.symbol for r in spark.read.parquet(f"{out}/{kind}={last}").collect()} == {"C"}
+    put("4", [(6, "2024-01-04 00:00:00", 1, "A", 9.0, "")])
+    table = run_latest_quotes(spark, ticks, out, ck, compact_every=2)
+    assert {r.symbol: (r.current_price, r.n_ticks) for r in table.collect()} == {"A": (9.0, 4), "B": (2.0, 1), "C": (7.0, 1)}
+    assert [k for k, _ in stored_batches(spark, out)] == ["base"]

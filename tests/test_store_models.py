@@ -65,6 +65,9 @@ def test_training_queries_fit_all_three_models(monkeypatch, name):
         raise Stop
 
     monkeypatch.setattr(qw, "daily_bars", lambda spark, sf: None)
+    monkeypatch.setattr(qw.tr, "guarded", lambda *args: (None, None))
+    monkeypatch.setattr(qw.tr, "model_columns", lambda rows: [])
     monkeypatch.setattr(qw.tr, "train", train)
+    monkeypatch.setattr(qw.hz, "train_horizons", lambda rows, columns, specs, **kwargs: train(rows, specs))
     with pytest.raises(Stop):
         catalog.registry()[name][0](None, "")

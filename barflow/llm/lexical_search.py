@@ -9,8 +9,8 @@ queries matter, so vectors and lengths are those of the subspace they span.
 1. Queries are taken in blocks of bounded size. One pass over the texts counts the
    block's terms in every document and writes these vectors.
 2. ``N``, ``L`` and the terms' document counts are summed over all documents.
-3. The vectors are ordered by length (range partitions, longest first; equal lengths
-   are split by row number) and written.
+3. The vectors are dealt by row number, ordered by length in each partition (longest
+   first) and written, so that every task has long and short ones.
 4. The longest vectors are searched first. Their k-th best scores are the thresholds with
    which all others are searched. Within a task vectors come in buckets: one whose
    greatest length times the query's length stays below the threshold is passed over
@@ -235,7 +235,7 @@ def _search_block(docs: DataFrame, texts: list[bytes], k: int) -> DataFrame:
                                               _lists(x, sizes)], names=["uid", "doc_id", "norm", "terms", "impacts"])
 
     longest = [F.desc("norm"), F.asc("uid")]
-    vectors = cut(counted.mapInArrow(impacts, VECTORS).where("norm > 0").repartitionByRange(*longest)
+    vectors = cut(counted.mapInArrow(impacts, VECTORS).where("norm > 0").repartition("uid")
                   .sortWithinPartitions(*longest), "impact-vectors")
     bound = (vectors.approxQuantile("norm", [1 - FIRST_SHARE], 0.005) or [0.0])[0]
     none = sc.broadcast([0] * len(texts))

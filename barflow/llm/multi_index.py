@@ -236,7 +236,9 @@ class MultiIndex:
                     pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
                     names=["q", "vec", "shard", "cells"])
 
-        asked = cut(distinct.select("q", "vec").mapInArrow(traverse, "q bigint, vec array<double>, shard bigint, cells array<bigint>"),
+        # The vectors lie in one small file or a few; a number of partitions of its own spreads the traversal.
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        asked = cut(distinct.select("q", "vec").repartition(spread, "q").mapInArrow(traverse, "q bigint, vec array<double>, shard bigint, cells array<bigint>"),
                     "visits")
         blocks = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
         asked = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")))

@@ -32,6 +32,8 @@ from barflow.llm.common import cut, ship, text_or_empty
 from barflow.llm.packing import steps
 
 FIT_DOCS = 20_000
+#: Partitions of those rows; each gives one vector of gradients a round.
+FIT_PARTS = 8
 #: Hash buckets of the scorer, rounds and step of its fit, and the weight of its ridge penalty.
 BUCKETS, ROUNDS, STEP, RIDGE = 1 << 14, 30, 2.0, 1e-5
 #: The bucket of words that repeat the word before them.
@@ -192,7 +194,9 @@ def fit_scorer(docs: DataFrame, posterior: dict[int, float], rows: int, id_col:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int64())), pa.array(val, pa.list_(pa.float64())),
                                               pa.array(target, pa.float64())], names=["at", "val", "target"])
 
-    fit = cut(_texts(docs, id_col, text_col).mapInArrow(sample, "at array<bigint>, val array<double>, target double"), "fit")
+    # About FIT_DOCS rows at any size of the corpus, so a few partitions hold them.
+    fit = cut(_texts(docs, id_col, text_col).mapInArrow(sample, "at array<bigint>, val array<double>, target double")
+              .repartition(FIT_PARTS), "fit")
     n = max(1, fit.count())
     weights, seen = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-12)
     for _ in range(ROUNDS):
@@ -209,7 +213,7 @@ def fit_scorer(docs: DataFrame, posterior: dict[int, float], rows: int, id_col:
                 g[-1] += off.sum()
             yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
 
-        parts = fit.mapInArrow(gradient, "g binary").toLocalIterator()  # one vector of weights per partition
+        parts = fit.mapInArrow(gradient, "g binary").collect()  # one job a round; FIT_PARTS vectors or a few more
         g = sum((np.frombuffer(r[0]) for r in parts), np.zeros(BUCKETS + 1)) / n + RIDGE * weights
         seen += g * g
         weights = weights - STEP * g / np.sqrt(seen)

@@ -161,8 +161,71 @@ def test_best_two_fit_trades_the_smallest_for_two():
     assert bins.tolist() == [0, 1, 0, 0] or bins.max() == 1
 
 
+def plain_best_two_fit(lengths, capacity):
+    """Greedy filling by falling length into the bin that fits best; then each bin's smallest piece gives way
+    to two unpacked ones that fill its gap better. Returns the number of bins."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        own, gap = [left.pop(0)], 0
+        gap = capacity - own[0]
+        while True:
+            fits = next((i for i, x in enumerate(left) if x <= gap), None)
+            if fits is None:
+                break
+            own.append(left.pop(fits))
+            gap -= own[-1]
+        if len(own) > 1 and gap:
+            room, best = own[-1] + gap, (own[-1], None)
+            for i, x in enumerate(left):
+                j = next((j for j in range(i + 1, len(left)) if left[j] <= room - x), None)
+                if j is not None and x + left[j] > best[0]:
+                    best = (x + left[j], (i, j))
+            if best[1]:
+                i, j = best[1]
+                small = own.pop()
+                own += [left[i], left[j]]
+                del left[j], left[i]
+                left = sorted([*left, small], reverse=True)
+        bins += 1
+    return bins
+
+
+def test_packing_query_gives_the_contract_and_packs_like_a_plain_version(spark, tmp_path):
+    from barflow.llm import queries as Q
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randint(0, 99)}" for _ in range(int(r.paretovariate(0.8) * 40) % 2500)), "en", "a", 1) for i in range(250)]
+    rows += [(5000, None, None, None, None), (5001, "", "en", "a", 0), (5002, "long one " * 4000, "en", "a", 1)]
+    H.clashing(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.op2_best_two_fit(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(tokenizer_path(WORDS))
+    exp, lengths = {}, []
+    for doc_id, text, *_ in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            own = np.array(ids[k:k + 2048], dtype="<u4")
+            exp[doc_id, k // 2048] = (k, len(own), zlib.crc32(own.tobytes()))
+            lengths.append(len(own))
+    assert {(x.doc_id, x.piece): (x.start, x.length, x.ids_crc32) for x in got} == exp and len(got) == len(exp)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x.sequence_id].append((x.offset, x.length))
+    for own in by.values():
+        assert [o for o, _ in sorted(own)] == np.cumsum([0, *[n for _, n in sorted(own)]])[:-1].tolist() and sum(n for _, n in own) <= 2048
+    assert len(by) <= plain_best_two_fit(lengths, 2048) + 1
+
+
 # token counts ----------------------------------------------------------------
 
+def test_token_query_marks_long_documents(spark, tmp_path):
+    from barflow.llm import queries as Q
+    library = Tokenizer.from_file(tokenizer_path(BYTES))
+    texts = [" a" * n for n in (0, 1, 1023, 1024, 1025, 3000)] + [None, "é" * 700]
+    H.clashing(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_bytes, x.n_tokens, x.over_limit) for x in Q.op4_token_counts(spark, str(tmp_path)).collect()}
+    n = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert n[3:5] == [1024, 1025] and got == {i: (len((t or "").encode()), k, k > 1024) for i, (t, k) in enumerate(zip(texts, n, strict=True))}
+
+
 @pytest.mark.parametrize("hot", [0, 3, 1 << 17])
 def test_token_counts_equal_the_library(spark, hot):
     texts = odd_texts(1500)

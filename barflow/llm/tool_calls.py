@@ -118,12 +118,20 @@ def _properties(value: Column) -> Column:
     return F.map_from_entries(out)
 
 
-def argument_errors(arguments: Column, spec: Column) -> Column:
-    """Sorted errors of JSON ``arguments`` against ``spec``, an array of (name, type, required, allowed, minimum, maximum)."""
-    value = F.try_parse_json(arguments)
+def with_argument_errors(calls: DataFrame) -> DataFrame:
+    """Add ``errors``: what is wrong with the JSON in ``arguments`` by ``spec``, an array of (name, type,
+    required, allowed, minimum, maximum). The parsed value, its properties and their types are columns
+    of their own, so that each text is parsed once."""
+    d = calls.withColumn("_value", F.try_parse_json("arguments"))
+    d = d.withColumn("_found", _properties(F.col("_value")))
+    d = d.withColumn("_types", F.transform_values("_found", lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))))
+    own = argument_errors(F.col("spec"), F.col("_value"), F.col("_found"), F.col("_types"))
+    return d.withColumn("errors", own).drop("_value", "_found", "_types")
+
+
+def argument_errors(spec: Column, value: Column, found: Column, types: Column) -> Column:
+    """Sorted errors of a parsed ``value`` with its properties ``found`` and their ``types``."""
     shape = F.schema_of_variant(value)
-    found = _properties(value)
-    types = F.transform_values(found, lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
     keys = F.map_keys(types)
     parent = lambda name: F.when(F.instr(name, ".") > 0, F.regexp_replace(name, r"\.[^.]*$", ""))
 
@@ -182,7 +190,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     linked = c.join(d, "uid").join(spec, "tool", "left").join(once, ["conv_id", "call_id"], "left")
     graph = F.concat(F.when(F.col("on_cycle"), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")),
                      F.when(F.col("unknown_after"), F.array(F.lit("unknown after"))).otherwise(F.array().cast("array<string>")))
-    linked = linked.withColumn("errors", F.concat(argument_errors(F.col("arguments"), F.col("spec")), graph))
+    linked = with_argument_errors(linked).withColumn("errors", F.concat("errors", graph))
     value = F.try_parse_json("arguments")
     # Fields in the order of their names; a NULL field is left out.
     message = F.to_json(F.struct(

@@ -109,7 +109,7 @@ def apply_smoothers(df: DataFrame, smoothers: list[Smoother], key: str = KEY,
                   .otherwise(F.lit(0.0)))
             terms.append((w * F.pow(F.lit(s.q), -k.cast("double"))).alias(f"_t_{s.name}"))
             locs.append((F.pow(F.lit(s.q), k.cast("double")) * F.sum(f"_t_{s.name}").over(inner)).alias(f"_l_{s.name}"))
-        d = written(df.select("*", *terms).select("*", *locs).drop(*[f"_t_{s.name}" for s in group]), layout, "scan")
+        d = df.select("*", *terms).select("*", *locs).drop(*[f"_t_{s.name}" for s in group])
 
         # End values of the sub-blocks, folded, as the carry into the next sub-block.
         ends = d.where(~F.col("halo") & (k == rows - 1)).select(
@@ -133,6 +133,7 @@ def apply_smoothers(df: DataFrame, smoothers: list[Smoother], key: str = KEY,
         carry = carry.withColumn("blk", F.floor(F.col("_s") / per_block).cast("long")) \
                      .groupBy(key, "blk").agg(F.map_from_entries(F.collect_list(F.struct(
                          "_s", F.struct(*[f"_e_{s.name}" for s in group])))).alias("_carry"))
+        carry = written(carry, layout, "scan")
         d = d.join(carry, [key, "blk"], "left")
         outs = []
         for s in group:

@@ -1,4 +1,4 @@
-"""Trailing windows of any length at a cost of ``log2(n)`` lags a row.
+"""Trailing windows of any length at a cost of a few lags a row and power of ``STEP``.
 
 Spark sums a sliding frame afresh for every row, so its cost grows with the
 frame. Here a value over ``2 * k`` rows is made of two values over ``k`` rows,
@@ -11,8 +11,9 @@ the one of this row and the one ``k`` rows before:
 ``Q`` is the sum of squared deviations from the window's own mean, so a flat
 window has exactly 0 and nothing is subtracted that could lose digits. A window
 of ``n`` rows is the sum of its binary parts; a minimum covers it with two
-overlapping ones. All columns double in the same ``Window`` step (one
-partitioning and ordering), and all lengths share the steps.
+overlapping ones. One ``Window`` step fetches the values ``k, 2 * k, ...`` rows
+before, and three doublings are made of them, for all columns and lengths at
+once: a row costs far more in a step than its lags do.
 
 A NULL within the window, or too few rows, give NULL.
 """
@@ -20,12 +21,17 @@ A NULL within the window, or too few rows, give NULL.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.frames import KEY, lag
 
+#: Rows of one step in rows of the step before: three doublings.
+STEP = 8
+
 #: Basic quantities that a window function is made of.
 _PARTS = {"sum": ("sum",), "avg": ("sum",), "min": ("min",), "max": ("max",),
           "stddev_pop": ("sum", "squares"), "stddev_samp": ("sum", "squares")}
@@ -69,14 +75,23 @@ def _value(part: str, col: str, k: int) -> Column:
     return F.when(x.isNotNull(), F.lit(0.0)) if part == "squares" else x
 
 
-def _doubled(part: str, col: str, k: int, key: str) -> Column:
-    a, b = _value(part, col, k), lag(_value(part, col, k), k, key)
-    if part == "sum":
-        return a + b
+def _lagged(part: str, col: str, k: int, i: int) -> str:
+    return f"_l_{part}_{col}_{k}_{i}"
+
+
+def _over(part: str, col: str, k: int, m: int, i: int = 0) -> Column:
+    """The quantity over ``m * k`` rows that end ``i * k`` rows before, by doublings of lagged values over ``k`` rows."""
+    if m == 1:
+        return F.col(_lagged(part, col, k, i)) if i else _value(part, col, k)
+    if part in ("min", "max"):
+        parts = [_over(part, col, k, 1, i + j) for j in range(m)]
+        return F.when(reduce(and_, [x.isNotNull() for x in parts]), (F.least if part == "min" else F.greatest)(*parts))
+    half = m // 2
+    a, b = _over(part, col, k, half, i), _over(part, col, k, half, i + half)
     if part == "squares":
-        s, t = _value("sum", col, k), lag(_value("sum", col, k), k, key)
-        return a + b + (s - t) * (s - t) / (2.0 * k)
-    return F.when(a.isNotNull() & b.isNotNull(), (F.least if part == "min" else F.greatest)(a, b))
+        apart = _over("sum", col, k, half, i) - _over("sum", col, k, half, i + half)
+        return a + b + apart * apart / float(m * k)
+    return a + b
 
 
 def _whole(t: Trailing, key: str) -> Column:
@@ -116,10 +131,12 @@ def with_trailing(df: DataFrame, windows: list[Trailing], key: str = KEY) -> Dat
             longest[part, t.col] = max(longest.get((part, t.col), 1), 1 << (t.n.bit_length() - 1))
     made, k = [], 1
     while True:
-        step = [(part, col) for (part, col), most in longest.items() if 2 * k <= most]
+        step = [(part, col, min(STEP, most // k)) for (part, col), most in longest.items() if 2 * k <= most]
         if not step:
             break
-        df = df.select("*", *[_doubled(part, col, k, key).alias(_name(part, col, 2 * k)) for part, col in step])
-        made += [_name(part, col, 2 * k) for part, col in step]
-        k *= 2
+        lags = {_lagged(part, col, k, i): lag(_value(part, col, k), i * k, key) for part, col, times in step for i in range(1, times)}
+        own = {_name(part, col, m * k): _over(part, col, k, m) for part, col, times in step for m in (2, 4, 8) if m <= times}
+        df = df.select("*", *[x.alias(n) for n, x in lags.items()]).select("*", *[x.alias(n) for n, x in own.items()]).drop(*lags)
+        made += own
+        k *= STEP
     return df.select("*", *[_whole(t, key).alias(t.name) for t in windows]).drop(*made)

@@ -47,9 +47,10 @@ class Layout:
     block_rows: int = BLOCK_ROWS
     halo_rows: int = HALO_ROWS
     sub_rows: int = SUB_ROWS
-    #: Write rows to the shared checkpoint folder before a second pass reads them
-    #: (counts then numbers, block ends then carries), so that plans stay linear
-    #: and no pass is computed twice.
+    #: Write what several passes read to the shared checkpoint folder, so that plans
+    #: stay linear: the rows before and after numbering, and the small tables of block
+    #: ends and carries. The wide rows in between are not written: a pass over block ends
+    #: computes the few columns that it needs, which costs less than writing all of them.
     materialize: bool = True
 
     def __post_init__(self):
@@ -137,7 +138,7 @@ def layout_series(df: DataFrame, key: str = KEY, order: str = "date",
                   layout: Layout = DEFAULT_LAYOUT, bucket: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``number_rows`` then ``block_layout`` (skips numbering if ``rn`` and ``n_rows`` exist)."""
     if "rn" not in df.columns or "n_rows" not in df.columns:
-        df = number_rows(written(df.drop("rn"), layout, "series"), key, order, bucket, ties)
+        df = written(number_rows(written(df.drop("rn"), layout, "series"), key, order, bucket, ties), layout, "numbered")
     return block_layout(df, layout)
 
 
@@ -179,7 +180,7 @@ def with_running(df: DataFrame, specs: dict[str, tuple[str, Column]],
         if kind not in _KINDS:
             raise ValueError(f"unknown running kind {kind!r}")
     b, h = layout.block_rows, layout.halo_rows
-    d = written(df.select("*", *[e.alias(f"_x_{n}") for n, (_, e) in specs.items()]), layout, "running")
+    d = df.select("*", *[e.alias(f"_x_{n}") for n, (_, e) in specs.items()])
     own = d.where(~F.col("halo"))
     in_head = (F.col("rn") - F.col("home") * b) < (b - h)
 
@@ -223,7 +224,7 @@ def with_running(df: DataFrame, specs: dict[str, tuple[str, Column]],
             else:
                 carry = F.last(allc, ignorenulls=True).over(upto)
         carry_cols.append(carry.alias(f"_c_{n}"))
-    carries = blocks.select(key, (F.col("home") + 1).alias("blk"), *carry_cols)
+    carries = written(blocks.select(key, (F.col("home") + 1).alias("blk"), *carry_cols), layout, "running")
 
     d = d.join(carries, [key, "blk"], "left")
     w = series_window(key).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barflow.functions.scan import apply_smoothers, ema
 from barflow.functions.sliding import Trailing, with_trailing
 from barflow.operators import clean as cl
-from barflow.operators.layout import Layout, finish, layout_series
+from barflow.operators.layout import Layout, finish, layout_series, with_running
 from barflow.operators.technical import TechnicalConfig, technical_columns, technical_features
 from barflow.sources.bars import bars_from_ticks, no_nan, select_bars
 from tests.helpers import bars_frame, ema_loop
@@ -60,6 +60,29 @@ def test_no_frame_grows_with_the_window(spark):
     assert plan.count("Window [") <= 14
 
 
+def test_windows_share_few_steps(spark):
+    d, _ = series(spark, 50)
+    d = layout_series(d, layout=Layout(4096, 2048, 512, materialize=False))
+    plain = plan_of(d).count("Window [")
+    assert plan_of(with_trailing(d, [Trailing("m", "avg", "x", 2000)])).count("Window [") - plain <= 5
+
+
+def test_wide_rows_are_not_written_between_passes(spark, monkeypatch):
+    from barflow.operators import layout as lay
+    cut, tables = lay.cut_lineage, {}
+    monkeypatch.setattr(lay, "cut_lineage", lambda df, name: tables.setdefault(name, cut(df, name)))
+    d, v = series(spark, 3000, nulls=False)
+    layout = Layout(1024, 128, 64)
+    d = layout_series(d, layout=layout).withColumn("wide", F.col("x") * 2)
+    d = with_running(apply_smoothers(d, [ema("e", "x", 12)], layout=layout), {"total": ("sum", F.col("x"))}, layout)
+    got = finish(d).where("symbol = 'S'").orderBy("date").toPandas()
+    np.testing.assert_allclose(got["e"], ema_loop(np.array(v), 2 / 13, warm=11), rtol=1e-10)
+    np.testing.assert_allclose(got["total"], np.cumsum(v), rtol=1e-12)
+    assert set(tables) == {"series", "numbered", "scan", "running"}
+    assert not any("wide" in t.columns for t in tables.values())
+    assert max(tables[n].count() for n in ("scan", "running")) <= 4  # a row a block
+
+
 def test_no_window_holds_a_whole_symbol(spark, monkeypatch):
     from barflow.functions import scan
     monkeypatch.setattr(scan, "GROUP_ENDS", 8)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import math
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,24 @@ SPACE = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
 
 _SHIPPED: set[str] = set()
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task, made on first use. It keeps one thing, the last:
+    workers outlive an operator, and what the one before has left counts in the executor's memory."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Give back what this Python worker has kept for an earlier operator."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def ship(spark: SparkSession) -> None:

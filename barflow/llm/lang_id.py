@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import ship
+from barflow.llm.common import kept, ship
 
 SAMPLE_TEXTS, SAMPLE_CHARS = 64, 400
 SEGMENT = 256
@@ -195,15 +195,9 @@ class Automaton:
         return np.where(ended, self.fresh[letter], to), ended
 
 
-_MODELS: dict[tuple, Models] = {}
-
-
 def _models(samples: tuple) -> Models:
     """The automata, built once per Python worker."""
-    if samples not in _MODELS:
-        _MODELS.clear()
-        _MODELS[samples] = Models(samples)
-    return _MODELS[samples]
+    return kept(("languages", samples), lambda: Models(samples))
 
 
 def labelled_samples(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS,

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import apply_copies, cut, row_key, ship, text_or_empty
+from barflow.llm.common import apply_copies, cut, forget, row_key, ship, text_or_empty
 from barflow.llm.components import components
 
 #: A side of at most so many (id, digest) rows is broadcast (32 MB); a larger one is joined by a shuffle.
@@ -119,6 +119,7 @@ def _screen_bound(percent: int) -> float:
 def document_sets(docs: DataFrame, words: int, id_col: str, text_col: str, carry: Column | None = None) -> DataFrame:
     """``row, doc_id, carry, n, digest, key`` of every document, written once."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in _slices(batches):
             got = [shingle_hashes(t.as_py(), words) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in got], pa.int64()),
@@ -202,22 +203,10 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by intersecting the whole sets."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (batch.column(i) for i in (4, 5))
-            xf, xo = x.values.to_numpy(), x.offsets.to_numpy()
-            yf, yo = y.values.to_numpy(), y.offsets.to_numpy()
-            keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                both = len(np.intersect1d(xf[xo[i]:xo[i + 1]], yf[yo[i]:yo[i + 1]], assume_unique=True))
-                keep[i] = 100 * both >= percent * (n[i] + m[i] - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
     x = sets.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y")
-               .mapInArrow(check, "a bigint, b bigint"), "links")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("both"))
+    return cut(both.where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
 
 
 def _fits(percent: int) -> Column:

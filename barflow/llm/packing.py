@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.common import cut, ship, text_or_empty
+from barflow.llm.common import cut, kept, ship, text_or_empty
 
 #: Pieces that one packing task holds; a chunk leaves a few open sequences at most.
 CHUNK_PIECES = 16_384
@@ -130,14 +130,9 @@ class WordEncoder:
         return ids, np.concatenate([[0], total[ends - 1]]) if len(texts) else np.zeros(1, dtype=np.int64)
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def _encoder(path: str, end_id: int) -> WordEncoder:
     """One encoder per Python worker, kept from task to task."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return kept(("words", path, end_id), lambda: WordEncoder(path, end_id))
 
 
 def steps(ids: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, list[bytes]]]:

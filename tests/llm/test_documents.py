@@ -98,6 +98,25 @@ def test_ngram_join_without_broadcast(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == exp
 
 
+def test_links_are_verified_without_python_tasks(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(nj, "cut", lambda df, name: plans.setdefault(name, df))
+    sets = spark.createDataFrame([(1, 4, [1, 2, 3, 4]), (2, 5, [1, 2, 3, 4, 5]), (3, 4, [1, 2, 8, 9])], "cls long, n long, tokens array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert [tuple(r) for r in nj._verify(pairs, sets, 80).collect()] == [(1, 2)]
+    assert "InArrow" not in plans["links"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_keeps_one_operators_tables(spark):
+    from barflow.llm import common, lang_id
+    models = lang_id._models((("en", ("the fox",)), ("de", ("der Fuchs",))))
+    assert lang_id._models((("en", ("the fox",)), ("de", ("der Fuchs",)))) is models
+    encoder = common.kept(("words", "x"), dict)
+    assert list(common._KEPT.values()) == [encoder]
+    common.forget()
+    assert not common._KEPT
+
+
 def test_near_stage_keeps_one_of_each_component(spark):
     rows = H.families()
     out = nj.keep_one_of_each(H.clashing(spark, rows), 5, 80)
